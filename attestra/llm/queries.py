@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import byte_bpe, packing, ppm, simhash, substrings
+from . import byte_bpe, packing, ppm, simhash, sketches, substrings
 from .common import table
 
 
+def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprints and likenesses of every document."""
+    return sketches.edit_checks(table(spark, sf_dir, "documents"))
+
+
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     return ppm.held_out_scores(table(spark, sf_dir, "documents"))
@@ -40,6 +45,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_scaled_sketch": op2_scaled_sketch,
     "op4_ppm": op4_ppm,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
