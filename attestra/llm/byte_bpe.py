@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ from .common import slices
 
 #: Entries of a task's memory of cuts.
 MEMORY = 1 << 18
+#: Bytes of text whose cuts are told apart at once.
+SLICE = 12 << 20
 
 
 def byte_characters() -> list[str]:
@@ -81,36 +84,98 @@ class ByteBPE:
         self.bytes_of: list[bytes] = [b""] * (max(names.values(), default=-1) + 1)
         for name, i in names.items():
             self.bytes_of[i] = bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else name.encode()
-        #: Byte values, as Latin-1 characters, to the characters that stand for them.
-        self.spelling = {b: c for b, c in enumerate(byte_characters()) if chr(b) != c}
+        self.names = byte_characters()
+        #: The same model on pieces already split, one to a line.
+        self.lines = Tokenizer(tokenizer.model)
+        self.lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.n_bytes = np.array([len(b) for b in self.bytes_of], np.int64)
         #: Ids, as little-endian unsigned 32-bit integers, of pieces, and of cuts without their space.
-        self.plain = _Memory(self._piece, memory)
-        self.after_space = _Memory(self._cut, memory)
+        self.plain = _Memory(self._piece, memory // 16)
+        self.after_space: dict[str, bytes] = {}
+
+    def _spelt(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", self.names[32])
+        return "".join([self.names[b] for b in piece.encode()])
 
     def _piece(self, piece: str) -> bytes:
         """The library's model on one match of the pattern, spelt in its byte characters."""
-        spelt = piece.encode().decode("latin-1").translate(self.spelling)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
-
-    def _cut(self, cut: str) -> bytes | None:
-        """None where a text with this cut must be split by the pattern as a whole."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(self._spelt(piece))]).tobytes()
+
+    def _lines(self, cut: str) -> str | None:
+        """The pieces of a space and a cut, spelt, one to a line; None where the text must be split as a whole."""
+        if cut.isalpha():
+            return self._spelt(" " + cut)
+        if cut[:-1].isalpha() and cut[-1] in ".,:;!?":
+            return self._spelt(" " + cut[:-1]) + "\n" + cut[-1]
         if not cut or cut[0].isspace() or cut[-1].isspace() or len(cut.split()) > 1 + cut.count("\n") or "\r" in cut:
             return None
-        plain = self.plain
-        return b"".join([plain[p] for p in self.pieces.findall(" " + cut)])
+        return "\n".join([self._spelt(p) for p in self.pieces.findall(" " + cut)])
+
+    def _encode_cuts(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, how many of them each cut has (-1: None), and where they begin."""
+        known = self.after_space
+        found = [known.get(c) for c in cuts]
+        sizes = np.fromiter((-1 if f is None else len(f) // 4 for f in found), np.int64, len(found))
+        new = np.flatnonzero(sizes < 0)
+        lines = [self._lines(cuts[i]) for i in new.tolist()]
+        fresh = np.fromiter((x is not None for x in lines), bool, len(lines))
+        lines, new = [x for x in lines if x is not None], new[fresh]
+        ids = np.array(self.lines.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids if lines else [], "<u4")
+        #: Every spelt character is a byte; ids end where as many bytes have passed.
+        lengths = np.fromiter((len(x) - x.count("\n") for x in lines), np.int64, len(lines))
+        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(lengths)) + 1
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        sizes[new] = ends - starts
+        room = self.memory - len(known)
+        for i, a, b in zip(new[:room].tolist(), starts[:room].tolist(), ends[:room].tolist(), strict=True):
+            if len(cuts[i]) < 64:
+                known[cuts[i]] = ids[a:b].tobytes()
+        old = np.frombuffer(b"".join([f for f in found if f is not None]), "<u4")
+        full = np.maximum(sizes, 0)
+        places = np.zeros(len(cuts), np.int64)
+        was = np.fromiter((f is not None for f in found), bool, len(found))
+        places[was] = np.cumsum(full[was]) - full[was]
+        places[new] = len(old) + starts
+        return np.concatenate([old, ids]), sizes, places
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has; null has none."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        ends = lists.offsets.to_numpy()
+        firsts = ends[:-1] - ends[0]
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        cut_ids, sizes, places = self._encode_cuts(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy().copy()
+        #: Texts to split as a whole: some cut, or the space after the first, may meet white space.
+        marks = (sizes < 0)[which]
+        marks[firsts] = False
+        whole = np.logical_or.reduceat(marks, firsts)
+        begin, lone = flat.take(pa.array(firsts)).to_pylist(), np.diff(ends) == 1
+        start = []
+        for i, c in enumerate(begin):
+            whole[i] |= not lone[i] and (not c or c[-1].isspace())
+            start.append(b"".join([self.plain[p] for p in self.pieces.findall(texts[i].as_py() if whole[i] else c)]))
+        own = np.fromiter((len(f) // 4 for f in start), np.int64, len(start))
+        which[firsts] = len(sizes) + np.arange(len(start))
+        places = np.concatenate([places, len(cut_ids) + np.cumsum(own) - own])
+        counts = np.concatenate([np.maximum(sizes, 0), own])[which]
+        rest = np.repeat(whole, np.diff(ends))
+        rest[firsts] = False
+        counts[rest] = 0
+        upto = np.cumsum(counts)
+        pool = np.concatenate([cut_ids, np.frombuffer(b"".join(start), "<u4")])
+        ids = pool[np.repeat(places[which] - (upto - counts), counts) + np.arange(upto[-1])]
+        return ids, np.add.reduceat(counts, firsts)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        first, *cuts = text.split(" ")
-        if cuts and first and not first[-1].isspace():
-            known, start = self.after_space, b"".join([self.plain[p] for p in self.pieces.findall(first)])
-            try:
-                return b"".join([start, *[known[c] for c in cuts]])
-            except TypeError:
-                pass
-        return b"".join([self.plain[p] for p in self.pieces.findall(text)])
+        return self.encode_all(pa.array([text]))[0].tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for; ids outside the vocabulary raise IndexError."""
@@ -167,9 +232,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ready(kind, shipped.value, pattern)
         for batch in batches:
-            for part in slices(batch, "_text"):
-                ids = [bpe.encode(t or "") for t in part.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(ids, pa.binary())], ["_id", "ids"])
+            for part in slices(batch, "_text", SLICE):
+                ids, counts = bpe.encode_all(part.column("_text"))
+                ends = pa.array(np.concatenate([[0], np.cumsum(4 * counts)]).astype(np.int32))
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, ends.buffers()[1], pa.py_buffer(ids.astype("<u4").tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("_id"), packed], ["_id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
@@ -200,11 +267,11 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ready(kind, shipped.value, pattern)
         for batch in batches:
-            for part in slices(batch, "_text"):
-                n, shas, back = [], [], []
-                for text in part.column("_text").to_pylist():
-                    ids = bpe.encode(text or "")
-                    n.append(len(ids) // 4)
+            for part in slices(batch, "_text", SLICE):
+                shas, back = [], []
+                flat, n = bpe.encode_all(part.column("_text"))
+                for one in np.split(flat, np.cumsum(n)[:-1]):
+                    ids = one.tobytes()
                     shas.append(hashlib.sha256(ids).hexdigest())
                     back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())], ["_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import content, ready
+from .byte_bpe import SLICE, content, ready
 from .common import slices, stored
 
 CAPACITY, END_ID = 1024, 2
@@ -61,10 +61,11 @@ def pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, seen, task = ready(kind, shipped.value, pattern), Counter(), TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 rows = []
-                for i, text in enumerate(part.column("_text").to_pylist()):
-                    ids = bpe.encode(text or "") + end
+                flat, n = bpe.encode_all(part.column("_text"))
+                for i, one in enumerate(np.split(flat, np.cumsum(n)[:-1])):
+                    ids = one.tobytes() + end
                     for p, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                         rows.append((i, p, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), seen[length]))
                         seen[length] += 1
