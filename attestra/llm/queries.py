@@ -8,15 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import byte_bpe, packing, ppm, simhash, sketches, substrings
+from . import byte_bpe, language, packing, ppm, simhash, sketches, substrings, urls
 from .common import table
 
 
+#: The rules of the URL query.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op1_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, score of every page."""
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprints and likenesses of every document."""
     return sketches.edit_checks(table(spark, sf_dir, "documents"))
 
 
+def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of every document."""
+    return language.held_out_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     return ppm.held_out_scores(table(spark, sf_dir, "documents"))
@@ -45,7 +59,9 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_ratio": op1_url_ratio,
     "op2_scaled_sketch": op2_scaled_sketch,
+    "op3_compression_language": op3_compression_language,
     "op4_ppm": op4_ppm,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
