@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import byte_bpe, language, packing, ppm, simhash, sketches, substrings, urls
+from . import byte_bpe, language, packing, ppm, simhash, sketches, stable_knn, substrings, urls
 from .common import table
 
 
@@ -52,6 +52,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.repeats(table(spark, sf_dir, "documents")))
 
 
+def op9_stable_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest of every row whose vec_id 20 divides."""
+    return stable_knn.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of a document."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_stable_knn": op9_stable_knn,
     "op10_best_fit": op10_best_fit,
 }
 
