@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import byte_bpe, language, packing, ppm, simhash, sketches, stable_knn, substrings, urls
+from . import byte_bpe, language, layout, packing, ppm, simhash, sketches, stable_knn, substrings, urls
 from .common import table
 
 
@@ -47,6 +47,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, text of every page."""
+    return layout.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     return substrings.digests(substrings.repeats(table(spark, sf_dir, "documents")))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ppm": op4_ppm,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
+    "op7_layout_text": op7_layout_text,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_stable_knn": op9_stable_knn,
     "op10_best_fit": op10_best_fit,

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, partitions, slices, stored, text_bytes
@@ -280,3 +280,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(named, F.col("bits") == F.col("_bits"), "left").select(
         F.col(id_col), F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` without all but the least id of each group of near-duplicates.
+
+    An id names a document: of rows that share one, the least by text is the
+    document. A row without an id stays, as nothing names it.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    groups = near_duplicates(named, id_col, text_col, k, radius)
+    stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stays")).distinct()
+    rows = named.join(stay.hint("merge"), F.col(id_col) == F.col("_stays"), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(text_col)
+    rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))

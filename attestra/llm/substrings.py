@@ -28,6 +28,7 @@ are passed by.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -88,14 +89,14 @@ def _texts(part: pa.RecordBatch) -> list[bytes]:
     return text_bytes(part.column("text"))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``own`` (the id), ``text`` and the key ``id``, ``tag``, which has no nulls.
 
     The tag tells apart rows that share an id but not a text, and null ids.
     """
     own, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(own, F.lit("0").cast(docs.schema[id_col].dataType))
-    return docs.select(own.alias("own"), text.alias("text"), key.alias("id"), F.hash(text, own.isNull()).alias("tag"))
+    return docs.select(own.alias("own"), text.alias("text"), key.alias("id"), F.hash(text, own.isNull()).alias("tag"), *[F.col(c).alias(f"_kept_{c}") for c in keep])
 
 
 def _per_document(rows: DataFrame, docs: DataFrame, value: str, how: str) -> DataFrame:
@@ -122,8 +123,11 @@ def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(len(sizes)), sizes), *(flat.field(flat.type.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """Every row's ``id_col``, ``text`` and ``cover``: the spans [from, to) of words that repeated windows cover."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every row's ``id_col``, ``text``, ``n_words`` and ``cover``: the spans [from, to) of words that repeated windows cover.
+
+    Columns named in ``keep`` go along, their names led by ``_kept_``.
+    """
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     id_type = keyed.schema["id"].dataType.simpleString()
@@ -184,10 +188,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         sizes = np.bincount(doc, minlength=part.num_rows)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         spans = pa.StructArray.from_arrays([pa.array((x - a.starts[doc]).astype(np.int32)) for x in (first, last)], ["from", "to"])
-        yield pa.RecordBatch.from_arrays([part.column("own"), part.column("text"), pa.array(a.counts), pa.ListArray.from_arrays(offsets, spans)], ["own", "text", "n_words", "cover"])
+        yield pa.RecordBatch.from_arrays([part.column("own"), part.column("text"), pa.array(a.counts), pa.ListArray.from_arrays(offsets, spans), *map(part.column, kept)], ["own", "text", "n_words", "cover", *kept])
 
-    out = _per_document(marks, keyed, "struct(at, kind)", "left")
-    out = out.mapInArrow(_mapped(cut), f"own {id_type}, text string, n_words bigint, cover array<struct<from:int,to:int>>")
+    rows = _keyed(docs, id_col, text_col, keep)
+    kept = [f"_kept_{c}" for c in keep]
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    out = _per_document(marks, rows, "struct(at, kind)", "left")
+    out = out.mapInArrow(_mapped(cut), f"own {id_type}, text string, n_words bigint, cover array<struct<from:int,to:int>>{kinds}")
     return out.withColumnRenamed("own", id_col)
 
 
@@ -200,6 +207,39 @@ def kept_words(text: bytes, cover: list[dict]) -> tuple[bytes, int]:
     return b" ".join(words), gone
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def kept_text(text: bytes, cover: list[dict]) -> bytes:
+    """A text without the spans; what stays keeps its white space, one space stands for a span."""
+    if not cover:
+        return text
+    words, parts, at = [m.span() for m in _WORD.finditer(text)], [], 0
+    for span in cover:
+        parts.append(text[at : words[span["from"]][0]])
+        at = words[span["to"] - 1][1]
+    return b" ".join([p for p in (p.strip() for p in [*parts, text[at:]]) if p])
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """``docs``, column for column, with the texts that are left, and their number of characters in ``length_col``."""
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col, length_col))
+    covered = repeats(docs, id_col, text_col, window, seed, others)
+
+    def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [kept_text(t, c) for t, c in zip(_texts(part), part.column("cover").to_pylist(), strict=True)]
+        left = pa.array(texts, pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([part.column("_own"), left, *(part.column(f"_kept_{c}") for c in others)], ["_own", "text", *(f"_kept_{c}" for c in others)])
+
+    covered = covered.withColumnRenamed(id_col, "_own")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in covered.schema if f.name not in ("n_words", "cover"))
+    out = covered.mapInArrow(_mapped(run), kinds)
+    columns = {id_col: F.col("_own"), text_col: F.col("text"), **{c: F.col(f"_kept_{c}") for c in others}}
+    if length_col:
+        columns[length_col] = F.length("text").cast(docs.schema[length_col].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
+
+
 def digests(covered: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``n_words``, ``n_removed`` and ``kept_sha256`` from what :func:`repeats` returns."""
 
