@@ -41,7 +41,7 @@ from .common import slices
 #: Entries of a task's memory of cuts.
 MEMORY = 1 << 18
 #: Bytes of text whose cuts are told apart at once.
-SLICE = 12 << 20
+SLICE = 4 << 20
 
 
 def byte_characters() -> list[str]:

@@ -17,7 +17,19 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 
 
+#: Rows of long texts that go to a Python worker at once; a batch of them is held by the JVM and the worker alike.
+BATCH_ROWS = 2000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Keep this session's Arrow batches to ``BATCH_ROWS`` rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
