@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: About this many bytes of text are held as Python or numpy objects at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 #: Rows of long texts that go to a Python worker at once; a batch of them is held by the JVM and the worker alike.
@@ -48,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _LOCAL: dict = {}
+#: The C library, where it is glibc.
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def _scratch() -> str:
@@ -106,6 +109,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    trimmed()
+
+
+def trimmed() -> None:
+    """Give freed memory back to the system: a worker lives on for later stages beside others."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -68,16 +68,17 @@ class Classifier:
         self.piece, self.short = piece, short
         self.ready, self.primed = [], []
         for lang in self.languages:
-            compress = self._compressor(training[lang], level)
+            compress = self._compressor(training[lang], level, 2 * piece)
             self.ready.append(compress)
             text = training[lang]
             parts = [text[at : at + PRIMER] for at in range(0, len(text), max(1, len(text) // PRIMERS))][:PRIMERS]
-            rest = self._compressor(text, fine_level)
+            rest = self._compressor(text, fine_level, 2 * piece + PRIMER)
             self.primed.append((rest, [(part, len(rest(part))) for part in parts]))
 
     @staticmethod
-    def _compressor(content: bytes, level: int):
-        options = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+    def _compressor(content: bytes, level: int, most: int):
+        """For texts of up to about ``most`` bytes; a compressor takes memory by that."""
+        options = zstandard.ZstdCompressionParameters.from_level(level, source_size=most, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
         content = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         content.precompute_compress(compression_params=options)
         return zstandard.ZstdCompressor(dict_data=content, compression_params=options).compress
@@ -89,7 +90,8 @@ class Classifier:
 
     def finer_sizes(self, text: bytes) -> list[int]:
         """Bytes that a text adds to primers of each language, which tell the coder its letters; a sum over all primers."""
-        return [sum([len(compress(primer + text)) - alone for primer, alone in primers]) for compress, primers in self.primed]
+        parts = self.pieces(text)
+        return [sum([len(compress(primer + part)) - alone for primer, alone in primers for part in parts]) for compress, primers in self.primed]
 
     def pieces(self, text: bytes) -> list[bytes]:
         """Pieces of equal length, give or take a byte of a character."""
