@@ -140,14 +140,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
              pa.array(a.seeds[a.anchors].view(np.int64)), pa.array(a.contexts().view(np.int64))], ["id", "tag", "at", "anchor", "context"])
 
     found, found_path = stored(keyed.mapInArrow(_mapped(anchors), f"id {id_type}, tag int, at int, anchor bigint, context bigint"), "anchors")
-    twice = found.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("_anchor"))
+    #: Stored, so that both sides of the join are plain exchanges, whose hot keys are split at run time.
+    twice, twice_path = stored(found.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("_anchor")), "repeated-anchors")
     seeds, seeds_path = stored(found.join(twice.hint("merge"), F.col("anchor") == F.col("_anchor")).drop("_anchor"), "seeds")
-    drop(spark, found_path)
+    drop(spark, found_path, twice_path)
 
     #: One row for each context of an anchor; the anchor is in doubt if some context occurs once.
     classes = seeds.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "tag", "at")).alias("one"))
     classes, classes_path = stored(classes, "contexts")
-    doubt = classes.groupBy("anchor").agg(F.min("n").alias("least")).where("least = 1").select(F.col("anchor").alias("_anchor"))
+    doubt, _ = stored(classes.groupBy("anchor").agg(F.min("n").alias("least")).where("least = 1").select(F.col("anchor").alias("_anchor")), "anchors-in-doubt")
     doubtful = classes.join(doubt.hint("merge"), F.col("anchor") == F.col("_anchor")).select("one.id", "one.tag", "one.at", "anchor")
     whole = classes.where("n > 1").select(F.col("anchor").alias("_anchor"), F.col("context").alias("_context"))
     sure = seeds.join(whole.hint("merge"), (F.col("anchor") == F.col("_anchor")) & (F.col("context") == F.col("_context"))).select("id", "tag", "at")
@@ -165,7 +166,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     compared = _per_document(doubtful, keyed, "struct(at)", "inner").mapInArrow(_mapped(windows), f"id {id_type}, tag int, start int, anchor bigint, window bigint")
     compared, compared_path = stored(compared, "windows")
-    again = compared.groupBy("anchor", "window").count().where("count > 1").select(F.col("anchor").alias("_anchor"), F.col("window").alias("_window"))
+    again, _ = stored(compared.groupBy("anchor", "window").count().where("count > 1").select(F.col("anchor").alias("_anchor"), F.col("window").alias("_window")), "repeated-windows")
     hit = compared.join(again.hint("merge"), (F.col("anchor") == F.col("_anchor")) & (F.col("window") == F.col("_window"))).select("id", "tag", F.col("start").alias("at"))
     marks = sure.withColumn("kind", F.lit(0)).unionByName(hit.withColumn("kind", F.lit(1)))
 
