@@ -290,8 +290,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     named = docs.where(F.col(id_col).isNotNull())
     groups = near_duplicates(named, id_col, text_col, k, radius)
-    stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stays")).distinct()
-    rows = named.join(stay.hint("merge"), F.col(id_col) == F.col("_stays"), "left_semi")
+    stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_simhash_stays")).distinct()
+    rows = named.join(stay.hint("merge"), F.col(id_col) == F.col("_simhash_stays"), "left_semi")
     first = Window.partitionBy(id_col).orderBy(text_col)
-    rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    rows = rows.withColumn("_simhash_nth", F.row_number().over(first)).where("_simhash_nth = 1").drop("_simhash_nth")
     return rows.unionByName(docs.where(F.col(id_col).isNull()))
