@@ -91,7 +91,11 @@ def tokens(c: Column) -> Column:
 
 def token_score(expected: Column, observed: Column) -> Column:
     """Share of the expected distinct words that are observed, 0 to 100."""
-    want, have = tokens(expected), tokens(observed)
+    return word_score(tokens(expected), tokens(observed))
+
+
+def word_score(want: Column, have: Column) -> Column:
+    """The same from distinct words."""
     return F.when((F.size(want) == 0) | (F.size(have) == 0), 0.0).otherwise(100.0 * F.size(F.array_intersect(want, have)) / F.size(want))
 
 
@@ -103,16 +107,15 @@ def country_score(expected: Column, c: Column, score=token_score) -> Column:
     return best
 
 
-def conflicting_country(expected: Column, c: Column) -> Column:
-    """The first listed country, not the expected one, that the text names; null where there is none."""
-    have = F.concat(F.lit(" "), label_text(c), F.lit(" "))
-    own = F.array(label_text(expected))
-    for name, others in ALIASES.items():
-        own = F.when(expected == name, F.concat(own, F.array(*[label_text(F.lit(o)) for o in others]))).otherwise(own)
-    found = F.filter(
-        F.array(*map(F.lit, COUNTRIES)), lambda n: F.contains(have, F.concat(F.lit(" "), F.lower(n), F.lit(" "))) & ~F.array_contains(own, F.lower(n))
-    )
-    return F.try_element_at(found, F.lit(1))
+def conflicting_country(expected: Column, plain: Column) -> Column:
+    """The first listed country, not the expected one, that a text names (in its :func:`label_text` form); null where there is none."""
+    have, own = F.concat(F.lit(" "), plain, F.lit(" ")), label_text(expected)
+    out = F.lit(None).cast("string")
+    for name in reversed(COUNTRIES):
+        others = [n.lower() for n in ALIASES.get(name, [])]
+        same = (own == name.lower()) | own.isin(others) if others else own == name.lower()
+        out = F.when(have.contains(f" {name.lower()} ") & ~same, name).otherwise(out)
+    return out
 
 
 def heading_share(c: Column) -> Column:

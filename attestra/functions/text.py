@@ -147,7 +147,7 @@ def contents_text(amount: Column, unit: Column) -> Column:
 def panel_files(c: Column) -> Column:
     """Names parted by ``|`` if there is one, else by ``;``."""
     split = F.when(text(c).contains("|"), F.split(c, r"\|")).otherwise(F.split(text(c), ";"))
-    return F.filter(F.transform(split, F.trim), lambda x: x != "")
+    return F.filter(F.transform(split, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def item_files(panels: Column, filename: Column) -> Column:

@@ -7,8 +7,8 @@ Input rows hold an application's fields (``APPLICATION``), the recognised text
 rules; everything is one projection, so nothing is shuffled. Rules that a low
 confidence suppresses are left out of the array.
 
-Fuzzy fields are scored by :func:`attestra.functions.evidence.token_score`
-unless another scorer is passed. No arbiter of field support is at hand, so its
+Fuzzy fields are scored by the share of their words that the text has, as
+:func:`attestra.functions.evidence.token_score` does, unless a scorer is passed. No arbiter of field support is at hand, so its
 "unavailable" branch holds: scores alone decide.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
-from ..functions.text import collapsed, text
+from ..functions.text import collapsed, label_text, text
 
 LOW_CONFIDENCE, STRONG, AMBIGUOUS = 0.70, 90, 75
 APPLICATION = ["brand_name", "fanciful_name", "class_type", "alcohol_content", "net_contents", "bottler_producer_name_address", "country_of_origin", "imported", "product_type"]
@@ -92,15 +92,20 @@ def _numeric(rule_id: str, field: str, what: str, none: str, kind: str, shown: C
     )
 
 
-def with_facts(items: DataFrame, score: Callable[[Column, Column], Column]) -> DataFrame:
-    """What several outcomes ask for, worked out once per item: columns named ``_...``."""
+def with_facts(items: DataFrame, score: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """What several outcomes ask for, worked out once per item: columns named ``_...``.
+
+    The text's plain form and words come first, as all token scores share them.
+    """
     body, country = text(F.col("full_text")), F.trim(text(F.col("country_of_origin")))
-    first = items.withColumns({
+    plain = items.withColumn("_plain", label_text(body)).withColumn("_have", F.array_distinct(F.split("_plain", " ")))
+    scorer = score or (lambda expected, _: ev.word_score(ev.tokens(expected), F.col("_have")))
+    first = plain.withColumns({
         "_heading": ev.warning_heading(body), "_block": ev.warning_block(body), "_shorthand": ev.abv_shorthand(body), "_sixteen": ev.bad_sixteen_ounces(body),
         "_want_alcohol": ev.alcohol_values(F.trim(text(F.col("alcohol_content")))), "_seen_alcohol": ev.alcohol_values(body),
         "_want_contents": ev.contents_values(F.trim(text(F.col("net_contents")))), "_seen_contents": ev.contents_values(body),
-        "_brand": score(F.col("brand_name"), body), **{f"_score_{f}": score(F.trim(text(F.col(f))), body) for f, _ in FUZZY_FIELDS.values()},
-        "_country": ev.country_score(country, body, score), "_other": ev.conflicting_country(country, body),
+        "_brand": scorer(F.col("brand_name"), body), **{f"_score_{f}": scorer(F.trim(text(F.col(f))), body) for f, _ in FUZZY_FIELDS.values()},
+        "_country": ev.country_score(country, body, scorer), "_other": ev.conflicting_country(country, F.col("_plain")),
     })
     return first.withColumns({"_met_alcohol": ev.alcohol_match(F.col("_want_alcohol"), F.col("_seen_alcohol")), "_met_contents": ev.contents_match(F.col("_want_contents"), F.col("_seen_contents"))})
 
@@ -181,7 +186,7 @@ def check_columns(has_typography: bool = False) -> list[Column]:
     return out
 
 
-def with_checks(items: DataFrame, score: Callable[[Column, Column], Column] = ev.token_score) -> DataFrame:
+def with_checks(items: DataFrame, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``items`` with ``checks``, in the order of the rules."""
     facts = with_facts(items, score)
     checked = facts.withColumn("checks", F.filter(F.array(*check_columns("typography" in items.columns)), lambda c: c.isNotNull()))

@@ -27,7 +27,7 @@ SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
   CASE WHEN l.l_suppkey % 6 = 0 THEN '' ELSE 'Supplier ' || CAST(l.l_suppkey AS STRING) END AS bottler_producer_name_address,
   CASE WHEN l.l_suppkey % 9 = 0 THEN '' WHEN l.l_suppkey % 2 = 0 THEN 'France' ELSE 'United States' END AS country_of_origin,
   l.l_suppkey % 4 <> 3 AS imported,
-  CASE WHEN l.l_orderkey % 19 = 0 THEN 0.5 ELSE 0.9 END AS avg_confidence,
+  CAST(CASE WHEN l.l_orderkey % 19 = 0 THEN 0.5 ELSE 0.9 END AS DOUBLE) AS avg_confidence,
   CAST(20 + l.l_partkey % 300 AS INT) AS total_ms,
   p.p_name || ' ' || CASE WHEN l.l_linenumber % 7 = 6 THEN 'OTHER MARK' ELSE p.p_brand END || ' ' || p.p_type
     || CASE WHEN l.l_partkey % 7 = 0 THEN '' ELSE ' ' || CAST(p.p_size AS STRING) || '% ALC/VOL' END
@@ -46,10 +46,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A small table over as many tasks as there are cores, for what is dear per row; a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications with the text of their labels."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.sql(LABELS_SQL.replace("FROM lineitem l JOIN part p", "FROM {lineitem} l JOIN {part} p"), lineitem=load(spark, sf_dir, "lineitem"), part=load(spark, sf_dir, "part"))
+    items = spread(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    return spark.sql(LABELS_SQL.replace("FROM lineitem l JOIN part p", "FROM {lineitem} l JOIN {part} p"), lineitem=items, part=load(spark, sf_dir, "part"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

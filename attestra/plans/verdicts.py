@@ -21,7 +21,7 @@ def verdict_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks by rule, verdict and message."""
-    checks = rules.with_checks(labels(spark, sf_dir)).select(F.inline("checks"))
+    checks = rules.with_checks(labels(spark, sf_dir)).select(F.inline_outer("checks"))
     return checks.groupBy("rule_id", "verdict", "message").agg(F.count("*").alias("n"))
 
 
@@ -58,9 +58,9 @@ def extracted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def country_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = labels(spark, sf_dir)
-    score = F.round(ev.country_score(F.trim(F.col("country_of_origin")), F.col("full_text")), 2)
-    return t.select(score.alias("score"), ev.conflicting_country(F.col("country_of_origin"), F.col("full_text")).alias("other")).groupBy("score", "other").agg(F.count("*").alias("n"))
+    """Items by the score of their country and by another country that the text names."""
+    t = rules.with_facts(labels(spark, sf_dir), None).select(F.round("_country", 2).alias("score"), F.col("_other").alias("other"))
+    return t.groupBy("score", "other").agg(F.count("*").alias("n"))
 
 
 def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

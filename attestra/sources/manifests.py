@@ -29,7 +29,8 @@ def items(rows: DataFrame, row: str) -> DataFrame:
         raise ValueError(f"manifest lacks {', '.join(missing)}")
     got = {c: F.trim(text(F.col(c).cast("string"))) if c in rows.columns else F.lit("") for c in MANIFEST if c != "panel_filenames"}
     raw_panels = F.col("panel_filenames") if "panel_filenames" in rows.columns else F.lit("")
-    panels = F.filter(F.transform(raw_panels, F.trim), lambda x: x != "") if isinstance(dict(rows.dtypes).get("panel_filenames"), str) and dict(rows.dtypes).get("panel_filenames", "").startswith("array") else panel_files(raw_panels)
+    listed = dict(rows.dtypes).get("panel_filenames", "").startswith("array")
+    panels = F.filter(F.transform(raw_panels, lambda x: F.trim(x)), lambda x: x != "") if listed else panel_files(raw_panels)
     flag = parsed_bool(got["imported"])
     blank = F.array_join(F.filter(F.array(*[F.when(got[c] == "", F.lit(c)) for c in REQUIRED]), lambda x: x.isNotNull()), ", ")
     error = F.when(blank != "", F.concat(F.lit("Row "), F.col(row).cast("string"), F.lit(": missing "), blank)).when(flag.isNull(), F.concat(F.lit("Row "), F.col(row).cast("string"), F.lit(": imported is neither true nor false")))
