@@ -8,7 +8,7 @@ a threshold are uncertain; results name the scorer that made them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -55,24 +55,23 @@ def lcs_share(a: str, b: str) -> float:
     return common_subsequence(a, b) / len(b) if a and b else 0.0
 
 
-@F.pandas_udf("double")
-def _partial(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+def _over_pairs(f: Callable[[str, str], float], a: Column, b: Column) -> Column:
+    """A function of two texts over Arrow batches; the UDF is made where a session is at hand."""
 
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([f(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
 
-@F.pandas_udf("double")
-def _lcs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([lcs_share(x or "", y or "") for x, y in zip(a, b, strict=True)])
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "double")(a, b)
 
 
 def partial_score(expected: Column, observed: Column) -> Column:
-    return _partial(label_text(expected), label_text(observed))
+    return _over_pairs(partial_ratio, label_text(expected), label_text(observed))
 
 
 def heading_score(line: Column) -> Column:
     """1 with the heading whole, 0.95 with both of its words, else the share of its letters that are there in order."""
     letters = F.regexp_replace(F.upper(F.coalesce(line, F.lit(""))), "[^A-Z]", "")
     both = letters.contains("GOVERNMENT") & letters.contains("WARNING")
-    return F.when(letters.contains("GOVERNMENTWARNING"), 1.0).when(both, 0.95).otherwise(_lcs(F.substring(letters, 1, 25), F.lit("GOVERNMENTWARNING")))
+    return F.when(letters.contains("GOVERNMENTWARNING"), 1.0).when(both, 0.95).otherwise(_over_pairs(lcs_share, F.substring(letters, 1, 25), F.lit("GOVERNMENTWARNING")))

@@ -37,11 +37,15 @@ def label_text(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text(c), "[^a-zA-Z0-9]+", " ")))
 
 
-@F.pandas_udf("string")
-def decomposed(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Compatibility decomposition (NFKD), for which there is no built-in function."""
-    for v in values:
-        yield v.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
+def decomposed(c: Column) -> Column:
+    """Compatibility decomposition (NFKD), for which there is no built-in function; made where a session is at hand."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in batches:
+            yield v.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")(c)
 
 
 def collapsed(c: Column) -> Column:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import order_hash
 
-_ALL = Window.partitionBy()
+def _all() -> Window:
+    """One window over all rows; only strata and ranges pass through it, never the table."""
+    return Window.partitionBy()
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -31,12 +33,12 @@ def allocated(strata: DataFrame, key: str, size: str, target: int, floor: int =
     each, to strata with room.
     """
     base = strata.withColumn("_base", F.least(F.col(size), F.lit(floor).cast("bigint")))
-    base = base.withColumns({"_room": F.col(size) - F.col("_base"), "_rest": F.greatest(F.lit(0), F.lit(target) - F.sum("_base").over(_ALL))})
-    share = F.when(F.col("_room") == 0, 0.0).otherwise(F.col("_rest") * (F.col("_room") / F.sum("_room").over(_ALL)))
+    base = base.withColumns({"_room": F.col(size) - F.col("_base"), "_rest": F.greatest(F.lit(0), F.lit(target) - F.sum("_base").over(_all()))})
+    share = F.when(F.col("_room") == 0, 0.0).otherwise(F.col("_rest") * (F.col("_room") / F.sum("_room").over(_all())))
     base = base.withColumn("_share", share).withColumn("_extra", F.least(F.col("_room"), F.floor("_share").cast("bigint")))
-    left = F.col("_rest") - F.sum("_extra").over(_ALL)
+    left = F.col("_rest") - F.sum("_extra").over(_all())
     base = base.withColumns({"_left": left, "_open": F.col("_extra") < F.col("_room"), "_part": F.col("_share") - F.col("_extra")})
-    nth = F.row_number().over(_ALL.orderBy(F.desc("_open"), F.desc("_part"), F.desc("_room"), F.desc(key)))
+    nth = F.row_number().over(_all().orderBy(F.desc("_open"), F.desc("_part"), F.desc("_room"), F.desc(key)))
     return base.select(*strata.columns, (F.col("_base") + F.col("_extra") + F.when(F.col("_open") & (nth <= F.col("_left")), 1).otherwise(0)).cast("bigint").alias("quota"))
 
 
@@ -54,7 +56,7 @@ def round_robin(df: DataFrame, strata: list[str], seed: str, ids: list[str], tar
     turn = F.row_number().over(Window.partitionBy(*strata).orderBy(mark, *ids))
     group = order_hash(seed, *[F.col(s) for s in strata])
     drawn = df.withColumns({"_turn": turn, "_group": group}).orderBy("_turn", "_group").limit(target)
-    return drawn.withColumn("draw", F.row_number().over(_ALL.orderBy("_turn", "_group"))).drop("_turn", "_group")
+    return drawn.withColumn("draw", F.row_number().over(_all().orderBy("_turn", "_group"))).drop("_turn", "_group")
 
 
 def split_by_ratio(df: DataFrame, group: list[str], seed: str, ids: list[str], parts: dict[str, float]) -> DataFrame:

@@ -93,7 +93,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(unquoted(F.col("id")).alias("id")).where(F.col("id") != "").distinct()
 
 
-OCR = T.StructType.fromDDL("fixture_id string, filename string, full_text string, avg_confidence double, blocks array<struct<text:string,confidence:double,bbox:array<array<double>>>>, source string, preprocessing_ms int, ocr_ms int, total_ms int")
+OCR = "fixture_id string, filename string, full_text string, avg_confidence double, blocks array<struct<text:string,confidence:double,bbox:array<array<double>>>>, source string, preprocessing_ms int, ocr_ms int, total_ms int"
 
 
 def read_ocr(spark: SparkSession, path: str) -> DataFrame:
