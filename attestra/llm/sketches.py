@@ -153,7 +153,7 @@ def edit_checks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = rows.agg(F.min(F.struct("_id")).alias("first")).first()["first"]
     head = rows.where(F.col("_id").eqNullSafe(F.lit(least["_id"]))).agg(F.min("_text").alias("_text")).first() if least else None
     dealt, n = in_ranges(rows, "_id", partitions(spark))
-    dealt = dealt.repartition(n, "_range").sortWithinPartitions("_range", "_guest", "_id", "_text")
+    dealt = dealt.repartitionById(n, "_range").sortWithinPartitions("_range", "_guest", "_id", "_text")
     first = spark.sparkContext.broadcast(head["_text"] if head else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
