@@ -170,3 +170,17 @@ def run_hashes(h: np.ndarray, k: int, base: int) -> np.ndarray:
 def crc_fold(doc_id: str, parts: int) -> F.Column:
     """crc32 of the id as text, modulo ``parts``; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(parts))
+
+
+def thinned(df: DataFrame, label: str, order: str, sizes: dict, most: int) -> DataFrame:
+    """Rows among which are the ``most`` of each label with the least ``order``, a 64-bit hash.
+
+    ``sizes`` are the labels' numbers of rows, about. What hashes above four times
+    the share that is wanted goes before anything is ranked, so that a label of any
+    size leaves some ``4 * most`` rows.
+    """
+    keep = F.lit(False)
+    for value, n in sizes.items():
+        share = min(1.0, 4 * most / max(n, 1))
+        keep = keep | ((F.col(label) == value) & (F.col(order) < F.lit(min(int(-(2**63) + share * 2**64), 2**63 - 1))))
+    return df.where(keep)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, slices
+from .common import crc_fold, slices, thinned
 
 DOCS, SAMPLE, PIECE = 400, 600, 4096
 LEVEL, SHORT = 3, 256
@@ -51,7 +51,8 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     middle = F.greatest(F.lit(1), F.floor((F.length(text_col) - sample) / 2)).cast("int")
     known = known.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), middle, F.lit(sample)).alias("part"), F.xxhash64(text_col, id_col).alias("order"))
-    #: Ranked first within each task, so that no language is gathered in one.
+    sizes = {r["lang"]: r["n"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    known = thinned(known, "lang", "order", sizes, docs_each)
     ranked = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "part"))).where(F.col("n") <= docs_each)
     out: dict[str, list[str]] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r["lang"], -r["n"])):

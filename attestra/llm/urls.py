@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import thinned
+
 ORDER, SAMPLE = 5, 20_000
 #: Every n-th labelled URL, by hash, calibrates instead of training.
 CALIBRATE = 4
@@ -139,8 +141,10 @@ def best_threshold(good: list[float], bad: list[float]) -> float:
 
 
 def labelled_sample(urls: DataFrame, text: str, label: str, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """At most ``sample`` different texts of each label, in the order of a hash; ranked in each task first."""
-    known = urls.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("order")).distinct()
+    """At most ``sample`` different texts of each label, in the order of a hash."""
+    known = urls.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("order"))
+    sizes = {r["label"]: r["n"] for r in urls.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.approx_count_distinct(text).alias("n")).collect()}
+    known = thinned(known, "label", "order", sizes, sample).distinct()
     ranked = known.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("order", "text"))).where(F.col("n") <= sample)
     out: dict[str, list[str]] = {}
     for r in sorted(ranked.collect(), key=lambda r: r["n"]):
