@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
+from ..functions import intake
 from ..functions import text as tx
-from ..operators import merges, metrics, sampling
+from ..operators import evaluation, merges, metrics, sampling
 from ..sources import manifests
 from ..streaming import jobs
 from .base import ENGINES_SQL, LABELS_SQL, SCORED_SQL, engine_scores, labels, load, scored
@@ -403,3 +404,42 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     s = jobs.sessions(load(spark, sf_dir, "events"), "ts", ["user_id"], "30 minutes", "1 hour")
     return s.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
+
+
+# ---- field evaluation and intake
+
+
+_FIELDS = ["brand_name", "class_type", "alcohol_content", "country_of_origin"]
+_PANELS_SQL = "SELECT item_id, l_linenumber AS panel, any_value(brand_name) AS brand_name, any_value(class_type) AS class_type, any_value(alcohol_content) AS alcohol_content, any_value(country_of_origin) AS country_of_origin, min(full_text) AS body FROM base GROUP BY ALL"
+_TOKENS = "list_distinct(list_filter(string_split(lower(trim(regexp_replace({0}, '[^a-zA-Z0-9]+', ' ', 'g'))), ' '), lambda x: x <> ''))"
+
+
+def _field_evaluations_sql() -> str:
+    want, have = _TOKENS.format("candidate"), _TOKENS.format("body")
+    return f"""WITH base AS ({LABELS_SQL}), one AS ({_PANELS_SQL}),
+  t AS (SELECT item_id, panel, body, field, expected FROM (SELECT item_id, panel, body, unnest(['brand_name', 'class_type', 'alcohol_content', 'country_of_origin']) AS field, unnest([brand_name, class_type, alcohol_content, country_of_origin]) AS expected FROM one) WHERE trim(expected) <> ''),
+  v AS (SELECT *, list_filter(CASE field WHEN 'brand_name' THEN [expected] WHEN 'class_type' THEN [expected, lower(expected)] WHEN 'country_of_origin' THEN [expected, 'Product of ' || expected, 'Made in ' || expected]
+    ELSE list_concat([expected], CASE WHEN regexp_matches(expected, '[0-9]') THEN list_transform(['', '%', ' % alcohol', '% alc', '% alc/vol', '% alcohol by volume'], lambda x: regexp_extract(expected, '[0-9]+') || x) ELSE [] END) END, lambda x: x <> '') AS vs FROM t),
+  e AS (SELECT item_id, field, expected, panel, body, unnest(vs) AS candidate, generate_subscripts(vs, 1) AS variant FROM v),
+  s AS (SELECT *, CASE WHEN len({want}) = 0 OR len({have}) = 0 THEN 0.0 ELSE 100.0 * len(list_intersect({want}, {have})) / len({want}) END AS score FROM e),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id, field, expected ORDER BY score DESC, panel, variant) = 1)
+  SELECT field, CASE WHEN score >= 90 THEN 'pass' ELSE 'needs_review' END AS verdict, CASE WHEN score >= 90 THEN 'matched' WHEN score >= 75 THEN 'ambiguous' ELSE 'not_found' END AS outcome, count(*) AS n, count(*) FILTER (score > 0) AS placed, round(avg(score), 4) AS mean_score FROM b GROUP BY ALL"""
+
+
+@query(_field_evaluations_sql())
+def field_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields by what the best panel and variant say of them."""
+    one = labels(spark, sf_dir).groupBy("item_id", F.col("l_linenumber").alias("panel")).agg(*[F.min(f).alias(f) for f in _FIELDS], F.min("full_text").alias("body"))
+    found = evaluation.evaluated(evaluation.targets(one, "item_id", _FIELDS), one, "item_id", "panel", "body")
+    return found.groupBy("field", "verdict", "outcome").agg(F.count("*").alias("n"), F.count("best_panel").alias("placed"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
+@query(f"""WITH base AS ({LABELS_SQL}) SELECT item_id,
+  CASE WHEN regexp_matches(full_text, '{intake.ALCOHOL.removeprefix("(?i)")}', 'i') THEN trim(regexp_replace(regexp_extract(full_text, '{intake.ALCOHOL.removeprefix("(?i)")}', 0, 'i'), '\\s+', ' ', 'g'))
+    WHEN regexp_matches(full_text, '{intake.PROOF.removeprefix("(?i)")}', 'i') THEN '90 proof (~45% ALC/VOL)' END AS alcohol,
+  nullif(trim(regexp_replace(regexp_extract(full_text, '{intake.CONTENTS.removeprefix("(?i)")}', 0, 'i'), '\\s+', ' ', 'g')), '') AS contents,
+  CASE WHEN contains(lower(full_text), 'france') THEN 'France' WHEN contains(lower(full_text), 'italy') THEN 'Italy' END AS country FROM base""")
+def intake_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = labels(spark, sf_dir)
+    c = intake.candidates(intake.lines_of(F.col("full_text")), F.col("full_text"))
+    return t.select("item_id", c["alcohol_content"]["value"].alias("alcohol"), c["net_contents"]["value"].alias("contents"), c["country_of_origin"]["value"].alias("country"))
