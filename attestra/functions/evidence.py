@@ -59,10 +59,10 @@ def _unit_map() -> Column:
 
 def contents_values(c: Column) -> Column:
     """(ml, evidence) of each quantity whose unit is known, in the order of the text."""
-    amounts, units, whole = (F.regexp_extract_all(text(c), F.lit(CONTENTS), F.lit(i)) for i in (1, 2, 0))
+    #: One scan of the text; amount and unit are then read from the matches, which are short.
     found = F.transform(
-        F.arrays_zip(amounts.alias("amount"), units.alias("unit"), whole.alias("evidence")),
-        lambda x: F.struct((x["amount"].cast("double") * F.try_element_at(_unit_map(), collapsed(F.lower(x["unit"])))).alias("ml"), x["evidence"].alias("evidence")),
+        F.regexp_extract_all(text(c), F.lit(CONTENTS), F.lit(0)),
+        lambda m: F.struct((F.regexp_extract(m, CONTENTS, 1).cast("double") * F.try_element_at(_unit_map(), collapsed(F.lower(F.regexp_extract(m, CONTENTS, 2))))).alias("ml"), m.alias("evidence")),
     )
     return F.filter(found, lambda x: x["ml"].isNotNull())
 
