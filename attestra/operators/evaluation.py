@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.evidence import token_score
+from ..functions.evidence import tokens, word_score
 from ..functions.text import collapsed, text
 from ..functions.variants import field_variants
 
@@ -18,16 +18,19 @@ def targets(applications: DataFrame, item: str, fields: list[str]) -> DataFrame:
     return long.select(item, "t.field", "t.expected").where("expected <> ''")
 
 
-def evaluated(wanted: DataFrame, panels: DataFrame, item: str, panel: str, body: str, score: Callable[[Column, Column], Column] = token_score) -> DataFrame:
+def evaluated(wanted: DataFrame, panels: DataFrame, item: str, panel: str, body: str, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Each field's best score over its variants and the item's panels, and what follows from it.
 
     The first panel and variant with the best score count; with no score at all
     there is no best panel. Panels meet fields on the item; the best is a partial
-    aggregate, so nothing is ranked.
+    aggregate, so nothing is ranked. Without a ``score`` the share of words counts,
+    for which a panel's words are taken apart once, before they meet.
     """
     tried = wanted.select(item, "field", "expected", F.posexplode(field_variants(F.col("field"), F.col("expected"))).alias("variant", "candidate"))
-    met = tried.join(panels.select(item, F.col(panel).alias("panel"), F.col(body).alias("body")), item)
-    scored = met.select(item, "field", "expected", "variant", "candidate", "panel", score(F.col("candidate"), F.col("body")).alias("score"))
+    read = F.col(body) if score else tokens(F.col(body))
+    met = tried.join(panels.select(item, F.col(panel).alias("panel"), read.alias("read")), item)
+    points = score(F.col("candidate"), F.col("read")) if score else word_score(tokens(F.col("candidate")), F.col("read"))
+    scored = met.select(item, "field", "expected", "variant", "candidate", "panel", points.alias("score"))
     best = scored.groupBy(item, "field", "expected").agg(F.min_by(F.struct("score", "panel", "candidate"), F.struct(-F.col("score"), F.col("panel"), F.col("variant"))).alias("b"))
     points = F.col("b.score")
     return best.select(

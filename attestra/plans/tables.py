@@ -410,7 +410,7 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FIELDS = ["brand_name", "class_type", "alcohol_content", "country_of_origin"]
-_PANELS_SQL = "SELECT item_id, l_linenumber AS panel, any_value(brand_name) AS brand_name, any_value(class_type) AS class_type, any_value(alcohol_content) AS alcohol_content, any_value(country_of_origin) AS country_of_origin, min(full_text) AS body FROM base GROUP BY ALL"
+_PANELS_SQL = "SELECT item_id, l_linenumber AS panel, min(brand_name) AS brand_name, min(class_type) AS class_type, min(alcohol_content) AS alcohol_content, min(country_of_origin) AS country_of_origin, min(full_text) AS body FROM base GROUP BY ALL"
 _TOKENS = "list_distinct(list_filter(string_split(lower(trim(regexp_replace({0}, '[^a-zA-Z0-9]+', ' ', 'g'))), ' '), lambda x: x <> ''))"
 
 
