@@ -145,6 +145,21 @@ def test_ppm_scores(spark, docs, nothing):
     assert all(math.isclose(r.score, -(len((t or "").encode()) + 1) * math.log10(256), rel_tol=1e-9) for r, t in [(ppm.scored(docs.where("doc_id = 4"), nothing).first(), "one")])
 
 
+def test_ppm_keeps_every_ngram(spark):
+    order, letters = ppm.ORDER, "abcdefghijklmnopqrstuvwxyz0123456789,.;:-+*/()"
+    r = random.Random(5)
+    texts = ["".join(r.choices(letters, k=20000)) for _ in range(30)]
+    keys, counts = ppm._counted(ppm.grams([t.encode() for t in texts], order)[0])
+    assert len(keys) > 1 << 19
+    trie = ppm.Trie([ppm._merged([(keys & ppm._mask(o + 1), counts)]) for o in range(order + 1)])
+    asked = [texts[3], texts[7][50:90] + "unseen words", "", "zz\u00e9"]
+    want = [trie.log2(ppm.grams([t.lower().encode()], order)[0]).sum() * math.log10(2) for t in asked]
+    train, docs = documents(spark, list(enumerate(texts))), documents(spark, list(enumerate(asked)))
+    for common in (ppm.COMMON, 100):
+        got = {x.doc_id: x.score for x in ppm.scored(docs, train, common=common).collect()}
+        assert np.allclose([got[i] for i in range(len(asked))], want)
+
+
 def slow_ppm(levels, text: bytes, at: int) -> float:
     """log2 of a symbol's probability, straight from the definition."""
     excluded, total = set(), 0.0
