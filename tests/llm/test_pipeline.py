@@ -45,6 +45,25 @@ def test_stages_take_effect(spark, tmp_path):
     assert packed == collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in again.collect())
 
 
+def test_near_dedup_reaches_likeness(spark):
+    def edited(words, n):
+        return " ".join(f"new{i}" if i % (len(words) // n) == 7 and i // (len(words) // n) < n else w for i, w in enumerate(words))
+
+    def likeness(x, y):
+        a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (x, y))
+        return len(a & b) / len(a | b)
+
+    rows = []
+    for i in range(12):
+        text = prose(i, 300)
+        rows += [(10 * i, text), (10 * i + 1, edited(text.split(), 1 + i // 2)), (10 * i + 2, edited(text.split(), 20))]
+    rows += [(500 + i, edited(prose(77, 300).split(), 1).replace("new7", f"only{i}")) for i in range(60)] + [(900, "two words"), (901, "two words"), (902, "Two  words")]
+    assert all(likeness(rows[3 * i][1], rows[3 * i + 1][1]) >= 0.8 > likeness(rows[3 * i][1], rows[3 * i + 2][1]) for i in range(12))
+    docs = documents(spark, rows).select(*corpus_pipeline.COLUMNS).repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {10 * i for i in range(12)} | {10 * i + 2 for i in range(12)} | {500, 900}
+
+
 def test_run_and_empty_table(spark, tmp_path):
     df = documents(spark, corpus(), ["en"] * len(corpus())).select(*corpus_pipeline.COLUMNS)
     df.write.parquet(str(tmp_path / "documents.parquet"))
