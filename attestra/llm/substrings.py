@@ -57,14 +57,19 @@ class Anchors:
         #: Starts of all windows, and where each one's anchor begins.
         fits = np.arange(n) + window <= self.ends[self.doc] if n else np.zeros(0, bool)
         self.windows = np.flatnonzero(fits)
-        #: The upper bits decide, then the earlier place.
-        best = (self.seeds & ~_ROW) | np.arange(n, dtype=np.uint64)
+        #: The upper bits decide, then the earlier place; a longer text's places have an array of their own.
+        apart = n > int(_ROW) + 1
+        best, place = self.seeds & ~_ROW, np.arange(n, dtype=np.uint64)
+        if not apart:
+            best |= place
         width, length = window - seed + 1, 1
         while length < width:
             step = min(length, width - length)
+            if apart:
+                place[: n - step] = np.where(best[step:] < best[: n - step], place[step:], place[: n - step])
             best[: max(n - step, 0)] = np.minimum(best[: max(n - step, 0)], best[step:])
             length += step
-        self.anchor = (best & _ROW)[self.windows].astype(np.int64)
+        self.anchor = (place if apart else best & _ROW)[self.windows].astype(np.int64)
         self.anchors = np.unique(self.anchor)
 
     def contexts(self) -> np.ndarray:

@@ -255,6 +255,15 @@ def slow_groups(prints: dict, radius=4):
     return out
 
 
+def test_anchors_of_more_words_than_place_bits(monkeypatch):
+    monkeypatch.setattr(substrings, "_ROW", np.uint64(255))
+    a = substrings.Anchors([(prose(3, 900) + " " + prose(4, 50) * 4).encode(), prose(3, 400).encode()])
+    n, width = len(a.words), a.window - a.seed + 1
+    assert n > 1200
+    want = [min(range(w, min(w + width, n)), key=lambda j: (int(a.seeds[j]) >> 8, j)) for w in a.windows.tolist()]
+    assert a.anchor.tolist() == want
+
+
 def test_simhash_groups(spark, docs, nothing):
     rows = [(i, t) for i, t in awkward() if i is not None]
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).where("doc_id is not null").collect()}
