@@ -40,7 +40,7 @@ def _sha(*parts: str) -> str:
   lower(trim(regexp_replace(s, '[^a-zA-Z0-9]+', ' ', 'g'))) AS plain, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS flat,
   substr(sha256(trim(regexp_replace(s, '\\s+', ' ', 'g')) || '|' || CAST(doc_id AS STRING)), 1, 16) AS key FROM t""")
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("s"))
+    d = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"))
     return d.select("doc_id", tx.label_text(F.col("s")).alias("plain"), tx.collapsed(F.col("s")).alias("flat"), tx.stable_id(F.col("s"), F.col("doc_id").cast("string")).alias("key"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestra.operators import merges, metrics, sampling
+from attestra.plans import tables
 from attestra.sources import files, manifests, sinks
 from attestra.streaming import jobs
 
@@ -88,6 +89,13 @@ def test_samples_are_exact_and_disjoint(spark):
     assert len(plan) == 9 and sum(p.role == "primary" for p in plan) == 6 and all(p.day.weekday() < 5 for p in plan)
 
 
+def test_whole_texts_are_normalised(spark, tmp_path):
+    text = "Ab-c  d " * 100
+    spark.createDataFrame([(1, text + "one"), (2, text + "two")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in tables.normalised_text(spark, str(tmp_path)).collect()}
+    assert got[1].plain == "ab c d " * 100 + "one" and got[2].flat == "Ab-c d " * 100 + "two"
+
+
 def test_metrics_of_nothing_and_ties(spark):
     none = spark.createDataFrame([], "y int, p boolean")
     r = metrics.confusion(none, "y", "p").first()
