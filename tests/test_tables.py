@@ -96,6 +96,13 @@ def test_whole_texts_are_normalised(spark, tmp_path):
     assert got[1].plain == "ab c d " * 100 + "one" and got[2].flat == "Ab-c d " * 100 + "two"
 
 
+def test_confusion_counts_every_source(spark, tmp_path):
+    docs = [(i, "t", "en", f"src{i % 3}", 4000) for i in range(9)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert {r.source: r.examples for r in tables.confusion_by_source(spark, str(tmp_path)).collect()} == {"src0": 3, "src1": 3, "src2": 3}
+
+
 def test_metrics_of_nothing_and_ties(spark):
     none = spark.createDataFrame([], "y int, p boolean")
     r = metrics.confusion(none, "y", "p").first()
