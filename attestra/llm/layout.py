@@ -37,12 +37,14 @@ DEEPEST = 512
 # Elements by the roles that HTML gives them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist select area base link meta param source track col colgroup".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist defs desc metadata annotation annotation-xml area base link meta param source track col colgroup".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure form fieldset hr menu dir".split())
-LINES = frozenset("div section article aside header footer main nav address li dt dd tr caption figcaption details summary legend html body center hgroup dialog search option thead tbody tfoot td th".split())
+LINES = frozenset("div section article aside header footer main nav address li dt dd tr caption figcaption details summary legend html body center hgroup dialog search option text thead tbody tfoot td th".split())
 FORMATS = frozenset("a b big code em font i nobr s small strike strong tt u span".split())
-ENDS_P = SPACED | LINES - frozenset("tr td th thead tbody tfoot caption html body legend option".split())
+ENDS_P = SPACED | LINES - frozenset("tr td th thead tbody tfoot caption html body legend option text".split())
 TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+#: What a table takes; all else moves before it.
+IN_TABLES = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 #: An open element, the start tags that close it, and the elements that keep it open.
 CLOSED_BY = {
     "p": (ENDS_P, frozenset("table td th caption button object template html".split())),
@@ -116,7 +118,7 @@ class Builder:
     def place(self, item: Node | str) -> None:
         """Put into the open element, or before the table if that takes only rows and cells."""
         top = self.open[-1]
-        stray = top.name in TABLE_PARTS and (item.strip() if isinstance(item, str) else item.name not in CLOSED_BY and item.name not in UNSEEN)
+        stray = top.name in TABLE_PARTS and (item.strip() if isinstance(item, str) else item.name not in IN_TABLES and item.name not in UNSEEN)
         if stray:
             i = max(i for i, n in enumerate(self.open) if n.name == "table") if any(n.name == "table" for n in self.open) else 0
             if i:
@@ -133,6 +135,13 @@ class Builder:
     def start(self, name: str, rest: str) -> None:
         while name in _CLOSES and self.closes(name):
             pass
+        if name in IN_TABLES:
+            #: A part of the table ends stray content that is still open.
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].name in TABLE_PARTS:
+                    del self.open[i + 1 :]
+                if self.open[i].name in TABLE_PARTS or self.open[i].name in ("td", "th", "caption"):
+                    break
         if name in ("td", "th") and self.open[-1].name in TABLE_PARTS and self.open[-1].name != "tr":
             self.start("tr", "")
         node = Node(name, attributes_of(rest) if rest.strip() else None)

@@ -322,6 +322,23 @@ def test_layout(html, text):
     assert layout.page_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "words"),
+    [
+        ("<table><p>Hello</p><tr><td>x</table>", ["Hello", "x"]),
+        ("<table><p>Hello<tr><td>x</table>", ["Hello", "x"]),
+        ("<table><tr><h2>Title</h2><td>x</table>", ["Title", "x"]),
+        ("<table><tbody><li>one<li>two<tr><td>x</table>", ["-", "one", "-", "two", "x"]),
+        ("<table><dt>a<dd>b<tr><td>x<td>y</table>", ["a", "b", "x", "y"]),
+        ("<p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math>", ["sum", "x+1"]),
+        ("<svg><title>no</title><text>one</text><text>two</text></svg>", ["one", "two"]),
+        ("<select><option>red<option>blue</select>", ["red", "blue"]),
+    ],
+)
+def test_layout_keeps_visible_text(html, words):
+    assert layout.page_text(html).split() == words
+
+
 def test_layout_of_tables_and_depth(spark):
     pages = spark.createDataFrame([(1, "<p>a", 3), (1, "<p>a", 3), (None, None, 4), (2, "<div>" * 5000 + "deep" + "<table><tr><td>" * 100 + "x", 5)], "page_id bigint, html string, text int")
     assert sorted((r.page_id or 0, (r.text or "-")[:4]) for r in layout.extracted(pages).collect()) == [(0, "-"), (1, "a"), (1, "a"), (2, "deep")]
