@@ -124,18 +124,26 @@ def chunked(df: DataFrame, split: str, order: list[str], size: int, name: str) -
 def negative_pairs(targets: DataFrame, group: list[str], id_col: str, value: str, seed: str, per_target: int) -> DataFrame:
     """For each target ``per_target`` others of its group with another id and another value.
 
-    Others are taken from the ``spread`` rows that follow the target in its
-    group's hash order, cyclically, not from all pairs: a group of n gives
-    n * spread candidates. Groups whose rows all share one value give none.
+    Others are the next in the group's hash order, cyclically, however far they
+    are: rows of one id lie side by side and are passed at once, and so is a run
+    of the target's own value, so each negative is one join by place.
     """
-    spread = 4 * per_target + 4
-    window = Window.partitionBy(*group)
-    ordered = window.orderBy(order_hash(seed, F.col(id_col)), id_col)
-    ring = targets.select(*group, id_col, value).withColumns({"_at": F.row_number().over(ordered) - 1, "_n": F.count("*").over(window)})
-    steps = ring.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(spread)))).where(F.col("_step") < F.col("_n"))
-    steps = steps.withColumn("_to", (F.col("_at") + F.col("_step")) % F.col("_n"))
-    other = ring.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_at").alias("_place"), F.col(id_col).alias(f"candidate_{id_col}"), F.col(value).alias(f"candidate_{value}"))
-    on = [F.col(g) == F.col(f"_{g}") for g in group] + [F.col("_to") == F.col("_place")]
-    pairs = steps.join(other, on).where((F.col(id_col) != F.col(f"candidate_{id_col}")) & (F.col(value) != F.col(f"candidate_{value}")))
-    ranked = pairs.withColumn("negative", F.row_number().over(Window.partitionBy(*group, id_col).orderBy("_step")))
-    return ranked.where(F.col("negative") <= per_target).select(*group, id_col, value, f"candidate_{id_col}", f"candidate_{value}", "negative")
+    known = targets.select(*group, id_col, value).where(F.col(id_col).isNotNull() & F.col(value).isNotNull())
+    order = [order_hash(seed, F.col(id_col)), F.col(id_col), F.col(value)]
+    own = Window.partitionBy(*group, id_col)
+    ring = known.withColumns({"_at": F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1, "_n": F.count("*").over(Window.partitionBy(*group))})
+    ring = ring.withColumns({"_cur": F.max("_at").over(own) + 1, "_stop": F.min("_at").over(own) + F.col("_n")})
+    #: Two turns of the ring, each place with the first after it that has another value.
+    turns = ring.withColumn("_place", F.explode(F.array(F.col("_at").cast("long"), F.col("_at") + F.col("_n"))))
+    turns = turns.withColumn("_new", F.col(value) != F.lag(value).over(Window.partitionBy(*group).orderBy("_place")))
+    here = F.struct(F.col("_place").alias("at"), F.col(id_col).alias("id"), F.col(value).alias("value"))
+    back = Window.partitionBy(*group).orderBy(F.col("_place").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.select(*[F.col(g).alias(f"_{g}") for g in group], "_place", here.alias("_here"), F.min(F.when(F.col("_new"), here)).over(back).alias("_next"))
+    found, cur = None, ring
+    for nth in range(1, per_target + 1):
+        met = cur.join(turns, [F.col(g) == F.col(f"_{g}") for g in group] + [F.col("_cur") == F.col("_place")])
+        met = met.withColumn("_other", F.when(F.col("_here.value") != F.col(value), F.col("_here")).otherwise(F.col("_next"))).where(F.col("_other.at") < F.col("_stop"))
+        one = met.select(*group, id_col, value, F.col("_other.id").alias(f"candidate_{id_col}"), F.col("_other.value").alias(f"candidate_{value}"), F.lit(nth).alias("negative"))
+        found = one if found is None else found.unionByName(one)
+        cur = met.select(*group, id_col, value, "_stop", (F.col("_other.at") + 1).alias("_cur"))
+    return found

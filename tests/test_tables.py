@@ -103,6 +103,14 @@ def test_confusion_counts_every_source(spark, tmp_path):
     assert {r.source: r.examples for r in tables.confusion_by_source(spark, str(tmp_path)).collect()} == {"src0": 3, "src1": 3, "src2": 3}
 
 
+def test_negative_pairs_are_found_at_any_distance(spark):
+    rows = [("a", i, 0) for i in range(200)] + [("a", 200, 1), ("a", 201, 2)] + [("b", 1, i) for i in range(30)] + [("b", 2, 50), ("c", 1, 1), ("c", 2, 1)]
+    got = sampling.negative_pairs(spark.createDataFrame(rows, "g string, id int, v int"), ["g"], "id", "v", "s", 2).collect()
+    want = sum(min(2, sum(h == g and j != i and w != v for h, j, w in rows)) for g, i, v in rows)
+    assert len(got) == want and all(p.id != p.candidate_id and p.v != p.candidate_v for p in got)
+    assert len({(p.g, p.id, p.v, p.negative) for p in got}) == want
+
+
 def test_metrics_of_nothing_and_ties(spark):
     none = spark.createDataFrame([], "y int, p boolean")
     r = metrics.confusion(none, "y", "p").first()
