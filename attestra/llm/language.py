@@ -9,9 +9,12 @@ the score; a narrow margin rejects the text. Case is folded on both sides. Where
 bytes are too coarse: then what counts is what the text adds to ``PRIMERS``
 primers of each language, which tell the coder the language's letters, too.
 
-The sample: up to ``DOCS`` texts of a language, chosen by a hash of text and id,
-``SAMPLE`` bytes from the middle of each. That bound holds for training only;
-every text is classified whole.
+The sample: texts in the order of a hash of text and id, up to ``DOCS`` of them
+and ``SAMPLE`` characters of a language together, whole but for those longer than
+``LONGEST`` characters, of which the middle part teaches (many excerpts teach more
+than few whole texts, as labels have errors; ``longest=None``: whole, too); ``LANGUAGES`` labels at most, those with most texts. These bounds hold for
+training only; every text is classified whole. :func:`crossed` learns for each
+half of the texts from the other half, so that none meets itself.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; so is every text where nothing was learned; with one learned language
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, slices, thinned
 
-DOCS, SAMPLE, PIECE = 400, 600, 4096
+DOCS, SAMPLE, LONGEST, LANGUAGES, PIECE = 400, 240_000, 600, 200, 4096
 LEVEL, SHORT = 3, 256
 FINE_LEVEL, PRIMER, PRIMERS = 12, 1500, 6
 #: The score of a relative margin m is m / (m + HALF).
@@ -46,16 +49,21 @@ UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS, sample: int = SAMPLE) -> dict[str, bytes]:
-    """Training text of each language, at most ``docs_each * sample`` characters of it."""
+def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS, sample: int = SAMPLE, longest: int | None = LONGEST, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """Training text of each language; about ``sample`` characters of it, which the last text taken may exceed."""
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    middle = F.greatest(F.lit(1), F.floor((F.length(text_col) - sample) / 2)).cast("int")
-    known = known.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), middle, F.lit(sample)).alias("part"), F.xxhash64(text_col, id_col).alias("order"))
-    sizes = {r["lang"]: r["n"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    known = thinned(known, "lang", "order", sizes, docs_each)
-    ranked = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "part"))).where(F.col("n") <= docs_each)
+    part = F.col(text_col)
+    if longest:
+        middle = F.floor((F.length(part) - longest) / 2).cast("int")
+        part = F.when(F.length(part) > longest, F.substring(part, F.greatest(F.lit(1), middle), F.lit(longest))).otherwise(part)
+    known = known.select(F.col(lang_col).alias("lang"), part.alias("part"), F.xxhash64(text_col, id_col).alias("order"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    known = thinned(known, "lang", "order", {r["lang"]: r["n"] for r in counts.collect()}, docs_each)
+    order = Window.partitionBy("lang").orderBy("order", "part")
+    ranked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_each)
+    before = F.coalesce(F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out: dict[str, list[str]] = {}
-    for r in sorted(ranked.collect(), key=lambda r: (r["lang"], -r["n"])):
+    for r in sorted(ranked.withColumn("before", before).where(F.col("before") < sample).collect(), key=lambda r: (r["lang"], -r["n"])):
         out.setdefault(r["lang"], []).append(r["part"])
     return {lang: "\n".join(parts).encode() for lang, parts in out.items()}
 
@@ -148,3 +156,13 @@ def held_out_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     training = samples(docs.where(~held), id_col, text_col, lang_col)
     rows = classified(docs.select(id_col, text_col, held.alias("held_out")), training, text_col)
     return rows.select(id_col, "held_out", "lang_pred", "score", "rejected")
+
+
+def crossed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """:func:`classified`, each half of the texts (copies together, by a hash) by what the other half teaches."""
+    half = F.pmod(F.xxhash64(text_col), F.lit(2))
+    taught = [samples(docs.where(half != i), id_col, text_col, lang_col) for i in (0, 1)]
+    if not all(taught):
+        #: So few texts that a half has none with a label.
+        taught = [taught[0] or taught[1]] * 2
+    return classified(docs.where(half == 0), taught[0], text_col).unionByName(classified(docs.where(half == 1), taught[1], text_col))
