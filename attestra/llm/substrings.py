@@ -97,11 +97,11 @@ def _texts(part: pa.RecordBatch) -> list[bytes]:
 def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``own`` (the id), ``text`` and the key ``id``, ``tag``, which has no nulls.
 
-    The tag tells apart rows that share an id but not a text, and null ids.
+    The tag, of 64 bits, tells apart rows that share an id but not a text, and null ids.
     """
     own, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(own, F.lit("0").cast(docs.schema[id_col].dataType))
-    return docs.select(own.alias("own"), text.alias("text"), key.alias("id"), F.hash(text, own.isNull()).alias("tag"), *[F.col(c).alias(f"_kept_{c}") for c in keep])
+    return docs.select(own.alias("own"), text.alias("text"), key.alias("id"), F.xxhash64(text, own.isNull()).alias("tag"), *[F.col(c).alias(f"_kept_{c}") for c in keep])
 
 
 def _per_document(rows: DataFrame, docs: DataFrame, value: str, how: str) -> DataFrame:
@@ -144,7 +144,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             [part.column("id").take(pa.array(doc)), part.column("tag").take(pa.array(doc)), pa.array((a.anchors - a.starts[doc]).astype(np.int32)),
              pa.array(a.seeds[a.anchors].view(np.int64)), pa.array(a.contexts().view(np.int64))], ["id", "tag", "at", "anchor", "context"])
 
-    found, found_path = stored(keyed.mapInArrow(_mapped(anchors), f"id {id_type}, tag int, at int, anchor bigint, context bigint"), "anchors")
+    found, found_path = stored(keyed.mapInArrow(_mapped(anchors), f"id {id_type}, tag bigint, at int, anchor bigint, context bigint"), "anchors")
     #: Stored, so that both sides of the join are plain exchanges, whose hot keys are split at run time.
     twice, twice_path = stored(found.groupBy("anchor").count().where("count > 1").select(F.col("anchor").alias("_anchor")), "repeated-anchors")
     seeds, seeds_path = stored(found.join(twice.hint("merge"), F.col("anchor") == F.col("_anchor")).drop("_anchor"), "seeds")
@@ -169,7 +169,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             [part.column("id").take(pa.array(doc)), part.column("tag").take(pa.array(doc)), pa.array((start - a.starts[doc]).astype(np.int32)),
              pa.array(a.seeds[a.anchor[wanted]].view(np.int64)), pa.array(hashes.view(np.int64))], ["id", "tag", "start", "anchor", "window"])
 
-    compared = _per_document(doubtful, keyed, "struct(at)", "inner").mapInArrow(_mapped(windows), f"id {id_type}, tag int, start int, anchor bigint, window bigint")
+    compared = _per_document(doubtful, keyed, "struct(at)", "inner").mapInArrow(_mapped(windows), f"id {id_type}, tag bigint, start int, anchor bigint, window bigint")
     compared, compared_path = stored(compared, "windows")
     again, _ = stored(compared.groupBy("anchor", "window").count().where("count > 1").select(F.col("anchor").alias("_anchor"), F.col("window").alias("_window")), "repeated-windows")
     hit = compared.join(again.hint("merge"), (F.col("anchor") == F.col("_anchor")) & (F.col("window") == F.col("_window"))).select("id", "tag", F.col("start").alias("at"))
