@@ -16,7 +16,8 @@ models. Every URL is judged.
 Edge cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule, and has score 0; without labels of both kinds nothing is blocked
 by score; of an allowing and a blocking rule of equal length, the blocking one
-holds; repeated rows get equal verdicts; extra columns are passed by.
+holds; repeated rows get equal verdicts; a URL of any length is judged
+whole; extra columns are passed by.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import thinned
+from .common import slices, thinned
 
 ORDER, SAMPLE = 5, 20_000
 #: Every n-th labelled URL, by hash, calibrates instead of training.
@@ -164,9 +165,10 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _fitted(ratio.value)
         for batch in batches:
-            scores = [judge.score(t) for t in batch.column("_text").to_pylist()]
-            verdicts = [says or (ALLOW if judge.accepts(s) else BLOCK) for s, says in zip(scores, batch.column("_says").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], ["_id", "host", "path", "rule", "verdict", "score"])
+            for part in slices(batch, "_text"):
+                scores = [judge.score(t) for t in part.column("_text").to_pylist()]
+                verdicts = [says or (ALLOW if judge.accepts(s) else BLOCK) for s, says in zip(scores, part.column("_says").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_id", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], ["_id", "host", "path", "rule", "verdict", "score"])
 
     kind = split.schema["_id"].dataType.simpleString()
     return split.mapInArrow(run, f"_id {kind}, host string, path string, rule string, verdict string, score double").withColumnRenamed("_id", id_col)

@@ -74,22 +74,60 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def test_sketches_of_edits(spark, docs, nothing):
-    rows = sorted(((i, t or "") for i, t in awkward()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    got = collections.defaultdict(list)
-    for r in sketches.edit_checks(docs).collect():
-        got[r.doc_id].append(r)
-    assert sum(map(len, got.values())) == len(rows)
+def plain_sketch(text: str, k: int = 5, fraction: float = sketches.FRACTION) -> set[int]:
+    """By sets, without arrays: the hashes of whole shingles below the fraction."""
+    base, h = sketches._BASE, [xxhash.xxh3_64_intdigest(w, 0) for w in text.encode().lower().split()]
+    runs = [h[i : i + k] for i in range(max(1, len(h) - k + 1))] if h else []
+    out = set()
+    for run in runs:
+        value = 0
+        for x in run:
+            value = (value * base + x) % 2**64
+        value = int(sketches.mixed(np.array([value], np.uint64))[0])
+        out.add(int(sketches.mixed(np.array([value ^ len(run)], np.uint64))[0]) if len(run) < k else value)
+    return {v for v in out if v < int(fraction * 2**64)}
+
+
+def plain_edit_checks(rows: list[tuple]) -> collections.Counter:
+    """What edit_checks returns for rows in order of id and tie."""
+    out = collections.Counter()
     for k, (i, text) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
-        assert any(r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() for r in got[i]), i
-        r = next(r for r in got[i] if r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest())
-        assert abs(r.near_edited - jaccard(shingles(text), shingles(edited))) < 0.25
-        assert abs(r.near_next - jaccard(shingles(text), shingles(after))) < 0.25
-    assert got[6][0].fingerprint == got[7][0].fingerprint != got[9][0].fingerprint
-    assert got[1][0].fingerprint == got[2][0].fingerprint == ""
+        a, b, c = plain_sketch(text), plain_sketch(edited), plain_sketch(after)
+        spell = lambda s: "".join(f"{v:016x}" for v in sorted(s))
+        out[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), spell(a), spell(b), round(jaccard(a, b) if a and b else float(len(a) == len(b)), 9), round(jaccard(a, c) if a and c else float(len(a) == len(c)), 9)] += 1
+    return out
+
+
+def found_edit_checks(df) -> collections.Counter:
+    return collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in df.collect())
+
+
+def in_order(spark, rows: list[tuple]) -> list[tuple]:
+    """Rows by id (null first) and the hash of their text."""
+    ties = [r.tie for r in spark.createDataFrame([(n, t or "") for n, (_, t) in enumerate(rows)], "n int, t string").selectExpr("n", "xxhash64(t) AS tie").orderBy("n").collect()]
+    return [(i, t or "") for (i, t), _ in sorted(zip(rows, ties, strict=True), key=lambda r: (r[0][0] is not None, r[0][0] or 0, r[1]))]
+
+
+def test_sketches_equal_brute_force(spark, docs, nothing):
+    assert found_edit_checks(sketches.edit_checks(docs)) == plain_edit_checks(in_order(spark, awkward()))
+    r = random.Random(2)
+    hot = [(r.choice([5, 5, 5, i]), prose(i % 9, r.randint(0, 30))) for i in range(300)] + [(None, prose(i, 6)) for i in range(40)]
+    got = found_edit_checks(sketches.edit_checks(documents(spark, hot).repartition(5)))
+    assert got == plain_edit_checks(in_order(spark, hot))
     assert sketches.edit_checks(nothing).count() == 0
+    single = sketches.edit_checks(documents(spark, [(3, "one two three")])).first()
+    assert single.near_next == 1.0 and single.edited_sha256 == hashlib.sha256(b"one two" + b"one tw").hexdigest()
+
+
+def test_sketches_of_string_ids(spark):
+    rows = [(f"id{i % 50}", prose(i, 20)) for i in range(120)] + [(None, "a b")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sketches.edit_checks(df).collect()
+    assert len(got) == 121 and {r.doc_id for r in got} == {i for i, _ in rows}
+    prints = {(r.doc_id, r.fingerprint) for r in sketches.fingerprints(df).collect()}
+    assert prints == {(r.doc_id, r.fingerprint) for r in got}
 
 
 def test_sketch_algebra():
@@ -99,8 +137,7 @@ def test_sketch_algebra():
     assert sketches.containment(z, x) > 0.95 and sketches.containment(x, z) < 0.3 and sketches.likeness(x, y) < 0.05
     both = sketches.merged(x, y)
     assert sketches.containment(x, both) == 1.0 and list(sketches.read(sketches.spelt(x))) == list(x)
-    plain = sketches.sketches([a.encode()], floor=0)[0]
-    assert all(int(h) < 2**61 for h in plain) and abs(len(plain) * 8 / 2996 - 1) < 0.2
+    assert all(int(h) < sketches.FRACTION * 2**64 for h in x) and abs(len(x) / sketches.FRACTION / 2996 - 1) < 0.2
 
 
 # ---- language
@@ -121,6 +158,42 @@ def test_language(spark, nothing):
     assert {r.lang_pred for r in language.classified(df, {}).collect()} == {"und"}
     kept = language.classified(df, language.samples(df))
     assert kept.count() == len(rows) and set(df.columns) <= set(kept.columns)
+    whole = language.samples(df, longest=None)
+    assert sum(t.encode() in whole["de"] for t in german) > 20 and german[0].encode() * 50 not in language.samples(df)["de"]
+    halves = {r.doc_id: r.lang_pred for r in language.crossed(df).collect()}
+    assert all(halves[i] == ("de" if i < 30 else "fr") for i in range(60)) and halves[100] == "und"
+    assert language.crossed(nothing).count() == 0
+
+
+def test_language_sample_is_of_texts_that_teach(spark):
+    df = spark.range(20000).selectExpr("id AS doc_id", "if(id % 40 = 0, concat('wort ', id, ' und mehr'), if(id % 2 = 0, '', null)) AS text", "'de' AS lang")
+    assert language.samples(df)["de"].count(b"wort") == 400
+    junk = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "if(id < 1000, 'en', concat('j', id)) AS lang")
+    assert len(language.samples(junk, languages=5)) == 5 and "en" in language.samples(junk, languages=5)
+
+
+def slow_language(training: dict, text: str) -> str:
+    """The least sum of sizes, each piece compressed afresh with the dictionary as a prefix."""
+    import zstandard
+
+    best = {}
+    for lang, content in training.items():
+        total = 0
+        for piece in language.Classifier({lang: content}).pieces(text.lower().encode()):
+            options = zstandard.ZstdCompressionParameters.from_level(language.LEVEL, source_size=2 * language.PIECE, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
+            d = zstandard.ZstdCompressionDict(content.decode().lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            total += len(zstandard.ZstdCompressor(dict_data=d, compression_params=options).compress(piece))
+        best[lang] = total
+    return min(best, key=best.get)
+
+
+def test_language_equals_plain_compression():
+    training = {lang: " ".join(prose(s + i, 200, v) for i in range(20)).encode() for lang, s, v in (("aa", 0, 40), ("bb", 500, 90), ("cc", 900, 300))}
+    classify = language.Classifier(training)
+    for i in range(12):
+        text = prose(2000 + i, 150 + 90 * i, (40, 90, 300)[i % 3])
+        lang, score = classify(text)
+        assert score < language.FINER / (language.FINER + language.HALF) or lang == slow_language(training, text)
 
 
 # ---- language-model scores
@@ -339,6 +412,61 @@ def test_layout_keeps_visible_text(html, words):
     assert layout.page_text(html).split() == words
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p title=it's>Hello world, don't <b>go</b> away", "Hello world, don't go away"), ("a</ x>b", "ab"), ("<table><form><tr><td>a<td>b</form></table>", "a  b"),
+        ("<table><tfoot><tr><td>foot<tbody><tr><td>body<thead><tr><td>head</table>", "head\nbody\nfoot"), ("<style>.h{display:none} p.v{visibility:hidden}</style><p class='x h'>no<p class=v>no<b style=visibility:visible>yes</b>", "yes"),
+        ("<style>@media print{p{display:none}} #i{display:none!important}</style><p>a<p id=i>no", "a"), ("<style>/* {} */ div{display:none} .s{display:block}</style><div>no</div><div class=s>yes</div>", "yes"),
+        ("<p hidden style='display:block'>shown", "shown"), ("<input type=submit value=Send><input type=hidden value=no><input value=typed><input type=password value=no>", "Send typed".replace(" ", "")),
+        ("<head><meta charset=x>visible", "visible"), ("<pre>\n\na</pre>", "\na"), ("<table><tr><td>a<table><tr><td>in<td>ner</table><td>b</table>", "a        b\nin  ner"), ("x <a href='>'>y</a> z", "x y z"),
+        ("<p>a<b unfinished", "a"), ("<textarea><p>kept</textarea>", "<p>kept"), ("<table><tr><td colspan=2>ab<tr><td>c<td>d</table>", "ab\nc  d"), ("a<wbr>b<q>c</q>", "abc"),
+    ],
+)
+def test_layout_as_browsers_have_it(html, text):
+    assert layout.page_text(html).strip("\n") == text.strip("\n")
+
+
+def random_page(r, words, depth=0):
+    """A page and the visible words in it, by construction: every text is a new word, and hidden ones begin with an h."""
+    out = []
+    for _ in range(r.randint(1, 5)):
+        kind = r.random()
+        if kind < 0.35 or depth > 6:
+            words.append(f"w{len(words)}")
+            out.append(r.choice([" ", "\n", "&#32;"]) + words[-1] + r.choice([" ", " <br> "]))
+        elif kind < 0.45:
+            inner = f"h{r.random()}"
+            out.append(r.choice([f"<script>{inner}</script>", f"<p hidden>{inner}</p>", f"<div style='display:none'>{inner}<b>{inner}</b></div>", f"<style>{inner}</style>", f"<!-- {inner} -->", f"<i style=visibility:hidden>{inner}</i>", f"<details>{inner}</details>"]))
+        elif kind < 0.6:
+            rows = "".join("<tr>" + "".join(f"<td{r.choice(['', ' colspan=2', ' rowspan=2'])}>{random_page(r, words, depth + 2)}" for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 3)))
+            stray = random_page(r, words, depth + 3) if r.random() < 0.3 else ""
+            out.append(f"<table>{stray}{rows}</table>")
+        elif kind < 0.7:
+            out.append("<ul>" + "".join(f"<li>{random_page(r, words, depth + 2)}" for _ in range(r.randint(1, 3))) + "</ul>")
+        else:
+            name = r.choice("p div span b h2 section a pre blockquote dl em form select".split())
+            out.append(f"<{name}{r.choice(['', ' class=c', ' title=it' + chr(39) + 's', ' x=' + chr(34) + '>' + chr(34)])}>{random_page(r, words, depth + 1)}" + r.choice([f"</{name}>", f"</{name} >"]))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_layout_loses_no_visible_text(seed):
+    words: list[str] = []
+    page = random_page(random.Random(seed), words, 2)
+    found = [w for w in layout.page_text(page).split() if w != "-"]
+    assert sorted(found) == sorted(words), page
+
+
+@pytest.mark.parametrize("part", ["<a '", '<a b="', "</x", "<td colspan=1000>x", "<!--", "<p", "<", "<style>@media{a{b:c}", "&", "<table><p>x", "<style>.a{display:none}</style><p class=a>"])
+def test_layout_takes_time_in_proportion(part):
+    import time
+
+    began = time.process_time()
+    layout.page_text(part * (200_000 // len(part)))
+    assert time.process_time() - began < 10
+
+
 def test_layout_of_tables_and_depth(spark):
     pages = spark.createDataFrame([(1, "<p>a", 3), (1, "<p>a", 3), (None, None, 4), (2, "<div>" * 5000 + "deep" + "<table><tr><td>" * 100 + "x", 5)], "page_id bigint, html string, text int")
     assert sorted((r.page_id or 0, (r.text or "-")[:4]) for r in layout.extracted(pages).collect()) == [(0, "-"), (1, "a"), (1, "a"), (2, "deep")]
