@@ -9,9 +9,10 @@ conflicts by rank; the filled gaps are put back in order with what is left of
 them, and the sweep repeats until the documents are placed. Where none fits, new
 sequences are opened. That is best-fit decreasing on all rows at once.
 
-The rounds work on runs, of which there are as many as there are sizes, however
-many documents there are, so they run on the driver on a histogram of at most
-``CAPACITY`` numbers. All that touches documents is distributed: tokenising, the
+The rounds work on runs, not documents, however many these are, so they run on
+the driver on a histogram of at most ``CAPACITY`` numbers. (The same rounds as
+DataFrames of runs, a stored table each, took 2.5 to 4 s a round and some forty
+rounds, for one sequence more; so they stay here.) All that touches documents is distributed: tokenising, the
 rank of a piece among those of its size (its number within a task plus the
 numbers of the tasks before) and finding the run that holds it. No size is
 gathered in one task, however many pieces share it.
@@ -39,6 +40,8 @@ from .byte_bpe import SLICE, content, ready
 from .common import slices, stored
 
 CAPACITY, END_ID = 1024, 2
+#: Runs that are broadcast to find pieces; more are joined by size.
+SENT = 100_000
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -131,11 +134,11 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     offsets = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     sizes = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = best_fit(sizes, capacity)
-    #: As many rows as there are runs: bounded by the capacity, whatever the number of documents.
+    #: A row for each run: some thousands at this capacity, whatever the number of documents.
     found = spark.createDataFrame(runs, "_length bigint, _first bigint, _beyond bigint, _sequence bigint, offset bigint")
     ranked = parts.join(offsets, ["length", "task"]).withColumn("_rank", F.col("earlier") + F.col("nth"))
     here = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_beyond"))
-    out = ranked.join(F.broadcast(found), here).withColumn("sequence_id", F.col("_sequence") + F.col("_rank") - F.col("_first"))
+    out = ranked.join(F.broadcast(found) if len(runs) <= SENT else found, here).withColumn("sequence_id", F.col("_sequence") + F.col("_rank") - F.col("_first"))
     return out.select(*[c for c in parts.columns if c not in ("task", "nth")], "sequence_id", "offset")
 
 
