@@ -15,6 +15,8 @@ Fuzzy fields are scored by the share of their words that the text has, as
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +54,16 @@ FUZZY_FIELDS = {
 Outcome = tuple[Column, str, str, Column, str | None]
 
 
-def ladder(rule_id: str, outcomes: list[Outcome], expected: Column, evidence: Column, score: Column | None = None, confidence: Column | None = None, emit: Column | None = None) -> Column:
+class Check(NamedTuple):
+    """A rule's columns; all are null where the rule does not run."""
+
+    rule_id: str
+    verdict: Column
+    message: Column
+    whole: Column
+
+
+def ladder(rule_id: str, outcomes: list[Outcome], expected: Column, evidence: Column, score: Column | None = None, confidence: Column | None = None, emit: Column | None = None) -> Check:
     """A check whose first outcome that holds decides: (condition, verdict, message, observed, reviewer's action)."""
     name, category, sources = RULES[rule_id]
 
@@ -69,10 +80,11 @@ def ladder(rule_id: str, outcomes: list[Outcome], expected: Column, evidence: Co
         chosen([F.lit(o[4]).cast("string") for o in outcomes]).alias("reviewer_action"), F.array(*map(F.lit, sources)).alias("source_refs"),
         (score if score is not None else F.lit(None)).cast("double").alias("score"), (confidence if confidence is not None else F.lit(None)).cast("double").alias("confidence"),
     )
-    return out if emit is None else F.when(emit, out)
+    only = (lambda c: c) if emit is None else (lambda c: F.when(emit, c))
+    return Check(rule_id, only(chosen([F.lit(o[1]) for o in outcomes])), only(chosen([F.lit(o[2]) for o in outcomes])), only(out))
 
 
-def _numeric(rule_id: str, field: str, what: str, none: str, kind: str, shown: Column, action: str, evidence: Column, confidence: Column, low: Column) -> Column:
+def _numeric(rule_id: str, field: str, what: str, none: str, kind: str, shown: Column, action: str, evidence: Column, confidence: Column, low: Column) -> Check:
     """The ladder that alcohol and net contents share; ``kind`` names their facts."""
     given = F.trim(text(F.col(field)))
     want, have, met = F.col(f"_want_{kind}"), F.col(f"_seen_{kind}"), F.col(f"_met_{kind}")
@@ -110,7 +122,7 @@ def with_facts(items: DataFrame, score: Callable[[Column, Column], Column] | Non
     return first.withColumns({"_met_alcohol": ev.alcohol_match(F.col("_want_alcohol"), F.col("_seen_alcohol")), "_met_contents": ev.contents_match(F.col("_want_contents"), F.col("_seen_contents"))})
 
 
-def check_columns(has_typography: bool = False) -> list[Column]:
+def check_columns(has_typography: bool = False) -> list[Check]:
     """The checks in order, from the facts; null where a rule does not run."""
     body, confidence = text(F.col("full_text")), F.col("avg_confidence").cast("double")
     low, always = confidence < LOW_CONFIDENCE, F.lit(True)
@@ -189,10 +201,46 @@ def check_columns(has_typography: bool = False) -> list[Column]:
 def with_checks(items: DataFrame, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``items`` with ``checks``, in the order of the rules."""
     facts = with_facts(items, score)
-    checked = facts.withColumn("checks", F.filter(F.array(*check_columns("typography" in items.columns)), lambda c: c.isNotNull()))
+    checked = facts.withColumn("checks", F.array_compact(F.array(*[c.whole for c in check_columns("typography" in items.columns)])))
     return checked.select(*items.columns, "checks")
 
 
+def judged(items: DataFrame, score: Callable[[Column, Column], Column] | None = None, review_unknown_warning: bool = False, review_before_rejection: bool = False, review_before_acceptance: bool = False) -> DataFrame:
+    """What :func:`with_verdicts` adds, straight from the rules' verdicts as plain columns, without ``checks``."""
+    checks = check_columns("typography" in items.columns)
+    facts = with_facts(items, score)
+    plain = facts.withColumns({f"_v{i}": c.verdict for i, c in enumerate(checks)} | {f"_m{i}": c.message for i, c in enumerate(checks)})
+    said = [F.col(f"_v{i}") for i in range(len(checks))]
+
+    def some(value: str, rules: list[str] | None = None) -> Column:
+        return reduce(lambda a, b: a | b, [F.coalesce(v == value, F.lit(False)) for v, c in zip(said, checks, strict=True) if rules is None or c.rule_id in rules])
+
+    def first(value: str) -> list[Column]:
+        return [F.when(v == value, F.col(f"_m{i}")) for i, v in enumerate(said)]
+
+    def ids(holds: Callable[[Column], Column]) -> Column:
+        return F.array_compact(F.array(*[F.when(holds(v), c.rule_id) for v, c in zip(said, checks, strict=True)]))
+
+    failing, unclear, unknown = some("fail"), some("needs_review"), some("needs_review", WARNING_RULES)
+    verdict = F.when(failing, "fail").when(unclear, "needs_review").otherwise("pass")
+    out = plain.withColumns({"overall_verdict": verdict, "_unknown": unknown}).withColumns({
+        "policy_queue": policy_queue(F.col("overall_verdict"), F.col("_unknown"), review_unknown_warning, review_before_rejection, review_before_acceptance),
+        "top_reason": F.coalesce(*first("fail"), *first("needs_review"), F.lit(ALL_PASSED)),
+        "checked_rule_ids": ids(lambda v: v.isNotNull()), "triggered_rule_ids": ids(lambda v: v.isin("fail", "needs_review")),
+    })
+    return out.select(*items.columns, "overall_verdict", "policy_queue", "top_reason", "checked_rule_ids", "triggered_rule_ids")
+
+
+ALL_PASSED = "All implemented checks passed."
+
+
+def policy_queue(verdict: Column, unknown: Column, review_unknown_warning: bool, review_before_rejection: bool, review_before_acceptance: bool) -> Column:
+    """Where an item goes; an unclear warning decides before the verdict does."""
+    reject = "rejection_review" if review_before_rejection else "ready_to_reject"
+    accept = "acceptance_review" if review_before_acceptance else "ready_to_accept"
+    return F.when(unknown, "manual_evidence_review" if review_unknown_warning else reject).when(verdict == "pass", accept).when(verdict == "fail", reject).otherwise("manual_evidence_review")
+
+
 def with_verdicts(checked: DataFrame, review_unknown_warning: bool = False, review_before_rejection: bool = False, review_before_acceptance: bool = False) -> DataFrame:
     """Adds the roll-up of ``checks``: verdict, queue, top reason, checked and triggered rule ids."""
     checks = F.col("checks")
@@ -200,10 +248,8 @@ def with_verdicts(checked: DataFrame, review_unknown_warning: bool = False, revi
     unclear = F.filter(checks, lambda c: c["verdict"] == "needs_review")
     verdict = F.when(F.size(failing) > 0, "fail").when(F.size(unclear) > 0, "needs_review").otherwise("pass")
     unknown = F.exists(unclear, lambda c: c["rule_id"].isin(WARNING_RULES))
-    reject = "rejection_review" if review_before_rejection else "ready_to_reject"
-    accept = "acceptance_review" if review_before_acceptance else "ready_to_accept"
-    queue = F.when(unknown, "manual_evidence_review" if review_unknown_warning else reject).when(verdict == "pass", accept).when(verdict == "fail", reject).otherwise("manual_evidence_review")
-    reason = F.coalesce(F.try_element_at(failing, F.lit(1))["message"], F.try_element_at(unclear, F.lit(1))["message"], F.lit("All implemented checks passed."))
+    queue = policy_queue(verdict, unknown, review_unknown_warning, review_before_rejection, review_before_acceptance)
+    reason = F.coalesce(F.try_element_at(failing, F.lit(1))["message"], F.try_element_at(unclear, F.lit(1))["message"], F.lit(ALL_PASSED))
     ids = lambda a: F.transform(a, lambda c: c["rule_id"])
     return checked.withColumns({
         "overall_verdict": verdict, "policy_queue": queue, "top_reason": reason,
@@ -219,8 +265,8 @@ RESULT_COLUMNS = {
 }
 
 
-def result_rows(verdicts: DataFrame) -> DataFrame:
-    """One row of the results file per item: lists joined by ``;``, the checks' values as ``rule: value`` joined by `` | ``."""
+def result_rows(verdicts: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row of the results file per item, all or some of its columns: lists joined by ``;``, the checks' values as ``rule: value`` joined by `` | ``."""
 
     def made(name: str, source: str | None) -> Column:
         if source == "list":
@@ -232,7 +278,7 @@ def result_rows(verdicts: DataFrame) -> DataFrame:
         found = next((c for c in (name, source) if c in verdicts.columns), None)
         return F.coalesce(F.col(found).cast("string"), F.lit("")) if found else F.lit("")
 
-    return verdicts.select(*[made(c, source).alias(c) for c, source in RESULT_COLUMNS.items()])
+    return verdicts.select(*[made(c, source).alias(c) for c, source in RESULT_COLUMNS.items() if columns is None or c in columns])
 
 
 def zero_filled(counts: DataFrame, key: str, keys: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.evidence import WARNING
 
 LABELS_SQL = f"""
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
-  l.l_orderkey * 100000 + l.l_partkey * 10 + l.l_linenumber AS item_id,
+  (l.l_orderkey * 10000000 + l.l_partkey) * 10 + l.l_linenumber AS item_id,
   'job' || CAST(l.l_orderkey % 50 AS STRING) AS job_id,
   'label_' || CAST(l.l_orderkey AS STRING) || '_' || CAST(l.l_linenumber AS STRING) || '.png' AS filename,
   CASE l.l_partkey % 3 WHEN 0 THEN 'malt_beverage' WHEN 1 THEN 'wine' ELSE 'distilled_spirits' END AS product_type,

@@ -36,7 +36,7 @@ def _sha(*parts: str) -> str:
 # ---- text functions
 
 
-@query("""WITH t AS (SELECT doc_id, substr(text, 1, 400) AS s FROM documents) SELECT doc_id,
+@query("""WITH t AS (SELECT doc_id, text AS s FROM documents) SELECT doc_id,
   lower(trim(regexp_replace(s, '[^a-zA-Z0-9]+', ' ', 'g'))) AS plain, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS flat,
   substr(sha256(trim(regexp_replace(s, '\\s+', ' ', 'g')) || '|' || CAST(doc_id AS STRING)), 1, 16) AS key FROM t""")
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,25 +82,21 @@ def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", tx.evidence_window(F.col("text"), F.lit("THE"), 60).alias("evidence"))
 
 
-_BEST = """WITH d AS (SELECT doc_id, {w} AS words FROM (SELECT doc_id, lower(trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))) AS t FROM documents WHERE doc_id % 10 <> 1)),
+_BEST = """WITH d AS (SELECT doc_id, {w} AS words FROM (SELECT doc_id, lower(trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))) AS t FROM documents)),
   b AS (SELECT item_id, {w} AS words FROM (SELECT item_id, lower(trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))) AS t FROM benchmark)),
   s AS (SELECT item_id, doc_id, round(100.0 * len(list_intersect(b.words, d.words)) / len(b.words), 6) AS score FROM b, d WHERE len(b.words) > 0 AND len(d.words) > 0)
   SELECT item_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1""".format(w="list_distinct(list_filter(string_split(t, ' '), lambda x: x <> ''))")
 
 
-@query(_BEST.replace(" WHERE doc_id % 10 <> 1", ""))
+@query(_BEST)
 def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each benchmark passage the document that holds most of its words; ties to the smaller id.
 
-    An inverted join: passages' distinct words meet documents' on the word, so
-    only documents that share a word are scored.
+    Documents are not shuffled: see :func:`evaluation.best_by_words`.
     """
-    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(ev.tokens(F.col("text"))).alias("word"))
-    b = load(spark, sf_dir, "benchmark").select("item_id", ev.tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
-    want = b.select("item_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    shared = d.join(want, "word").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("k"))
-    scores = shared.select("item_id", "doc_id", F.round(100.0 * F.col("k") / F.col("n"), 6).alias("score"))
-    return scores.groupBy("item_id").agg(F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), F.col("doc_id"))).alias("b")).select("item_id", "b.doc_id", "b.score")
+    d = load(spark, sf_dir, "documents").select("doc_id", ev.tokens(F.col("text")).alias("have"))
+    b = load(spark, sf_dir, "benchmark").select("item_id", ev.tokens(F.col("text")).alias("want"))
+    return evaluation.best_by_words(d, b, "doc_id", "have", "item_id", "want")
 
 
 # ---- metrics
@@ -118,7 +114,7 @@ def confusion_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion_with_total(s, "quality", "p", "lang")
 
 
-@query(f"WITH s AS (SELECT *, score >= 0.3 AS p FROM ({SCORED_SQL}) WHERE source <> 'src0'), c AS (SELECT source, {_CELLS} FROM s GROUP BY source) SELECT source, examples, {_RATES} FROM c")
+@query(f"WITH s AS (SELECT *, score >= 0.3 AS p FROM ({SCORED_SQL})), c AS (SELECT source, {_CELLS} FROM s GROUP BY source) SELECT source, examples, {_RATES} FROM c")
 def confusion_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir).withColumn("p", F.col("score") >= 0.3)
     return metrics.confusion(s, "quality", "p", ["source"])
@@ -184,7 +180,7 @@ def counts_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT vec_id % 50 AS app, vec_id % 3 AS model, label % 4 AS cls, 0.5 + embedding[1] AS pr FROM embeddings), m AS (SELECT app, cls, avg(pr) AS pr FROM p GROUP BY ALL)
-  SELECT app, min_by(cls, (-pr, cls)) AS predicted FROM m GROUP BY app""".replace("min_by(cls, (-pr, cls))", "first(cls ORDER BY pr DESC, cls)"))
+  SELECT app, first(cls ORDER BY pr DESC, cls) AS predicted FROM m GROUP BY app""")
 def soft_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("app"), (F.col("label") % 4).alias("cls"), (0.5 + F.col("embedding")[0].cast("double")).alias("pr"))
     return metrics.soft_vote(e, ["app"], "cls", "pr")
@@ -255,7 +251,7 @@ def chunked_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH o AS (SELECT c_mktsegment, c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_sha("'neg'", "CAST(c_custkey AS STRING)")}, c_custkey) - 1 AS at, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer),
-  p AS (SELECT a.c_mktsegment, a.c_custkey, a.c_nationkey, b.c_custkey AS candidate_c_custkey, b.c_nationkey AS candidate_c_nationkey, s.i AS step FROM o a, range(1, 13) s(i), o b WHERE s.i < a.n AND b.c_mktsegment = a.c_mktsegment AND b.at = (a.at + s.i) % a.n AND a.c_nationkey <> b.c_nationkey)
+  p AS (SELECT a.c_mktsegment, a.c_custkey, a.c_nationkey, b.c_custkey AS candidate_c_custkey, b.c_nationkey AS candidate_c_nationkey, (b.at - a.at + a.n) % a.n AS step FROM o a JOIN o b ON b.c_mktsegment = a.c_mktsegment AND a.c_nationkey <> b.c_nationkey AND a.c_custkey <> b.c_custkey)
   SELECT c_mktsegment, c_custkey, c_nationkey, candidate_c_custkey, candidate_c_nationkey, CAST(row_number() OVER (PARTITION BY c_mktsegment, c_custkey ORDER BY step) AS INT) AS negative FROM p QUALIFY row_number() OVER (PARTITION BY c_mktsegment, c_custkey ORDER BY step) <= 2""")
 def negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.negative_pairs(load(spark, sf_dir, "customer"), ["c_mktsegment"], "c_custkey", "c_nationkey", "neg", 2)
@@ -352,7 +348,7 @@ def combined_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("l_orderkey", "panels", "total_ms", F.round("avg_confidence", 6).alias("avg_confidence"), "source", F.sha2("full_text", 256).alias("digest"))
 
 
-@query("SELECT event_type, user_id, max_by(event_id, value) AS event_id FROM events WHERE user_id % 2 = 0 GROUP BY ALL".replace("max_by(event_id, value)", "first(event_id ORDER BY event_id DESC)"))
+@query("SELECT event_type, user_id, max(event_id) AS event_id FROM events WHERE user_id % 2 = 0 GROUP BY ALL")
 def newest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").select("event_type", "user_id", "event_id", F.when(F.col("user_id") % 2 == 0, "ok").otherwise("error").alias("status"))
     return manifests.first_run(e.withColumn("run", F.col("event_id")), ["event_type", "user_id"], "run").select("event_type", "user_id", "event_id")
@@ -366,11 +362,11 @@ def duplicate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.embedding[1:2], b.embedding[1:2]), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2))) + CASE WHEN a.label <> b.label THEN 2.0 ELSE 0 END AS dist
-    FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = b.vec_id % 25 AND a.vec_id <> b.vec_id), k AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b) <= 4), e AS (SELECT a, b FROM k UNION SELECT b, a FROM k)
+    FROM embeddings a JOIN embeddings b ON a.vec_id // 40 = b.vec_id // 40 AND a.vec_id <> b.vec_id), k AS (SELECT a, b FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY dist, b) <= 4), e AS (SELECT a, b FROM k UNION SELECT b, a FROM k)
   SELECT a, b, round(1.0 / count(*) OVER (PARTITION BY a), 6) AS weight FROM e""")
 def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four nearest boxes of each group, symmetric, rows summing to one; other panels are 2 farther."""
-    v = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), (F.col("vec_id") % 25).alias("app"))
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.floor(F.col("vec_id") / 40).alias("app"))
     a, b = v.select(*[F.col(c).alias(f"{c}_a") for c in v.columns]), v.select(*[F.col(c).alias(f"{c}_b") for c in v.columns])
     gap = F.sqrt(F.pow(F.col("x_a") - F.col("x_b"), 2) + F.pow(F.col("y_a") - F.col("y_b"), 2)) + F.when(F.col("label_a") != F.col("label_b"), 2.0).otherwise(0.0)
     near = a.join(b, (F.col("app_a") == F.col("app_b")) & (F.col("vec_id_a") != F.col("vec_id_b"))).select(F.col("vec_id_a").alias("a"), F.col("vec_id_b").alias("b"), gap.alias("gap"))

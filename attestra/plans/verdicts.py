@@ -16,34 +16,39 @@ def _verdicts(spark: SparkSession, sf_dir: str, **flags: bool) -> DataFrame:
 
 def verdict_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items by product type, verdict and queue."""
-    return _verdicts(spark, sf_dir).groupBy("product_type", "overall_verdict", "policy_queue").agg(F.count("*").alias("n"))
+    return rules.judged(labels(spark, sf_dir)).groupBy("product_type", "overall_verdict", "policy_queue").agg(F.count("*").alias("n"))
 
 
 def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks by rule, verdict and message."""
-    checks = rules.with_checks(labels(spark, sf_dir)).select(F.inline_outer("checks"))
-    return checks.groupBy("rule_id", "verdict", "message").agg(F.count("*").alias("n"))
+    items = labels(spark, sf_dir)
+    checks = rules.check_columns("typography" in items.columns)
+    said = rules.with_facts(items, None).select(F.explode(F.array(*[F.struct(F.lit(c.rule_id).alias("rule_id"), c.verdict.alias("verdict"), c.message.alias("message")) for c in checks])).alias("c")).select("c.*")
+    return said.where("verdict IS NOT NULL").groupBy("rule_id", "verdict", "message").agg(F.count("*").alias("n"))
 
 
 def item_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item's verdict, queue, top reason and triggered rules."""
-    return _verdicts(spark, sf_dir).select("item_id", "overall_verdict", "policy_queue", "top_reason", F.array_join("checked_rule_ids", ";").alias("checked"), F.array_join("triggered_rule_ids", ";").alias("triggered"))
+    return rules.judged(labels(spark, sf_dir)).select("item_id", "overall_verdict", "policy_queue", "top_reason", F.array_join("checked_rule_ids", ";").alias("checked"), F.array_join("triggered_rule_ids", ";").alias("triggered"))
 
 
 def cautious_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five queues with their items when every gate is on, zeros included."""
-    found = _verdicts(spark, sf_dir, review_unknown_warning=True, review_before_rejection=True, review_before_acceptance=True)
+    found = rules.judged(labels(spark, sf_dir), review_unknown_warning=True, review_before_rejection=True, review_before_acceptance=True)
     return rules.zero_filled(found, "policy_queue", rules.QUEUES)
 
 
 def job_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items, jobs and mean time by queue."""
-    return _verdicts(spark, sf_dir).groupBy("policy_queue").agg(F.count("*").alias("n"), F.count_distinct("job_id").alias("jobs"), F.round(F.avg("total_ms"), 2).alias("mean_ms"))
+    return rules.judged(labels(spark, sf_dir)).groupBy("policy_queue").agg(F.count("*").alias("n"), F.count_distinct("job_id").alias("jobs"), F.round(F.avg("total_ms"), 2).alias("mean_ms"))
+
+
+RESULT_FIELDS = ["filename", "raw_verdict", "policy_queue", "checked_rule_ids", "triggered_rule_ids", "ocr_confidence"]
 
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the results file says of an item, but for the evidence."""
-    return rules.result_rows(_verdicts(spark, sf_dir)).select("filename", "raw_verdict", "policy_queue", "checked_rule_ids", "triggered_rule_ids", "ocr_confidence").groupBy(
+    return rules.result_rows(rules.judged(labels(spark, sf_dir)), RESULT_FIELDS).select("filename", "raw_verdict", "policy_queue", "checked_rule_ids", "triggered_rule_ids", "ocr_confidence").groupBy(
         "raw_verdict", "policy_queue", "checked_rule_ids", "triggered_rule_ids", "ocr_confidence"
     ).agg(F.count("*").alias("n"), F.min("filename").alias("first_file"))
 
