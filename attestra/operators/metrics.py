@@ -89,13 +89,23 @@ def tuned_threshold(df: DataFrame, label: str, score: str, most_false_clears: fl
 
 def latency(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Count, mean, median, max and p95 by each of three definitions in use."""
-    sorted_values = F.sort_array(F.collect_list(value))
-    n = F.count(value)
-    at_floor = F.least(n - 1, F.floor(n * 0.95)).cast("int")
-    at_round = F.bround(0.95 * (n - 1)).cast("int")
-    return df.groupBy(*by).agg(
-        n.alias("n"), F.round(F.avg(value), 2).alias("mean"), F.round(F.median(value), 2).alias("median"), F.max(value).alias("most"),
-        F.element_at(sorted_values, at_floor + 1).alias("p95_floor"), F.element_at(sorted_values, at_round + 1).alias("p95_round"), F.round(F.percentile(value, 0.95), 4).alias("p95_linear"),
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_times"))
+    #: A row for each different value; equal ones are counted before they meet.
+    upto = Window.partitionBy(*by).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumns({"_upto": F.sum("_times").over(upto), "_n": F.sum("_times").over(Window.partitionBy(*by))})
+
+    def at(place: Column) -> Column:
+        """The value at a place counted from zero in the order of values."""
+        return F.min(F.when(F.col("_upto") > place, F.col("_value")))
+
+    n, point = F.col("_n"), 0.95 * (F.col("_n") - 1)
+    found = ranked.groupBy(*by).agg(
+        F.sum("_times").alias("n"), (F.sum(F.col("_value") * F.col("_times")) / F.sum("_times")).alias("_mean"), at(F.floor((n - 1) / 2)).alias("_low"), at(F.ceil((n - 1) / 2)).alias("_high"), F.max("_value").alias("most"),
+        at(F.least(n - 1, F.floor(n * 0.95))).alias("p95_floor"), at(F.bround(point)).alias("p95_round"), at(F.floor(point)).alias("_below"), at(F.ceil(point)).alias("_above"), F.max(point - F.floor(point)).alias("_part"),
+    )
+    return found.select(
+        *by, "n", F.round("_mean", 2).alias("mean"), F.round((F.col("_low") + F.col("_high")) / 2, 2).alias("median"), "most", "p95_floor", "p95_round",
+        F.round(F.col("_below") + F.col("_part") * (F.col("_above") - F.col("_below")), 4).alias("p95_linear"),
     )
 
 

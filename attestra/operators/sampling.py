@@ -55,7 +55,8 @@ def round_robin(df: DataFrame, strata: list[str], seed: str, ids: list[str], tar
     mark = order_hash(seed, *[F.col(i) for i in ids])
     turn = F.row_number().over(Window.partitionBy(*strata).orderBy(mark, *ids))
     group = order_hash(seed, *[F.col(s) for s in strata])
-    drawn = df.withColumns({"_turn": turn, "_group": group}).orderBy("_turn", "_group").limit(target)
+    #: No stratum can give more than all that is drawn, so each task keeps so many of it.
+    drawn = df.withColumn("_turn", turn).where(F.col("_turn") <= target).withColumn("_group", group).orderBy("_turn", "_group").limit(target)
     return drawn.withColumn("draw", F.row_number().over(_all().orderBy("_turn", "_group"))).drop("_turn", "_group")
 
 
