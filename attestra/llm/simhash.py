@@ -1,11 +1,14 @@
 """SimHash near-duplicates, compared in bit-sliced form.
 
-Fingerprints of 64 bits are joined on every choice of two out of six bit
-ranges: two fingerprints at four or fewer differing bits agree on at least two
-of the six, so no pair is missed. Rows that agree lie side by side after a
-sort; their bits are turned into planes (bit i of 64 neighbours in one word),
-and the distances of 64 pairs at a time are counted with carry-save adders
-over the planes. A block whose pairs all exceed the radius is left.
+Fingerprints of 64 bits are cut into m bit ranges and joined on every choice of
+m - 4 of them: two fingerprints at four or fewer differing bits agree on at least
+so many, so no pair is missed. m grows with the number of fingerprints (five for
+few, then six, seven, eight), so that keys get longer (13 to 32 bits) and buckets
+stay small. Rows that agree lie side by side after a sort; their bits are turned
+into planes once (bit i of 64 neighbours in one word). For neighbours at each
+distance in the bucket the planes meet themselves, shifted by as many places, and
+the distances of 64 pairs at a time are counted with carry-save adders. Words
+whose pairs all exceed the radius, or are of two buckets, are left.
 
 A bucket only yields a spanning forest of its links, never all of its pairs,
 and a bucket larger than ``BUCKET`` is dealt out as pairs of its parts, so
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import drop, partitions, slices, stored, text_bytes
 
 SHINGLE, RADIUS = 4, 4
-#: Bit ranges (first, width) of which two must agree.
-RANGES = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Up to so many fingerprints 5, 6 and 7 bit ranges are cut, beyond them 8.
+MOST = ((1 << 18, 5), (1 << 26, 6), (1 << 32, 7))
 #: Fingerprints of one bucket that a task compares with each other at most.
 BUCKET = 2048
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -90,48 +93,59 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For pairs left[i], right[i]: is their Hamming distance at most ``radius``?
+def near_places(planes: np.ndarray, by: int, asked: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Places i (of ``asked``, a mask, 64 to a word) whose value and that of place i + ``by`` differ in at most ``radius`` bits; as a mask.
 
-    Planes of both sides meet by exclusive or. Three planes at a time pass a
-    carry-save adder into vertical counters; ``over`` marks pairs beyond the
-    radius, and words in which all pairs are over are compressed away.
+    Three planes at a time pass a carry-save adder into vertical counters. Words
+    without a pair left within the radius drop out.
     """
-    n = len(left)
-    if not n:
-        return np.zeros(0, bool)
-    x = planes_of(left) ^ planes_of(right)
-    live = np.arange(x.shape[1])
-    over = np.zeros(x.shape[1], np.uint64)
-    if n % 64:
-        over[-1] = _FULL << np.uint64(n % 64)
+    live = np.flatnonzero(asked)
+    over = ~asked
     digits = max(2, radius.bit_length())
-    counter = [np.zeros(x.shape[1], np.uint64) for _ in range(digits)]
-    limit = [radius >> i & 1 for i in range(digits)]
+    counter = np.zeros((digits, len(live)), np.uint64)
+    words, bits = divmod(by, 64)
+    width, left, right = planes.shape[1], np.uint64(64 - bits if bits else 0), np.uint64(bits)
     for at in range(0, 64, 3):
-        part = [x[b, live] for b in range(at, min(at + 3, 64))]
-        a = part[0]
-        b = part[1] if len(part) > 1 else np.zeros_like(a)
-        c = part[2] if len(part) > 2 else np.zeros_like(a)
-        half = a ^ b
+        near, next_ = live + words, live + words + 1
+        part = []
+        for b in range(at, min(at + 3, 64)):
+            plane = planes[b]
+            other = np.where(near < width, plane[np.minimum(near, width - 1)], 0) >> right
+            if bits:
+                other |= np.where(next_ < width, plane[np.minimum(next_, width - 1)], 0) << left
+            part.append(plane[live] ^ other)
+        part += [np.zeros(len(live), np.uint64)] * (3 - len(part))
+        a, b, c = part
+        half, beyond = a ^ b, over[live]
         for weight, carry in ((0, half ^ c), (1, (a & b) | (half & c))):
             for i in range(weight, digits):
-                counter[i][live], carry = counter[i][live] ^ carry, counter[i][live] & carry
-            over[live] |= carry
-        if at % 12 == 9 or at + 3 >= 64:
-            more, same = np.zeros(len(live), np.uint64), np.full(len(live), _FULL)
-            for i in reversed(range(digits)):
-                d = counter[i][live]
-                if limit[i]:
-                    same &= d
-                else:
-                    more |= same & d
-                    same &= ~d
-            over[live] |= more
-            live = live[over[live] != _FULL]
+                counter[i], carry = counter[i] ^ carry, counter[i] & carry
+            beyond |= carry
+        more, same = np.zeros(len(live), np.uint64), np.full(len(live), _FULL)
+        for i in reversed(range(digits)):
+            if radius >> i & 1:
+                same &= counter[i]
+            else:
+                more |= same & counter[i]
+                same &= ~counter[i]
+        beyond |= more
+        over[live] = beyond
+        stay = beyond != _FULL
+        if not stay.all():
+            live, counter = live[stay], counter[:, stay]
             if not len(live):
                 break
-    return ~np.unpackbits(over.view(np.uint8), bitorder="little")[:n].astype(bool)
+    return ~over
+
+
+def places(mask: np.ndarray, n: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")[:n])
+
+
+def mask_of(flags: np.ndarray) -> np.ndarray:
+    out = np.zeros(-(-len(flags) // 64) * 64, bool)
+    out[: len(flags)] = flags
+    return np.packbits(out, bitorder="little").view(np.uint64)
 
 
 class Forest:
@@ -160,33 +174,40 @@ def bucket_links(keys: np.ndarray, sides: np.ndarray, values: np.ndarray, radius
     pairs across count there; pairs inside are some other run's), else 2.
     """
     n, links = len(keys), []
-    forest = Forest(n)
-    rows, shift = np.arange(n), 1
-    while len(rows):
-        rows = rows[rows + shift < n]
-        rows = rows[keys[rows] == keys[rows + shift]]
-        across = rows[(sides[rows] == 2) | (sides[rows] != sides[rows + shift])]
-        for at in range(0, len(across), 1 << 18):
-            part = across[at : at + (1 << 18)]
-            for i in part[within(values[part], values[part + shift], radius)].tolist():
-                if forest.join(i, i + shift):
-                    links.append((i, i + shift))
-        shift += 1
+    if n < 2:
+        return links
+    forest, planes = Forest(n), planes_of(values)
+    #: How far on the last row of each row's run is.
+    ends = np.searchsorted(keys, keys, side="right") - 1 - np.arange(n)
+    for shift in range(1, int(ends.max()) + 1):
+        asked = ends >= shift
+        rows = np.flatnonzero(asked)
+        asked[rows] &= (sides[rows] == 2) | (sides[rows] != sides[rows + shift])
+        for i in places(near_places(planes, shift, mask_of(asked), radius), n).tolist():
+            if forest.join(i, i + shift):
+                links.append((i, i + shift))
     return links
 
 
+def ranges_of(count: int) -> list[tuple[int, int]]:
+    """Bit ranges (first, width) for a number of fingerprints; all but four of them make a key."""
+    m = next((m for most, m in MOST if count <= most), 8)
+    edges = [64 * i // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def similar(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints (column ``bits``); a spanning forest of each bucket.
 
     ``radius`` is at most 4, for which the bit ranges find every pair.
     """
-    if radius > len(RANGES) - 2:
+    if radius > RADIUS:
         raise ValueError("the bit ranges find pairs of up to four differing bits")
     spark = prints.sparkSession
-    piece = [F.shiftrightunsigned("bits", first).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for first, width in RANGES]
+    ranges = ranges_of(prints.count())
+    piece = [F.shiftrightunsigned("bits", first).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for first, width in ranges]
     keys = F.array(*[
-        F.lit(i).cast("long") * (1 << 40) + piece[p] * (1 << 11) + piece[q]
-        for i, (p, q) in enumerate(combinations(range(len(RANGES)), 2))
+        F.xxhash64(F.lit(i), *[piece[p] for p in chosen]) for i, chosen in enumerate(combinations(range(len(ranges)), len(ranges) - RADIUS))
     ])
     rows = prints.select("bits", F.explode(keys).alias("key"))
     hot = rows.groupBy("key").count().where(F.col("count") > bucket)

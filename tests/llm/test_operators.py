@@ -349,8 +349,9 @@ def test_simhash_groups(spark, docs, nothing):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(slow_groups(prints).values()))
 
 
-@pytest.mark.parametrize("bucket", [2, 7, 2048])
-def test_simhash_links_across_hot_buckets(spark, bucket):
+@pytest.mark.parametrize(("bucket", "most"), [(2, 5), (7, 6), (2048, 6), (2048, 8), (7, 5)])
+def test_simhash_links_across_hot_buckets(spark, monkeypatch, bucket, most):
+    monkeypatch.setattr(simhash, "MOST", ((1 << 40, most),))
     r = random.Random(5)
     values = [r.getrandbits(64) for _ in range(60)]
     for centre in (0, 0xFFFF0000FFFF0000):
@@ -367,13 +368,30 @@ def test_simhash_links_across_hot_buckets(spark, bucket):
 
 def test_bit_sliced_distances():
     r = np.random.default_rng(0)
-    a = r.integers(0, 2**63, 999, dtype=np.uint64)
-    b = a.copy()
-    for i in range(999):
-        for bit in r.choice(64, r.integers(0, 10), replace=False):
-            b[i] ^= np.uint64(1) << np.uint64(bit)
+    values = r.integers(0, 2**63, 999, dtype=np.uint64)
+    for i in range(1, 999):
+        if i % 3:
+            values[i] = values[i - 1]
+            for bit in r.choice(64, r.integers(0, 8), replace=False):
+                values[i] ^= np.uint64(1) << np.uint64(bit)
+    planes = simhash.planes_of(values)
     for radius in (0, 1, 3, 4, 7):
-        assert (simhash.within(a, b, radius) == (np.bitwise_count(a ^ b) <= radius)).all()
+        for by in (1, 2, 63, 64, 65, 128, 700, 998):
+            asked = np.arange(999) + by < 999
+            asked &= r.random(999) < 0.9
+            want = [i for i in np.flatnonzero(asked).tolist() if int(values[i] ^ values[i + by]).bit_count() <= radius]
+            assert simhash.places(simhash.near_places(planes, by, simhash.mask_of(asked), radius), 999).tolist() == want
+
+
+@pytest.mark.parametrize("count", [10, 1 << 20, 1 << 30, 1 << 40])
+def test_keys_miss_no_pair_and_grow(count):
+    ranges = simhash.ranges_of(count)
+    assert sum(w for _, w in ranges) == 64 and len(ranges) - 4 >= 1
+    r = random.Random(count)
+    for _ in range(200):
+        flips = {r.randrange(64) for _ in range(4)}
+        clean = [i for i, (a, w) in enumerate(ranges) if not any(a <= f < a + w for f in flips)]
+        assert len(clean) >= len(ranges) - 4
 
 
 # ---- HTML
