@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapsed, label_text, text
+from .text import collapsed, label_text, strip, text
 
 # Patterns, units and lists that decide verdicts.
 ABV = r"(?i)\b\d+(?:\.\d+)?\s*%?\s*(?:A\.?B\.?V\.?|ABV)\b"
@@ -74,11 +74,11 @@ def contents_match(expected: Column, observed: Column) -> Column:
 
 def warning_block(c: Column) -> Column:
     """From the warning's heading to the end of the text, white space collapsed; null where there is none."""
-    return F.nullif(collapsed(F.regexp_extract(text(c), r"(?is)(government\s+warning\s*:.*)", 1)), F.lit(""))
+    return F.nullif(collapsed(F.regexp_extract(text(c), r"(?isU)(government\s+warning\s*:.*)", 1)), F.lit(""))
 
 
 def warning_heading(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(text(c), r"(?i)government\s+warning\s*:", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(text(c), r"(?iU)government\s+warning\s*:", 0), F.lit(""))
 
 
 def health_terms(c: Column) -> Column:
@@ -101,7 +101,7 @@ def word_score(want: Column, have: Column) -> Column:
 
 def country_score(expected: Column, c: Column, score=token_score) -> Column:
     """The best score of a country's name and aliases."""
-    best = F.when(F.trim(text(expected)) == "", 0.0).otherwise(score(expected, c))
+    best = F.when(strip(expected) == "", 0.0).otherwise(score(expected, c))
     for name, others in ALIASES.items():
         best = F.when(expected == name, F.greatest(best, *[score(F.lit(o), c) for o in others])).otherwise(best)
     return best
@@ -120,7 +120,7 @@ def conflicting_country(expected: Column, plain: Column) -> Column:
 
 def heading_share(c: Column) -> Column:
     """The part of a line that the warning's heading takes, up to its colon or its words; from 0.05 to 1."""
-    raw = F.trim(text(c))
+    raw = strip(c)
     at, n = F.instr(raw, ":"), F.greatest(F.length(raw), F.lit(1))
     letters = F.regexp_replace(F.upper(raw), r"[^\p{L}]", "")
     spread = F.regexp_extract(raw, "(?i)^(.*?" + r"\P{L}*".join("GOVERNMENTWARNING") + ")", 1)
@@ -143,5 +143,5 @@ def box_bounds(box: Column) -> Column:
 def warning_signals(c: Column) -> Column:
     heading = warning_heading(c)
     return F.struct(
-        heading.isNotNull().alias("has_heading"), F.coalesce(heading == "GOVERNMENT WARNING:", F.lit(False)).alias("is_upper"), F.coalesce(warning_block(c) == WARNING, F.lit(False)).alias("is_exact")
+        heading.isNotNull().alias("has_heading"), text(c).rlike(r"(?U)GOVERNMENT\s+WARNING\s*:").alias("is_upper"), F.coalesce(warning_block(c) == WARNING, F.lit(False)).alias("is_exact")
     )

@@ -25,6 +25,24 @@ UNIT_SPELLINGS = {
 }
 TRUE_WORDS, FALSE_WORDS = ["1", "true", "yes", "y"], ["", "0", "false", "no", "n"]
 FORM_TRUE_WORDS = ["1", "true", "yes", "on"]
+#: White space of Unicode, as text is stripped and split by it elsewhere.
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def _folds() -> tuple[str, str, str]:
+    """Characters whose compatibility decomposition is one ASCII letter or digit and marks, those letters, and which of them have marks."""
+    whole, letters, marked = [], [], []
+    for c in map(chr, [*range(0xA0, 0x3000), *range(0xFF10, 0xFF5B)]):
+        first, *rest = unicodedata.normalize("NFKD", c)
+        if first.isascii() and first.isalnum() and all(unicodedata.combining(x) for x in rest):
+            whole.append(c)
+            letters.append(first)
+            if rest:
+                marked.append(c)
+    return "".join(whole), "".join(letters), "".join(marked)
+
+
+FOLDED, FOLDED_TO, MARKED = _folds()
 
 
 def text(c: Column) -> Column:
@@ -32,9 +50,22 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends; null becomes empty."""
+    return F.btrim(text(c), F.lit(WHITE))
+
+
+def folded(c: Column) -> Column:
+    """Accented and wide letters and digits as ASCII, each mark as a space, which is what decomposition leaves of them.
+
+    Signs that decompose into several letters are left out; :func:`decomposed` has all.
+    """
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(F.regexp_replace(c, f"[{MARKED}]", "$0 "), FOLDED, FOLDED_TO)).otherwise(c)
+
+
 def label_text(c: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits, one space between."""
-    return F.lower(F.trim(F.regexp_replace(text(c), "[^a-zA-Z0-9]+", " ")))
+    """Lower-case runs of ASCII letters and digits, one space between; accented letters are decomposed before."""
+    return F.lower(F.trim(F.regexp_replace(folded(text(c)), "[^a-zA-Z0-9]+", " ")))
 
 
 def decomposed(c: Column) -> Column:
@@ -50,7 +81,7 @@ def decomposed(c: Column) -> Column:
 
 def collapsed(c: Column) -> Column:
     """White space collapsed to single spaces; case and punctuation stay."""
-    return F.trim(F.regexp_replace(text(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(text(c), f"[{WHITE}]+", " "))
 
 
 def falsy_collapsed(c: Column) -> Column:
@@ -61,7 +92,7 @@ def falsy_collapsed(c: Column) -> Column:
 
 def unquoted(c: Column) -> Column:
     """Spreadsheet quotes round a number go: ``'123'`` is 123."""
-    return F.regexp_replace(F.trim(text(c)), r"^'(\d+)'?$", "$1")
+    return F.regexp_replace(strip(c), r"^'(\d+)'?$", "$1")
 
 
 def lines(c: Column) -> Column:
@@ -126,12 +157,12 @@ def stratum(*parts: Column) -> Column:
 
 def parsed_bool(c: Column) -> Column:
     """True, false, or null for a value that is neither."""
-    low = F.lower(F.trim(text(c)))
+    low = F.lower(strip(c))
     return F.when(low.isin(TRUE_WORDS), True).when(low.isin(FALSE_WORDS), False)
 
 
 def form_bool(c: Column) -> Column:
-    return F.lower(F.trim(text(c))).isin(FORM_TRUE_WORDS)
+    return F.lower(strip(c)).isin(FORM_TRUE_WORDS)
 
 
 def trimmed_number(c: Column) -> Column:
@@ -151,7 +182,7 @@ def contents_text(amount: Column, unit: Column) -> Column:
 def panel_files(c: Column) -> Column:
     """Names parted by ``|`` if there is one, else by ``;``."""
     split = F.when(text(c).contains("|"), F.split(c, r"\|")).otherwise(F.split(text(c), ";"))
-    return F.filter(F.transform(split, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(split, lambda x: strip(x)), lambda x: x != "")
 
 
 def item_files(panels: Column, filename: Column) -> Column:
@@ -161,7 +192,7 @@ def item_files(panels: Column, filename: Column) -> Column:
 def display_value(c: Column, kind: str = "text") -> Column:
     if kind == "bool":
         return F.when(c, "Yes").otherwise("No")
-    shown = F.trim(text(c.cast("string")))
+    shown = strip(c.cast("string"))
     if kind == "title":
         shown = F.initcap(F.regexp_replace(shown, "_", " "))
     return F.when(shown == "", "Not provided").otherwise(shown)
@@ -200,7 +231,7 @@ def parent_folder(c: Column) -> Column:
 
 def safe_name(c: Column) -> Column:
     """Letters, digits, dot, dash and underscore; anything else is an underscore."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text(c)), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
+    return F.regexp_replace(F.regexp_replace(strip(c), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
 
 
 def word_windows(c: Column, most: int, overlap: int) -> Column:
@@ -218,12 +249,12 @@ def first_line(c: Column) -> Column:
 
 def used_on_label(c: Column) -> Column:
     """The line marked as the name used on the label, else the first one."""
-    marked = F.trim(F.regexp_extract(F.concat(F.lit("\n"), text(c)), r"\n([^\n]+?)\s*\(Used on label\)", 1))
+    marked = strip(F.regexp_extract(F.concat(F.lit("\n"), text(c)), r"\n([^\n]+?)\s*\(Used on label\)", 1))
     return F.when(marked != "", marked).otherwise(first_line(c))
 
 
 def entity_word(c: Column) -> Column:
-    return F.trim(F.replace(text(c), F.lit("##"), F.lit("")))
+    return strip(F.replace(text(c), F.lit("##"), F.lit("")))
 
 
 def entity_group(c: Column) -> Column:

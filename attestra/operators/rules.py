@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
-from ..functions.text import collapsed, label_text, text
+from ..functions.text import collapsed, label_text, strip, text
 
 LOW_CONFIDENCE, STRONG, AMBIGUOUS = 0.70, 90, 75
 APPLICATION = ["brand_name", "fanciful_name", "class_type", "alcohol_content", "net_contents", "bottler_producer_name_address", "country_of_origin", "imported", "product_type"]
@@ -86,7 +86,7 @@ def ladder(rule_id: str, outcomes: list[Outcome], expected: Column, evidence: Co
 
 def _numeric(rule_id: str, field: str, what: str, none: str, kind: str, shown: Column, action: str, evidence: Column, confidence: Column, low: Column) -> Check:
     """The ladder that alcohol and net contents share; ``kind`` names their facts."""
-    given = F.trim(text(F.col(field)))
+    given = strip(F.col(field))
     want, have, met = F.col(f"_want_{kind}"), F.col(f"_seen_{kind}"), F.col(f"_met_{kind}")
     plain = what.lower().replace("-", " ")
     return ladder(
@@ -109,14 +109,14 @@ def with_facts(items: DataFrame, score: Callable[[Column, Column], Column] | Non
 
     The text's plain form and words come first, as all token scores share them.
     """
-    body, country = text(F.col("full_text")), F.trim(text(F.col("country_of_origin")))
+    body, country = text(F.col("full_text")), strip(F.col("country_of_origin"))
     plain = items.withColumn("_plain", label_text(body)).withColumn("_have", F.array_distinct(F.split("_plain", " ")))
     scorer = score or (lambda expected, _: ev.word_score(ev.tokens(expected), F.col("_have")))
     first = plain.withColumns({
         "_heading": ev.warning_heading(body), "_block": ev.warning_block(body), "_shorthand": ev.abv_shorthand(body), "_sixteen": ev.bad_sixteen_ounces(body),
-        "_want_alcohol": ev.alcohol_values(F.trim(text(F.col("alcohol_content")))), "_seen_alcohol": ev.alcohol_values(body),
-        "_want_contents": ev.contents_values(F.trim(text(F.col("net_contents")))), "_seen_contents": ev.contents_values(body),
-        "_brand": scorer(F.col("brand_name"), body), **{f"_score_{f}": scorer(F.trim(text(F.col(f))), body) for f, _ in FUZZY_FIELDS.values()},
+        "_want_alcohol": ev.alcohol_values(strip(F.col("alcohol_content"))), "_seen_alcohol": ev.alcohol_values(body),
+        "_want_contents": ev.contents_values(strip(F.col("net_contents"))), "_seen_contents": ev.contents_values(body),
+        "_brand": scorer(F.col("brand_name"), body), **{f"_score_{f}": scorer(strip(F.col(f)), body) for f, _ in FUZZY_FIELDS.values()},
         "_country": ev.country_score(country, body, scorer), "_other": ev.conflicting_country(country, F.col("_plain")),
     })
     return first.withColumns({"_met_alcohol": ev.alcohol_match(F.col("_want_alcohol"), F.col("_seen_alcohol")), "_met_contents": ev.contents_match(F.col("_want_contents"), F.col("_seen_contents"))})
@@ -175,7 +175,7 @@ def check_columns(has_typography: bool = False) -> list[Check]:
         (always, "fail", "Brand name on label does not clearly match application field.", window, "Correct the application field or label artwork."),
     ], F.col("brand_name"), body, brand, confidence, emit=~low))
     for rule_id, (field, label) in FUZZY_FIELDS.items():
-        given_value = F.trim(text(F.col(field)))
+        given_value = strip(F.col(field))
         s = F.col(f"_score_{field}")
         out.append(ladder(rule_id, [
             (given_value == "", "pass", f"{label} comparison skipped because no application value was provided.", F.lit(f"No application {label.lower()}"), None),
@@ -183,7 +183,7 @@ def check_columns(has_typography: bool = False) -> list[Check]:
             ((s >= AMBIGUOUS) | low, "needs_review", f"{label} match is ambiguous.", window, f"Review the {label.lower()} field and label artwork manually."),
             (always, "fail", f"{label} on label does not clearly match application field.", window, f"Correct the application {label.lower()} or label artwork."),
         ], F.when(given_value == "", f"{label} when provided").otherwise(given_value), F.when(given_value != "", body), F.when(given_value != "", s), confidence, emit=~low))
-    country = F.trim(text(F.col("country_of_origin")))
+    country = strip(F.col("country_of_origin"))
     s, other = F.col("_country"), F.col("_other")
     out.append(ladder("COUNTRY_OF_ORIGIN_MATCH", [
         (~F.coalesce(F.col("imported"), F.lit(False)), "pass", "Country-of-origin check skipped because the application is not marked imported.", F.lit("Application marked domestic/not imported"), None),
@@ -295,5 +295,5 @@ def comparison_rows(verdicts: DataFrame, fields: dict[str, str]) -> DataFrame:
     spec = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(field).alias("field"), F.lit(rule).alias("rule_id"), F.col(field).cast("string").alias("value")) for i, (field, rule) in enumerate(fields.items())]))
     rows = verdicts.select("item_id", "checks", spec.alias("s"))
     check = F.try_element_at(F.filter("checks", lambda c: c["rule_id"] == F.col("s.rule_id")), F.lit(1))
-    shown = F.when(F.trim(text(F.col("s.value"))) == "", "Not provided").otherwise(collapsed(F.col("s.value")))
+    shown = F.when(strip(F.col("s.value")) == "", "Not provided").otherwise(collapsed(F.col("s.value")))
     return rows.select("item_id", "s.ord", "s.field", shown.alias("application_value"), F.coalesce(check["verdict"], F.lit("not_checked")).alias("verdict"), F.coalesce(check["observed"], F.lit("")).alias("observed"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.evidence import WARNING
 
 LABELS_SQL = f"""
@@ -42,6 +43,11 @@ FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 """
 
 
+def folded_sql(c: str) -> str:
+    """Accented and wide letters as ASCII, each mark as a space."""
+    return f"translate(regexp_replace({c}, '([{tx.MARKED}])', '\\1 ', 'g'), '{tx.FOLDED}', '{tx.FOLDED_TO}')"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

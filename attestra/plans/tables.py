@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import evaluation, merges, metrics, sampling
 from ..sources import manifests
 from ..streaming import jobs
-from .base import ENGINES_SQL, LABELS_SQL, SCORED_SQL, engine_scores, labels, load, scored
+from .base import ENGINES_SQL, LABELS_SQL, SCORED_SQL, engine_scores, folded_sql, labels, load, scored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -36,8 +36,8 @@ def _sha(*parts: str) -> str:
 # ---- text functions
 
 
-@query("""WITH t AS (SELECT doc_id, text AS s FROM documents) SELECT doc_id,
-  lower(trim(regexp_replace(s, '[^a-zA-Z0-9]+', ' ', 'g'))) AS plain, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS flat,
+@query(f"""WITH t AS (SELECT doc_id, text AS s, {folded_sql("text")} AS f FROM documents) SELECT doc_id,
+  lower(trim(regexp_replace(f, '[^a-zA-Z0-9]+', ' ', 'g'))) AS plain, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS flat,
   substr(sha256(trim(regexp_replace(s, '\\s+', ' ', 'g')) || '|' || CAST(doc_id AS STRING)), 1, 16) AS key FROM t""")
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"))
@@ -82,10 +82,10 @@ def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", tx.evidence_window(F.col("text"), F.lit("THE"), 60).alias("evidence"))
 
 
-_BEST = """WITH d AS (SELECT doc_id, {w} AS words FROM (SELECT doc_id, lower(trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))) AS t FROM documents)),
-  b AS (SELECT item_id, {w} AS words FROM (SELECT item_id, lower(trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))) AS t FROM benchmark)),
+_BEST = """WITH d AS (SELECT doc_id, {w} AS words FROM (SELECT doc_id, lower(trim(regexp_replace({f}, '[^a-zA-Z0-9]+', ' ', 'g'))) AS t FROM documents)),
+  b AS (SELECT item_id, {w} AS words FROM (SELECT item_id, lower(trim(regexp_replace({f}, '[^a-zA-Z0-9]+', ' ', 'g'))) AS t FROM benchmark)),
   s AS (SELECT item_id, doc_id, round(100.0 * len(list_intersect(b.words, d.words)) / len(b.words), 6) AS score FROM b, d WHERE len(b.words) > 0 AND len(d.words) > 0)
-  SELECT item_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1""".format(w="list_distinct(list_filter(string_split(t, ' '), lambda x: x <> ''))")
+  SELECT item_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1""".format(w="list_distinct(list_filter(string_split(t, ' '), lambda x: x <> ''))", f=folded_sql("text"))
 
 
 @query(_BEST)

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,8 +46,13 @@ def signature_fits(name: Column, content: Column) -> Column:
     return out
 
 
+# How a page begins, and what it holds near its beginning, that was sent in place of an image.
+PAGE_STARTS, PAGE_MARKS, PAGE_BYTES = ["<!doctype html", "<html"], ["<title>ttb online", "unable to render attachment"], 512
+
+
 def looks_like_html(content: Column) -> Column:
-    return F.lower(F.ltrim(F.decode(F.substring(content, 1, 256), "ISO-8859-1"))).rlike("^(<!doctype html|<html|<head)")
+    start = F.lower(F.substring(F.ltrim(F.regexp_replace(F.decode(F.substring(content, 1, 4 * PAGE_BYTES), "ISO-8859-1"), r"^\s+", "")), 1, PAGE_BYTES))
+    return reduce(lambda a, b: a | b, [start.startswith(x) for x in PAGE_STARTS] + [start.contains(x) for x in PAGE_MARKS])
 
 
 def image_problem(name: Column, content: Column, most: int = MOST_IMAGE_BYTES) -> Column:

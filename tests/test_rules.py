@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from attestra.functions import evidence as ev
@@ -118,3 +120,27 @@ def test_text_functions(spark):
 def test_partial_ratio():
     assert similarity.partial_ratio("abc", "xxabcxx") == 100 and similarity.partial_ratio("", "a") == 0
     assert similarity.common_subsequence("kitten", "sitting") == 4 and similarity.partial_ratio("abcd", "xabxcdx") == 75
+
+
+def test_unicode_white_space_and_accents(spark):
+    from attestra.functions import evidence as ev
+    from attestra.functions import text as tx
+
+    rows = [("\tyes\u00a0", "CORAZ\u00d3N \uff21\uff22 x\u00b2"), ("\u2003NO", "caf\u00e9 nai\u0308ve"), (None, None), ("\x1f", "plain")]
+    df = spark.createDataFrame(rows, "flag string, name string")
+    got = df.select(tx.parsed_bool(F.col("flag")).alias("flag"), tx.label_text(F.col("name")).alias("name")).collect()
+    assert [(r.flag, r.name) for r in got] == [(True, "corazo n ab x2"), (False, "cafe nai ve"), (False, ""), (False, "plain")]
+    warned = spark.createDataFrame([("front\u00a0" + ev.WARNING.replace(" ", "\u00a0 "),)], "body string")
+    assert warned.select(ev.warning_block(F.col("body"))).first()[0] == ev.WARNING
+
+
+def test_judged_equals_checks(spark):
+    from attestra.operators import rules
+
+    fields = ", ".join(f"{f} {'boolean' if f == 'imported' else 'string'}" for f in rules.APPLICATION)
+    texts = ["ACME 5% ALC/VOL 750 mL GOVERNMENT WARNING: (1) x", "", "ACME 5.5 ABV Government Warning: y PRODUCT OF FRANCE"]
+    rows = [("ACME", "", "Ale", a, "750 mL", "", c, imp, "malt_beverage", t, conf) for a in ("5%", "", "strong") for c, imp in (("France", True), ("", True), ("Italy", False)) for t in texts for conf in (0.5, 0.9)]
+    items = spark.createDataFrame(rows, f"{fields}, full_text string, avg_confidence double")
+    for flags in ({}, {"review_unknown_warning": True, "review_before_rejection": True, "review_before_acceptance": True}):
+        left, right = rules.judged(items, **flags), rules.with_verdicts(rules.with_checks(items), **flags).drop("checks")
+        assert left.columns == right.columns and left.exceptAll(right).count() == right.exceptAll(left).count() == 0

@@ -163,3 +163,38 @@ def test_panels(spark):
     df = spark.createDataFrame([("i", 2, "b.png", "B", 0.5, 10, "x"), ("i", 1, "a.png", "A", 1.0, 5, "y")], "item string, panel int, filename string, full_text string, avg_confidence double, total_ms int, source string")
     r = manifests.combined_panels(df, "item", "panel").first()
     assert (r.full_text, r.avg_confidence, r.total_ms, r.source, r.panels) == ("[Panel 1: a.png]\nA\n\n[Panel 2: b.png]\nB", 0.75, 15, "x + y", 2)
+
+
+def test_best_by_words_by_index_and_by_join(spark, monkeypatch):
+    import random
+
+    from attestra.operators import evaluation
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, r.sample(words, r.randint(0, 12))) for i in range(60)]
+    asked = [(i, r.sample(words, r.randint(1, 6))) for i in range(15)] + [(99, [])]
+    d, p = spark.createDataFrame(docs, "doc long, have array<string>").repartition(4), spark.createDataFrame(asked, "item long, want array<string>")
+    want = {i: min((-100 * len(set(w) & set(h)) / len(w), k) for k, h in docs if h) for i, w in asked if w}
+    for most in (10_000, 3):
+        monkeypatch.setattr(evaluation, "MOST_PASSAGES", most)
+        got = {x["item"]: (-x["score"], x["doc"]) for x in evaluation.best_by_words(d, p, "doc", "have", "item", "want").collect()}
+        assert set(got) == set(want) and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 1e-5 for i in want)
+
+
+def test_contact_sheet_tops_up(spark):
+    from attestra.operators import records
+
+    df = spark.createDataFrame([(i, "a" if i < 90 else "b") for i in range(100)], "id long, kind string")
+    got = records.contact_sheet(df, "kind", "s", ["id"], 5, 30).collect()
+    assert len(got) == 30 and sum(r.kind == "b" for r in got) >= 5 and len({r.id for r in got}) == 30
+    assert records.contact_sheet(df, "kind", "s", ["id"], 5, 7).count() == 7
+
+
+def test_latency_of_ties_and_nulls(spark):
+    from attestra.operators import metrics
+
+    df = spark.createDataFrame([("a", v) for v in [5, 5, 5, 7, None, 100]] + [("b", 1)], "engine string, ms long")
+    got = {r.engine: r for r in metrics.latency(df, "ms", ["engine"]).collect()}
+    assert (got["a"].n, got["a"]["mean"], got["a"].median, got["a"].most, got["a"].p95_floor, got["a"].p95_linear) == (5, 24.4, 5.0, 100, 100, 81.4)
+    assert got["b"].p95_round == 1 and got["b"].median == 1.0
