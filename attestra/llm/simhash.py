@@ -36,7 +36,7 @@ from .common import drop, partitions, slices, stored, text_bytes
 
 SHINGLE, RADIUS = 4, 4
 #: Up to so many fingerprints 5, 6 and 7 bit ranges are cut, beyond them 8.
-MOST = ((1 << 18, 5), (1 << 26, 6), (1 << 32, 7))
+MOST = ((1 << 14, 5), (1 << 26, 6), (1 << 32, 7))
 #: Fingerprints of one bucket that a task compares with each other at most.
 BUCKET = 2048
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
