@@ -279,11 +279,11 @@ class Builder:
             self.cut(len(self.open) - 1)
         if name == "form" and self.open[-1].name in TABLE_PARTS:
             return
+        while name in _CLOSES and self.closes(name):
+            pass
         if name == "table" and self.open[-1].name in TABLE_PARTS and self.count["table"]:
             #: A table right in another ends that.
             self.end("table")
-        while name in _CLOSES and self.closes(name):
-            pass
         if name in IN_TABLES and self.count["table"]:
             #: A part of the table ends stray content that is still open.
             for i in range(len(self.open) - 1, 0, -1):

@@ -418,6 +418,7 @@ def test_layout(html, text):
     [
         ("<table><p>Hello</p><tr><td>x</table>", ["Hello", "x"]),
         ("<table><p>Hello<tr><td>x</table>", ["Hello", "x"]),
+        ("<table><p>one<table><p>two<table>three<tr><td>x", ["one", "two", "three", "x"]),
         ("<table><tr><h2>Title</h2><td>x</table>", ["Title", "x"]),
         ("<table><tbody><li>one<li>two<tr><td>x</table>", ["-", "one", "-", "two", "x"]),
         ("<table><dt>a<dd>b<tr><td>x<td>y</table>", ["a", "b", "x", "y"]),
