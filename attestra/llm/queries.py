@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import byte_bpe, language, layout, packing, ppm, simhash, sketches, stable_knn, substrings, urls
+from . import byte_bpe, centroids, jaccard, language, layout, packing, ppm, simhash, sketches, stable_knn, substrings, urls, whitening
 from .common import table
 
 
@@ -68,6 +68,21 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error of the first four components of every vector."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of every vector."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_ratio": op1_url_ratio,
     "op2_scaled_sketch": op2_scaled_sketch,
@@ -79,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_stable_knn": op9_stable_knn,
     "op10_best_fit": op10_best_fit,
+    "op11_whitening": op11_whitening,
+    "op12_jaccard_join": op12_jaccard_join,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {}
