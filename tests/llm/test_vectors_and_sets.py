@@ -122,6 +122,8 @@ def test_op11(spark):
 
 def plain_clusters(rows, k=40, rounds=5, length=64):
     kept = [(i, tuple(math.floor(256 * c) for c in v)) for i, v in rows if v is not None and len(v) == length and all(c is not None and math.isfinite(c) for c in v)]
+    if not kept:
+        return collections.Counter()
     order = sorted(kept, key=lambda r: (hashlib.sha256(f"2:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
     centres = [list(x) for _, x in order[:k]]
     x = np.array([v for _, v in kept], np.int64).reshape(-1, length)
