@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapsed, label_text, strip, text
+from .text import WHITE, collapsed, label_text, strip, text
 
 # Patterns, units and lists that decide verdicts.
 ABV = r"(?i)\b\d+(?:\.\d+)?\s*%?\s*(?:A\.?B\.?V\.?|ABV)\b"
@@ -32,6 +32,10 @@ ALIASES = {"United States": ["USA", "U.S.A.", "United States of America"]}
 HEALTH_TERMS = ["detox", "healthy", "safer", "less toxic", "protective"]
 
 
+#: The heading in any case, dotted and dotless i among them, with white space of Unicode.
+_HEADING = f"government[{WHITE}]+warn[i\u0130\u0131]ng[{WHITE}]*:"
+
+
 def abv_shorthand(c: Column) -> Column:
     """The first number followed by ABV, null where there is none."""
     return F.nullif(F.regexp_extract(text(c), ABV, 0), F.lit(""))
@@ -74,11 +78,11 @@ def contents_match(expected: Column, observed: Column) -> Column:
 
 def warning_block(c: Column) -> Column:
     """From the warning's heading to the end of the text, white space collapsed; null where there is none."""
-    return F.nullif(collapsed(F.regexp_extract(text(c), r"(?isU)(government\s+warning\s*:.*)", 1)), F.lit(""))
+    return F.nullif(collapsed(F.regexp_extract(text(c), f"(?is)({_HEADING}.*)", 1)), F.lit(""))
 
 
 def warning_heading(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(text(c), r"(?iU)government\s+warning\s*:", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(text(c), f"(?i){_HEADING}", 0), F.lit(""))
 
 
 def health_terms(c: Column) -> Column:

@@ -43,6 +43,12 @@ def _folds() -> tuple[str, str, str]:
 
 
 FOLDED, FOLDED_TO, MARKED = _folds()
+#: Stand-ins, side by side in a range for private use, of letters and digits that had marks.
+_PLAIN = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_STANDINS = "".join(chr(0xE000 + i) for i in range(len(_PLAIN)))
+_TO_STANDINS = "".join(_STANDINS[_PLAIN.index(to)] if c in MARKED else to for c, to in zip(FOLDED, FOLDED_TO, strict=True))
+#: What stands for itself in that range, to a sign that is no letter either.
+_NOTHING = "\ufffd" * len(_STANDINS)
 
 
 def text(c: Column) -> Column:
@@ -60,7 +66,8 @@ def folded(c: Column) -> Column:
 
     Signs that decompose into several letters are left out; :func:`decomposed` has all.
     """
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(F.regexp_replace(c, f"[{MARKED}]", "$0 "), FOLDED, FOLDED_TO)).otherwise(c)
+    marked = F.regexp_replace(F.translate(c, _STANDINS + FOLDED, _NOTHING + _TO_STANDINS), f"[{_STANDINS[0]}-{_STANDINS[-1]}]", "$0 ")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(marked, _STANDINS, _PLAIN)).otherwise(c)
 
 
 def label_text(c: Column) -> Column:

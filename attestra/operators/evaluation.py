@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,25 +15,28 @@ from ..functions.evidence import tokens, word_score
 from ..functions.text import collapsed, text
 from ..functions.variants import field_variants
 
-#: Passages that go to every task to be scored there; more meet documents on their words.
-MOST_PASSAGES = 10_000
+#: Words of passages that go to every task at once.
+BLOCK_WORDS = 500_000
 
 
-def best_by_words(docs: DataFrame, passages: DataFrame, doc: str, have: str, item: str, want: str) -> DataFrame:
+def best_by_words(docs: DataFrame, passages: DataFrame, doc: str, have: str, item: str, want: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """For each passage the document that has the largest share of its distinct words, the smaller id among equals.
 
-    Few passages go to every task as an index of their words; a task counts what
-    its documents have and hands on its best document for each passage only. More
-    passages than ``MOST_PASSAGES`` are joined with documents on their words.
+    Passages are taken in blocks of about ``block_words`` words, dealt by the hash of
+    their ids. An index of a block's words goes to every task, which counts what its
+    documents have and hands on its best document for each passage only, so
+    documents are never shuffled. A passage that shares no word with any document
+    gets the least of them with score 0; documents and passages without words take
+    no part; a passage longer than a block is one by itself.
     """
-    asked = passages.where(F.size(want) > 0).select(F.col(item).alias("item"), F.col(want).alias("words"))
+    asked = passages.where(F.size(want) > 0).select(F.col(item).alias("item"), F.array_distinct(want).alias("words"))
     schema = f"item {asked.schema['item'].dataType.simpleString()}, doc {docs.schema[doc].dataType.simpleString()}, score double"
-    if asked.limit(MOST_PASSAGES + 1).count() > MOST_PASSAGES:
-        words = asked.select("item", F.size("words").alias("n"), F.explode("words").alias("word"))
-        shared = docs.select(F.col(doc).alias("doc"), F.explode(have).alias("word")).join(words, "word").groupBy("item", "doc", "n").agg(F.count("*").alias("k"))
-        scores = shared.select("item", "doc", (100.0 * F.col("k") / F.col("n")).alias("score"))
-    else:
-        rows = asked.collect()
+    item_arrow, doc_arrow = to_arrow_type(asked.schema["item"].dataType), to_arrow_type(docs.schema[doc].dataType)
+    blocks = -(-(asked.agg(F.sum(F.size("words"))).first()[0] or 0) // block_words)
+    have_words = docs.where(F.size(have) > 0).select(F.col(doc).alias("doc"), F.array_distinct(have).alias("have"))
+
+    def scores(block: int) -> DataFrame:
+        rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
         sent = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in rows], [r["words"] for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,18 +49,18 @@ def best_by_words(docs: DataFrame, passages: DataFrame, doc: str, have: str, ite
             best, who = np.full(len(items), -1.0), [None] * len(items)
             for batch in batches:
                 for one, words in zip(batch.column("doc").to_pylist(), batch.column("have").to_pylist(), strict=True):
-                    if words:
-                        hits = [at[w] for w in words if w in at]
-                        score = 100.0 * np.bincount(np.concatenate(hits), minlength=len(items)) / sizes if hits else np.zeros(len(items))
-                        for i in np.flatnonzero(score >= best).tolist():
-                            if score[i] > best[i] or one < who[i]:
-                                best[i], who[i] = score[i], one
-            some = [i for i in range(len(items)) if who[i] is not None]
+                    hits = [at[w] for w in words if w in at]
+                    score = 100.0 * np.bincount(np.concatenate(hits), minlength=len(items)) / sizes if hits else np.zeros(len(items))
+                    for i in np.flatnonzero(score >= best).tolist():
+                        if score[i] > best[i] or one < who[i]:
+                            best[i], who[i] = score[i], one
+            some = np.flatnonzero(best >= 0).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([items[i] for i in some], item_arrow), pa.array([who[i] for i in some], doc_arrow), pa.array(best[some], pa.float64())], ["item", "doc", "score"])
 
-        item_arrow, doc_arrow = to_arrow_type(asked.schema["item"].dataType), to_arrow_type(docs.schema[doc].dataType)
-        scores = docs.select(F.col(doc).alias("doc"), F.col(have).alias("have")).mapInArrow(run, schema)
-    top = scores.groupBy("item").agg(F.min_by(F.struct("doc", "score"), F.struct(-F.col("score"), F.col("doc"))).alias("b"))
+        return have_words.mapInArrow(run, schema)
+
+    every = [scores(b) for b in range(blocks)] or [docs.sparkSession.createDataFrame([], schema)]
+    top = reduce(DataFrame.unionByName, every).groupBy("item").agg(F.min_by(F.struct("doc", "score"), F.struct(-F.col("score"), F.col("doc"))).alias("b"))
     return top.select(F.col("item").alias(item), F.col("b.doc").alias(doc), F.round("b.score", 6).alias("score"))
 
 

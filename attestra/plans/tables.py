@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import evaluation, merges, metrics, sampling
 from ..sources import manifests
 from ..streaming import jobs
-from .base import ENGINES_SQL, LABELS_SQL, SCORED_SQL, engine_scores, folded_sql, labels, load, scored
+from .base import ENGINES_SQL, LABELS_SQL, SCORED_SQL, engine_scores, folded_sql, labels, load, scored, spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -40,7 +40,7 @@ def _sha(*parts: str) -> str:
   lower(trim(regexp_replace(f, '[^a-zA-Z0-9]+', ' ', 'g'))) AS plain, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS flat,
   substr(sha256(trim(regexp_replace(s, '\\s+', ' ', 'g')) || '|' || CAST(doc_id AS STRING)), 1, 16) AS key FROM t""")
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"))
+    d = spread(load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s")))
     return d.select("doc_id", tx.label_text(F.col("s")).alias("plain"), tx.collapsed(F.col("s")).alias("flat"), tx.stable_id(F.col("s"), F.col("doc_id").cast("string")).alias("key"))
 
 
@@ -94,7 +94,7 @@ def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Documents are not shuffled: see :func:`evaluation.best_by_words`.
     """
-    d = load(spark, sf_dir, "documents").select("doc_id", ev.tokens(F.col("text")).alias("have"))
+    d = spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", ev.tokens(F.col("text")).alias("have"))
     b = load(spark, sf_dir, "benchmark").select("item_id", ev.tokens(F.col("text")).alias("want"))
     return evaluation.best_by_words(d, b, "doc_id", "have", "item_id", "want")
 

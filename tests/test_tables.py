@@ -165,7 +165,7 @@ def test_panels(spark):
     assert (r.full_text, r.avg_confidence, r.total_ms, r.source, r.panels) == ("[Panel 1: a.png]\nA\n\n[Panel 2: b.png]\nB", 0.75, 15, "x + y", 2)
 
 
-def test_best_by_words_by_index_and_by_join(spark, monkeypatch):
+def test_best_by_words_in_blocks(spark):
     import random
 
     from attestra.operators import evaluation
@@ -173,15 +173,29 @@ def test_best_by_words_by_index_and_by_join(spark, monkeypatch):
     r = random.Random(3)
     words = [f"w{i}" for i in range(40)]
     docs = [(i, r.sample(words, r.randint(0, 12))) for i in range(60)]
-    asked = [(i, r.sample(words, r.randint(1, 6))) for i in range(15)] + [(99, [])]
+    asked = [(i, r.sample(words, r.randint(1, 6))) for i in range(15)] + [(99, []), (98, ["unseen"]), (97, ["unseen", "w1", "w1"])]
     d, p = spark.createDataFrame(docs, "doc long, have array<string>").repartition(4), spark.createDataFrame(asked, "item long, want array<string>")
-    want = {i: min((-100 * len(set(w) & set(h)) / len(w), k) for k, h in docs if h) for i, w in asked if w}
-    for most in (10_000, 3):
-        monkeypatch.setattr(evaluation, "MOST_PASSAGES", most)
-        got = {x["item"]: (-x["score"], x["doc"]) for x in evaluation.best_by_words(d, p, "doc", "have", "item", "want").collect()}
+    want = {i: min((-100 * len(set(w) & set(h)) / len(set(w)), k) for k, h in docs if h) for i, w in asked if w}
+    assert want[98] == (0, min(k for k, h in docs if h))
+    for block in (10_000, 20, 1):
+        got = {x["item"]: (-x["score"], x["doc"]) for x in evaluation.best_by_words(d, p, "doc", "have", "item", "want", block).collect()}
         assert set(got) == set(want) and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 1e-5 for i in want)
 
 
+def test_best_by_words_of_nothing(spark):
+    from attestra.operators import evaluation
+
+    none = spark.createDataFrame([], "id long, words array<string>")
+    assert evaluation.best_by_words(none.withColumnRenamed("id", "doc"), none, "doc", "words", "id", "words").count() == 0
+
+
+def test_folding_takes_private_signs_for_nothing(spark):
+    from attestra.functions import text as tx
+
+    df = spark.createDataFrame([("\ue001 Été Ａ1\ue030É \uf8ff²",)], "s string")
+    assert df.select(tx.label_text(df.s)).first()[0] == "e te a1 e 2"
+
+
 def test_contact_sheet_tops_up(spark):
     from attestra.operators import records
 
