@@ -8,11 +8,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from attestra.plans import records, tables, verdicts
+from attestra.plans import panels, records, tables, verdicts
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ORACLE = {**verdicts.ORACLE, **tables.ORACLE, **records.ORACLE}
+ORACLE = {**verdicts.ORACLE, **tables.ORACLE, **records.ORACLE, **panels.ORACLE}
 
 
 @pytest.fixture(scope="module")
