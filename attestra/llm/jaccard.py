@@ -13,13 +13,14 @@ made distinct with the places of their first shared n-gram; behind it, the n-gra
 both are counted by ranges of their hashes, and pairs whose ranges differ by too
 much go (suffix filter). What is left is verified once by its two sets.
 
-Classes already linked by others need no pair of their own: buckets of an n-gram first meet one
-centre, for which all buckets draw the class of least hash, another one each time,
-in ``STARS`` rounds; components of the links so far name
-what is one; a last round compares all that share a prefix n-gram and are not
-yet one. So a group of near copies costs pairs in proportion to its members, and
-no link that joins different components is lost. A large bucket is dealt as pairs
-of its parts.
+Classes already linked by others need no pair of their own. The members of an
+n-gram's bucket first meet a few centres: those with the fewest rarer n-grams before
+it, which in a group of near copies are the least changed ones and the same for
+most buckets. What links so far make one has one label; members of one label are
+not compared. Each round takes four times as many centres, until all pairs of unlike
+labels are no more than ``FEW`` for each member; a last round compares these. So a
+group of near copies costs pairs about in proportion to its members, and no link
+that joins different components is lost. A large bucket is dealt in the last round as pairs of its parts.
 
 Edge cases: null and texts without words have an empty set and are linked with
 nothing; fewer words than an n-gram are one n-gram; repeated rows and rows that
@@ -37,14 +38,14 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, run_hashes, slices, stored, text_bytes, trimmed, word_hashes
+from .common import drop, run_hashes, slices, stored, text_bytes, trimmed, word_hashes
 from .simhash import components
 from .trees import merged
 
-SHINGLE, PERCENT, STARS = 5, 80, 3
+SHINGLE, PERCENT, FEW = 5, 80, 4
 #: Counters of the sketch (16 MB, whatever the input), and the segments it is added up in.
 COUNTERS, SEGMENTS = 1 << 22, 16
 #: Ranges of hashes of the suffix filter.
@@ -173,25 +174,34 @@ def _filters(percent: int) -> F.Column:
 
 
 def _paired(found: DataFrame) -> DataFrame:
-    """Distinct pairs a < b, and where their first shared n-gram is in each."""
+    """Distinct pairs a < b with their labels, and where their first shared n-gram is in each."""
     turned = F.col("l.c") > F.col("r.c")
     pick = lambda c, x, y: F.when(turned, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}"))
-    rows = found.select(pick("c", "l", "r").alias("a"), pick("c", "r", "l").alias("b"), pick("at", "l", "r").alias("i"), pick("at", "r", "l").alias("j"))
-    return rows.groupBy("a", "b").agg(F.min("i").alias("i"), F.min("j").alias("j"))
+    rows = found.select(*[pick(c, *sides).alias(f"{c}_{to}") for to, sides in (("a", "lr"), ("b", "rl")) for c in ("c", "label", "at")])
+    pairs = rows.groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    return pairs.agg(F.min("at_a").alias("i"), F.min("at_b").alias("j"), F.min("label_a").alias("one"), F.min("label_b").alias("two"))
 
 
-def _star_pairs(buckets: DataFrame, nth: int, percent: int) -> DataFrame:
-    """Each class with the centre of each of its buckets, if they are not one yet."""
-    lot = F.xxhash64("c", F.lit(nth))
-    centres = buckets.groupBy("gram").agg(F.min(F.struct(lot.alias("lot"), "c", "n", "at", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    centres = centres.select("gram", "m.c", "m.n", "m.at", "m.label")
-    return _paired(buckets.alias("l").join(centres.alias("r").hint("merge"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.label") != F.col("r.label")) & _filters(percent)))
+def _mixed(buckets: DataFrame) -> DataFrame:
+    """N-grams whose members have more than one label: ``gram``, members ``k``, ``pairs`` of unlike labels."""
+    each = buckets.groupBy("gram", "label").agg(F.count("*").alias("n")).groupBy("gram").agg(F.count("*").alias("labels"), F.sum("n").alias("k"), F.sum(F.col("n").cast("double") * F.col("n")).alias("alike"))
+    return each.where("labels > 1").select(F.col("gram").alias("_gram"), "k", ((F.col("k").cast("double") * F.col("k") - F.col("alike")) / 2).alias("pairs"))
 
 
-def _other_pairs(buckets: DataFrame, percent: int, bucket: int) -> DataFrame:
-    """All pairs of each bucket that are not one yet; a large bucket as pairs of its parts."""
-    sizes = buckets.groupBy("gram").agg(F.count("*").alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    sizes = sizes.select(F.col("gram").alias("_gram"), F.ceil(F.col("k") / bucket).cast("int").alias("parts"))
+def _star_pairs(buckets: DataFrame, centres: int, percent: int) -> DataFrame:
+    """Each class with the centres of each of its buckets that have another label."""
+    order = F.struct("at", F.xxhash64("c").alias("lot"), "c", "n", "label")
+    if centres == 1:
+        chosen = buckets.groupBy("gram").agg(F.min(order).alias("m")).select("gram", "m.c", "m.n", "m.at", "m.label")
+    else:
+        nth = F.row_number().over(Window.partitionBy("gram").orderBy("at", F.xxhash64("c"), "c"))
+        chosen = buckets.withColumn("nth", nth).where(F.col("nth") <= centres).drop("nth")
+    return _paired(buckets.alias("l").join(chosen.alias("r").hint("merge"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.label") != F.col("r.label")) & _filters(percent)))
+
+
+def _other_pairs(buckets: DataFrame, grams: DataFrame, percent: int, bucket: int) -> DataFrame:
+    """All pairs of each bucket that are of unlike labels; a large bucket as pairs of its parts."""
+    sizes = grams.select(F.col("_gram"), F.ceil(F.col("k") / bucket).cast("int").alias("parts"))
     rows = buckets.join(sizes.hint("merge"), F.col("gram") == F.col("_gram")).withColumn("mine", F.pmod(F.xxhash64("c", F.lit(11)), F.col("parts").cast("long")).cast("int"))
     left = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.deal") == F.col("r.mine")) & (F.col("l.mine") == F.col("r.deal"))
@@ -210,14 +220,14 @@ def _suffixes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 n, p, r, m, q, t = rest
                 bound = suffix_bound(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), np.frombuffer(r, np.uint32).astype(np.int64), np.frombuffer(t, np.uint32).astype(np.int64), i, j)
                 keep.append(bound >= overlap(n + m, percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "one", "two"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return joined.mapInArrow(run, "a bigint, b bigint, one bigint, two bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose sets are alike."""
+    """The labels of pairs whose sets are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list = [None, None]
@@ -230,13 +240,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                     s, t = last[1], shingle_sets([y], k)[0]
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["one", "two"]).filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b"])
 
     left, right = (texts.select(F.col("c").alias(s), F.col("_text").alias(t)) for s, t in (("a", "left"), ("b", "right")))
-    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "one", "two", "left", "right").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, stars: int = STARS, bucket: int = BUCKET) -> DataFrame:
+def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, few: int = FEW, bucket: int = BUCKET) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` of every row: the least id that links of at least ``percent`` reach."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -254,28 +264,39 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     wanted = texts.withColumn("key", F.xxhash64("_text")).join(named.hint("merge"), F.col("_id").eqNullSafe(F.col("_least")) & (F.col("key") == F.col("_key")))
     wanted, wanted_path = stored(wanted.select("c", "_text").dropDuplicates(["c"]), "jaccard-texts")
 
-    links, links_path, seen, seen_paths, roots = None, None, None, [], None
-    for nth in range(stars + 1):
-        pairs = _star_pairs(buckets, nth, percent) if nth < stars else _other_pairs(buckets, percent, bucket)
+    names, names_path = stored(buckets.select("c", "label").distinct(), "jaccard-names")
+    seen, seen_paths, centres, last = None, [], 1, False
+    while not last:
+        grams, grams_path = stored(_mixed(buckets), "jaccard-grams")
+        members_left, pairs_left, largest = grams.agg(F.sum("k"), F.sum("pairs"), F.max("k")).first()
+        #: With as many centres as members a star is all pairs.
+        last = not members_left or pairs_left <= few * members_left or centres >= largest
+        mixed = buckets.join(grams.select("_gram").hint("merge"), F.col("gram") == F.col("_gram")).drop("_gram")
+        pairs = _other_pairs(mixed, grams, percent, bucket) if last else _star_pairs(mixed, centres, percent)
         if seen is not None:
             pairs = pairs.join(seen.select(F.col("a").alias("_a"), F.col("b").alias("_b")).hint("merge"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
         pairs, pairs_path = stored(_suffixes(pairs, classes, percent), "jaccard-pairs")
         seen_paths.append(pairs_path)
         seen = pairs if seen is None else seen.unionByName(pairs)
-        new = _verified(pairs, wanted, k, percent)
-        new, new_path = stored(new if roots is None else new.unionByName(links), "jaccard-links")
-        if links_path:
-            drop(spark, links_path)
-        links, links_path = new, new_path
+        links, links_path = stored(_verified(pairs, wanted, k, percent), "jaccard-links")
         roots, root_paths = components(links, "jaccard-stars")
-        if nth < stars:
-            to = roots.select(F.col("node").alias("_node"), "root")
-            labelled, new_path = stored(buckets.drop("label").join(to.hint("merge"), F.col("c") == F.col("_node"), "left").select("gram", "c", "n", "at", F.coalesce("root", "c").alias("label")), "jaccard-buckets")
-            drop(spark, path, *root_paths)
-            buckets, path = labelled, new_path
-    drop(spark, path, wanted_path, links_path, *seen_paths)
-
-    named = classes.select("c", "digest", "_id").join(roots.hint("merge"), F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
+        to = roots.select(F.col("node").alias("_node"), "root")
+
+        def renamed(df: DataFrame, to: DataFrame = to) -> DataFrame:
+            met = df.join(to.hint("merge"), F.col("label") == F.col("_node"), "left")
+            return met.select(*[c for c in df.columns if c != "label"], F.coalesce("root", "label").alias("label"))
+
+        names, new_names = stored(renamed(names), "jaccard-names")
+        if not last:
+            buckets, new_path = stored(renamed(mixed), "jaccard-buckets")
+            drop(spark, path)
+            path = new_path
+        drop(spark, names_path, grams_path, links_path, *root_paths)
+        names_path, centres = new_names, centres * 4
+    drop(spark, path, wanted_path, *seen_paths)
+
+    labels = names.select(F.col("c").alias("_c"), "label")
+    named = classes.select("c", "digest", "_id").join(labels.hint("merge"), F.col("c") == F.col("_c"), "left").withColumn("root", F.coalesce("label", "c"))
     tops = named.groupBy("root").agg(F.min("_id").alias("component_id"))
     named = named.join(tops.hint("merge"), "root").select(F.col("digest").alias("_digest"), "component_id")
     rows = marks.join(named.hint("merge"), (F.col("digest") == F.col("_digest")) & (F.col("n") > 0), "left")
