@@ -3,7 +3,7 @@
 Every shuffle is an order by a salted sha256 of the row's key, so results do
 not depend on partitions. Membership therefore differs from samplers that use a
 seeded generator; sizes, floors and disjointness are the same. Allocations run
-over strata (few rows); windows over rows are partitioned by stratum.
+over strata (few rows); rows are numbered within ranges of a hash or an order.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import order_hash
+from .prefixes import hash_range, many_ranges, numbered
+
 
 def _all() -> Window:
     """One window over all rows; only strata and ranges pass through it, never the table."""
@@ -62,15 +64,15 @@ def round_robin(df: DataFrame, strata: list[str], seed: str, ids: list[str], tar
 
 def split_by_ratio(df: DataFrame, group: list[str], seed: str, ids: list[str], parts: dict[str, float]) -> DataFrame:
     """``split`` by cumulative shares of each group's rows, floored; the last part takes the rest."""
-    window = Window.partitionBy(*group)
-    n, nth = F.count("*").over(window), F.row_number().over(window.orderBy(order_hash(seed, *[F.col(i) for i in ids]), *ids))
+    marked = df.withColumn("_mark", order_hash(seed, *[F.col(i) for i in ids]))
+    drawn = numbered(marked, group, ["_mark", *ids], "_place", hash_range(F.col("_mark"), many_ranges(df)))
     names, shares = list(parts), list(parts.values())
     out, upto = F.lit(names[-1]), []
     for i in range(len(names) - 1):
-        upto.append(sum(F.floor(F.col("_n") * s).cast("bigint") for s in shares[: i + 1]))
+        upto.append(sum(F.floor(F.col("_place_of") * s).cast("bigint") for s in shares[: i + 1]))
     for name, most in reversed(list(zip(names[:-1], upto, strict=True))):
-        out = F.when(F.col("_nth") <= most, name).otherwise(out)
-    return df.withColumns({"_n": n, "_nth": nth}).withColumn("split", out).drop("_n", "_nth")
+        out = F.when(F.col("_place") <= most, name).otherwise(out)
+    return drawn.withColumn("split", out).drop("_mark", "_place", "_place_of")
 
 
 def exact_cut(df: DataFrame, seed: str, ids: list[str], size: int, first: str, rest: str) -> DataFrame:
@@ -82,17 +84,36 @@ def exact_cut(df: DataFrame, seed: str, ids: list[str], size: int, first: str, r
 
 
 def fetch_order(df: DataFrame, seed: str, ids: list[str]) -> DataFrame:
-    """Places 1 to n in the order of the hash, without one task for all rows.
+    """Places 1 to n in the order of the hash, without one task for all rows: see :func:`prefixes.numbered`."""
+    marked = df.withColumn("_mark", order_hash(seed, *[F.col(i) for i in ids]))
+    return numbered(marked, [], ["_mark", *ids], "fetch_order", hash_range(F.col("_mark"), many_ranges(df))).drop("_mark", "fetch_order_of")
+
 
-    Rows are numbered within ranges of the hash; each range starts where the ones
-    before it end.
+def split_families(df: DataFrame, family: str, member: Column, other: Column, seed: str, train: float = 0.70, validation: float = 0.85, least: int = 6) -> DataFrame:
+    """``df`` with ``split``: whole families go to train, validation or test, by the order of their hashes.
+
+    Families with a ``member`` row and an ``other`` row count; with fewer than ``least``
+    of them all families do, and the others are left out. Up to ``train`` and ``validation`` of
+    the families are cut off, one family at least each. Where none is left for test, the last of
+    validation is test, and with none left in validation either, the last of train stands in
+    both (one, two or three families only).
     """
-    mark = order_hash(seed, *[F.col(i) for i in ids])
-    marked = df.withColumn("_mark", mark).withColumn("_range", F.substring("_mark", 1, 2))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = marked.groupBy("_range").agg(F.count("*").alias("_n")).select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy("_mark", *ids))
-    return marked.withColumn("_nth", nth).join(F.broadcast(starts), F.col("_range") == F.col("_r")).withColumn("fetch_order", F.col("_start") + F.col("_nth")).drop("_mark", "_range", "_nth", "_r", "_start")
+    each = df.groupBy(F.col(family).alias("_family")).agg(F.max(member.cast("int")).alias("_a"), F.max(other.cast("int")).alias("_b"))
+    both = (F.col("_a") == 1) & (F.col("_b") == 1)
+    usable, every = each.agg(F.count_if(both), F.count("*")).first()
+    n = usable if usable >= least else every
+    drawn = fetch_order((each.where(both) if usable >= least else each).select("_family"), seed, ["_family"])
+    cut = max(1, int(n * train))
+    upto = max(cut + 1, int(n * validation))
+    place = F.col("fetch_order")
+    splits = F.when(place <= cut, "train").when(place <= upto, "validation").otherwise("test")
+    labels = F.array(splits)
+    if n <= upto:
+        tail = n if n > cut else 0
+        stands = n - cut <= 1
+        labels = F.when(place == tail, F.array(F.lit("test"))).when((place == min(cut, n)) & F.lit(stands), F.array(F.lit("train"), F.lit("validation"))).otherwise(labels)
+    of = drawn.select(F.col("_family"), F.explode(labels).alias("split"))
+    return df.join(of, F.col(family).eqNullSafe(F.col("_family"))).drop("_family")
 
 
 def business_days(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -117,8 +138,7 @@ def until_enough(days: DataFrame, group: str, order: str, usable: str, least: in
 
 def chunked(df: DataFrame, split: str, order: list[str], size: int, name: str) -> DataFrame:
     """Jobs of ``size`` rows that start anew in each split."""
-    nth = F.row_number().over(Window.partitionBy(split).orderBy(*order))
-    rows = df.withColumn("chunk", (F.floor((nth - 1) / size) + 1).cast("int"))
+    rows = numbered(df, [split], order, "_place").withColumn("chunk", (F.floor((F.col("_place") - 1) / size) + 1).cast("int")).drop("_place", "_place_of")
     return rows.withColumn("job", F.format_string("%s_%s_%06d", F.col(split), F.lit(name), F.col("chunk")))
 
 

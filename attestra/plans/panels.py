@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from ..functions import records as rc
 from ..functions import text as tx
-from ..operators import candidates, graphs, headings
+from ..operators import candidates, graphs, headings, mapping, prefixes, sampling
 from ..sources import forms
 from .base import load, spread
 
@@ -187,3 +187,78 @@ def feature_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of each group's graph of its 32 most telling nodes, each joined to its four nearest."""
     g = graphs.feature_graphs(_nodes(spark, sf_dir), "graph", "p_partkey", F.col("similarity") + F.col("confidence"), 32, 4)
     return g.select("graph", "node_count", F.explode("adj").alias("e")).select("graph", "node_count", "e.a", "e.b", F.round("e.weight", 6).alias("weight"))
+
+
+# ---- records, prefixes, families
+
+#: What another source's record of each part says; keys are spelt in one of three ways, some are missing or null.
+RECORDS_SQL = """SELECT p_partkey, CAST(26000000000000 + p_partkey AS STRING) AS ttb_id, p_brand AS brand_name, p_name AS product_name, CASE p_partkey % 3 WHEN 0 THEN 'Malt Beverage' WHEN 1 THEN 'Wine' ELSE 'Distilled Spirits' END AS product_type, p_type AS class_name,
+  CASE p_partkey % 4 WHEN 0 THEN 'Imported' WHEN 1 THEN 'Domestic' ELSE '' END AS kind, CASE p_partkey % 5 WHEN 0 THEN 'France' WHEN 1 THEN 'USA' ELSE 'KENTUCKY' END AS origin, p_size AS abv, p_size * 25 + 0.5 AS volume FROM part"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, k = spark.sql(RECORDS_SQL.replace("FROM part", "FROM {part}"), part=spread(load(spark, sf_dir, "part"))), F.col("p_partkey")
+
+    def spelt(style: int) -> F.Column:
+        key = lambda name: [name, name.upper(), mapping.spellings(name)[-1]][style]
+        texts = {key("ttb_id"): "ttb_id", key("brand_name"): "brand_name", key("product_type"): "product_type", key("class_name"): "class_name", key("domestic_or_imported"): "kind", key("origin_name"): "origin"}
+        name = F.when(k % 7 == 0, F.to_json(F.struct(F.lit("").alias(key("product_name")), F.col("product_name").alias(key("fanciful_name"))))).otherwise(F.to_json(F.struct(F.col("product_name").alias(key("product_name")))))
+        numbers = F.struct(F.when(k % 6 != 0, F.col("abv").cast("double")).alias(key("abv")), F.when(k % 8 != 0, F.col("volume").cast("double")).alias(key("volume")), F.lit("milliliters").alias(key("volume_unit")))
+        inner = [F.to_json(F.struct(*[F.col(v).alias(n) for n, v in texts.items()])), name, F.to_json(numbers, {"ignoreNullFields": "false"})]
+        return F.concat(F.lit("{"), F.concat_ws(",", *[F.substring(j, 2, F.length(j) - 2) for j in inner]), F.lit("}"))
+
+    return r.select("p_partkey", F.when(k % 29 == 0, "{broken").when(k % 3 == 0, spelt(0)).when(k % 3 == 1, spelt(1)).otherwise(spelt(2)).alias("record"))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN b THEN '' ELSE ttb_id END AS ttb_id, CASE WHEN b THEN '' ELSE brand_name END AS brand_name, CASE WHEN b THEN '' ELSE product_name END AS fanciful_name,
+  CASE WHEN b THEN '' WHEN p_partkey % 3 = 0 THEN 'malt_beverage' WHEN p_partkey % 3 = 1 THEN 'wine' ELSE 'distilled_spirits' END AS product_type, CASE WHEN b THEN '' ELSE class_name END AS class_type,
+  CASE WHEN b OR p_partkey % 6 = 0 THEN '' ELSE CAST(abv AS STRING) || '% ALC/VOL' END AS alcohol_content, CASE WHEN b OR p_partkey % 8 = 0 THEN '' ELSE CAST(abv * 25 AS STRING) || '.5 mL' END AS net_contents,
+  NOT b AND CASE WHEN kind <> '' THEN kind = 'Imported' ELSE origin <> 'USA' END AS imported, CASE WHEN NOT b AND CASE WHEN kind <> '' THEN kind = 'Imported' ELSE origin <> 'USA' END THEN origin END AS country_of_origin FROM (SELECT *, p_partkey % 29 = 0 AS b FROM ({RECORDS_SQL}))""")
+def mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of another source, their keys spelt in several ways, as applications."""
+    parsed = mapping.parsed_records(_records(spark, sf_dir), "record")
+    return parsed.select("p_partkey", "ttb_id", *[f"application.{c}" for c in ("brand_name", "fanciful_name", "product_type", "class_type", "alcohol_content", "net_contents", "imported", "country_of_origin")])
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS STRING) AS k, '' AS other FROM events")
+def mapped_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the events' JSON under any spelling; empty where there is none."""
+    return mapping.mapped(load(spark, sf_dir, "events").select("event_id", "props"), "props", {"k": ["no_such_key", "K"], "other": ["other_key"]}).select("event_id", "k", "other")
+
+
+_REASONS = "CASE WHEN p_partkey % 13 = 0 THEN 'existing' WHEN p_name LIKE 'cold%' THEN 'incomplete' WHEN p_brand = 'Brand#5' THEN 'malt' WHEN p_size < 3 THEN 'no_image' WHEN p_size > 40 THEN 'panel_count' ELSE 'kept' END"
+_PACKED = f"SELECT * FROM (SELECT *, count(*) FILTER (reason = 'kept') OVER (ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT *, {_REASONS} AS reason FROM part)) WHERE coalesce(before, 0) < 75"
+
+
+def _pack(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    reasons = {"existing": F.col("p_partkey") % 13 == 0, "incomplete": F.col("p_name").startswith("cold"), "malt": F.col("p_brand") == "Brand#5", "no_image": F.col("p_size") < 3, "panel_count": F.col("p_size") > 40}
+    return prefixes.kept_until_enough(load(spark, sf_dir, "part"), ["p_size", "p_partkey"], 75, **reasons)
+
+
+@query(f"SELECT p_partkey, p_size FROM ({_PACKED}) WHERE reason = 'kept'")
+def pack_until_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 75 candidates of a pack by size that no reason is against."""
+    return _pack(spark, sf_dir)[0].select("p_partkey", "p_size")
+
+
+@query(f"SELECT reason, count(*) AS n FROM ({_PACKED}) GROUP BY reason")
+def pack_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was kept and passed over, and why, until the pack was full; later candidates are not counted."""
+    return _pack(spark, sf_dir)[1]
+
+
+@query("SELECT o_orderkey, CAST(strptime(d, '%m/%d/%Y') AS DATE) AS completed FROM (SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS d FROM orders WHERE o_orderkey % 9 <> 4 AND o_orderkey % 11 <> 5)")
+def usable_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry rows with a date that are not excluded; what is skipped is counted on the way."""
+    o, k = load(spark, sf_dir, "orders"), F.col("o_orderkey")
+    dated = o.withColumn("given", F.when(k % 9 == 4, "13/41/20x4").otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))).withColumn("completed", tx.registry_date(F.col("given")))
+    kept, _ = prefixes.counting_skipped(dated, f"skipped {spark.sparkContext.applicationId}", excluded=k % 11 == 5, invalid_date=F.col("completed").isNull())
+    return kept.select("o_orderkey", "completed")
+
+
+@query("""WITH f AS (SELECT p_name AS family, bool_or(p_size % 2 = 1) AND bool_or(p_size % 2 = 0) AS usable FROM part GROUP BY p_name), u AS (SELECT family FROM f WHERE usable OR (SELECT count(*) FILTER (usable) FROM f) < 6),
+  r AS (SELECT family, row_number() OVER (ORDER BY sha256('fonts|' || family), family) AS k, count(*) OVER () AS n FROM u)
+  SELECT p_partkey, CASE WHEN k <= greatest(1, floor(n * 0.70)) THEN 'train' WHEN k <= greatest(greatest(1, floor(n * 0.70)) + 1, floor(n * 0.85)) THEN 'validation' ELSE 'test' END AS split FROM part JOIN r ON p_name = family""")
+def family_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts split by whole families of names that have both odd and even sizes."""
+    return sampling.split_families(load(spark, sf_dir, "part"), "p_name", F.col("p_size") % 2 == 1, F.col("p_size") % 2 == 0, "fonts").select("p_partkey", "split")

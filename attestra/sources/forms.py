@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
+from ..functions.records import form_product
 from ..functions.text import strip, text
 
 # Elements without content, the labels of form fields, and the marks round attachments.
@@ -243,11 +244,6 @@ def status(c: Column) -> Column:
     return F.lower(spaced(F.when(named != "", named).otherwise(c)))
 
 
-def product_type(c: Column) -> Column:
-    low = F.lower(text(c))
-    return F.when(low.contains("malt"), "malt_beverage").when(low.contains("distilled") | low.contains("spirit"), "distilled_spirits").when(low.contains("wine"), "wine").otherwise("")
-
-
 def resolved(base: Column, link: Column) -> Column:
     """A link as an absolute address, ``base`` being the page's."""
     root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
@@ -318,7 +314,7 @@ def applications(forms: DataFrame) -> DataFrame:
     """A column ``application`` of the record that a form makes."""
     first = F.try_element_at(F.col("attachments"), F.lit(1))["filename"]
     return forms.withColumn("application", F.struct(
-        F.col("ttb_id").alias("fixture_id"), F.coalesce(F.nullif(first, F.lit("")), F.concat("ttb_id", F.lit(".jpg"))).alias("filename"), product_type(F.col("type_of_product")).alias("product_type"),
+        F.col("ttb_id").alias("fixture_id"), F.coalesce(F.nullif(first, F.lit("")), F.concat("ttb_id", F.lit(".jpg"))).alias("filename"), form_product(F.col("type_of_product")).alias("product_type"),
         "brand_name", "fanciful_name", F.col("class_type_description").alias("class_type"), "alcohol_content", "net_contents", F.lit(None).cast("string").alias("country_of_origin"),
         (F.lower("source_of_product") == "imported").alias("imported"), "formula_id", F.col("special_wording").alias("statement_of_composition"),
     ))
