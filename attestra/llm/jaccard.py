@@ -31,7 +31,7 @@ columns are passed by.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,6 +208,12 @@ def _other_pairs(buckets: DataFrame, grams: DataFrame, percent: int, bucket: int
     return _paired(left.alias("l").join(left.alias("r").hint("merge"), dealt & (F.col("l.c") < F.col("r.c")) & (F.col("l.label") != F.col("r.label")) & _filters(percent)))
 
 
+def _unseen(pairs: DataFrame, seen: DataFrame | None) -> DataFrame:
+    if seen is None:
+        return pairs
+    return pairs.join(seen.select(F.col("a").alias("_a"), F.col("b").alias("_b")).hint("merge"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+
+
 def _suffixes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs that the suffix filter leaves."""
     sides = [classes.select(F.col("c").alias(s), F.col("n").alias(f"n_{s}"), F.col("prefix").alias(f"prefix_{s}"), F.col("ranges").alias(f"ranges_{s}")) for s in "ab"]
@@ -246,8 +252,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "one", "two", "left", "right").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, few: int = FEW, bucket: int = BUCKET) -> DataFrame:
-    """``id_col``, ``n_shingles``, ``component_id`` of every row: the least id that links of at least ``percent`` reach."""
+def joined(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, few: int = FEW, bucket: int = BUCKET, likely: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """``id_col``, ``n_shingles``, ``component_id`` of every row: the least id that links of at least ``percent`` reach.
+
+    ``likely`` may name pairs (a, b) to be verified before all others, from a table
+    of classes (c) and their texts (_text): what links there needs no other pair.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     full, full_path = stored(_marks(texts, k, percent), "jaccard-marks")
@@ -265,17 +277,18 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     wanted, wanted_path = stored(wanted.select("c", "_text").dropDuplicates(["c"]), "jaccard-texts")
 
     names, names_path = stored(buckets.select("c", "label").distinct(), "jaccard-names")
-    seen, seen_paths, centres, last = None, [], 1, False
+    seen, seen_paths, centres, last = None, [], 0 if likely else 1, False
     while not last:
         grams, grams_path = stored(_mixed(buckets), "jaccard-grams")
         members_left, pairs_left, largest = grams.agg(F.sum("k"), F.sum("pairs"), F.max("k")).first()
-        #: With as many centres as members a star is all pairs.
-        last = not members_left or pairs_left <= few * members_left or centres >= largest
+        #: One centre comes first in any case; with as many centres as members a star is all pairs.
+        last = not members_left and centres > 0 or centres > 1 and (pairs_left <= few * members_left or centres >= largest)
         mixed = buckets.join(grams.select("_gram").hint("merge"), F.col("gram") == F.col("_gram")).drop("_gram")
-        pairs = _other_pairs(mixed, grams, percent, bucket) if last else _star_pairs(mixed, centres, percent)
-        if seen is not None:
-            pairs = pairs.join(seen.select(F.col("a").alias("_a"), F.col("b").alias("_b")).hint("merge"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
-        pairs, pairs_path = stored(_suffixes(pairs, classes, percent), "jaccard-pairs")
+        if centres:
+            pairs = _suffixes(_unseen(_other_pairs(mixed, grams, percent, bucket) if last else _star_pairs(mixed, centres, percent), seen), classes, percent)
+        else:
+            pairs = likely(wanted).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct().withColumns({"one": F.col("a"), "two": F.col("b")})
+        pairs, pairs_path = stored(pairs, "jaccard-pairs")
         seen_paths.append(pairs_path)
         seen = pairs if seen is None else seen.unionByName(pairs)
         links, links_path = stored(_verified(pairs, wanted, k, percent), "jaccard-links")
@@ -292,7 +305,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             drop(spark, path)
             path = new_path
         drop(spark, names_path, grams_path, links_path, *root_paths)
-        names_path, centres = new_names, centres * 4
+        names_path, centres = new_names, centres * 4 or 1
     drop(spark, path, wanted_path, *seen_paths)
 
     labels = names.select(F.col("c").alias("_c"), "label")

@@ -12,8 +12,8 @@ primers of each language, which tell the coder the language's letters, too.
 The sample: texts in the order of a hash of text and id, up to ``DOCS`` of them
 and ``SAMPLE`` characters of a language together, whole but for those longer than
 ``LONGEST`` characters, of which the middle part teaches (many excerpts teach more
-than few whole texts, as labels have errors; ``longest=None``: whole, too); ``LANGUAGES`` labels at most, those with most texts. These bounds hold for
-training only; every text is classified whole. :func:`crossed` learns for each
+than few whole texts, as labels have errors; ``longest=None``: whole, too). Every label is learned (``languages=n``: the n with most texts only); its sample
+and compressors take some MB each. These bounds hold for training only; every text is classified whole. :func:`crossed` learns for each
 half of the texts from the other half, so that none meets itself.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and
@@ -26,17 +26,17 @@ or text teach nothing; extra columns are passed by.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_fold, slices, thinned
 
-DOCS, SAMPLE, LONGEST, LANGUAGES, PIECE = 400, 240_000, 600, 200, 4096
+DOCS, SAMPLE, LONGEST, PIECE = 400, 240_000, 600, 4096
 LEVEL, SHORT = 3, 256
 FINE_LEVEL, PRIMER, PRIMERS = 12, 1500, 6
 #: The score of a relative margin m is m / (m + HALF).
@@ -46,10 +46,10 @@ REJECT = 0.2
 #: Margins below this are measured again with primers.
 FINER = 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
-def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS, sample: int = SAMPLE, longest: int | None = LONGEST, languages: int = LANGUAGES) -> dict[str, bytes]:
+def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = DOCS, sample: int = SAMPLE, longest: int | None = LONGEST, languages: int | None = None) -> dict[str, bytes]:
     """Training text of each language; about ``sample`` characters of it, which the last text taken may exceed."""
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     part = F.col(text_col)
@@ -57,7 +57,8 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         middle = F.floor((F.length(part) - longest) / 2).cast("int")
         part = F.when(F.length(part) > longest, F.substring(part, F.greatest(F.lit(1), middle), F.lit(longest))).otherwise(part)
     known = known.select(F.col(lang_col).alias("lang"), part.alias("part"), F.xxhash64(text_col, id_col).alias("order"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    counts = counts if languages is None else counts.limit(languages)
     known = thinned(known, "lang", "order", {r["lang"]: r["n"] for r in counts.collect()}, docs_each)
     order = Window.partitionBy("lang").orderBy("order", "part")
     ranked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_each)

@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import collections
 import os
+import random
 
 import corpus_pipeline
 
-from attestra.llm import language, packing
+from attestra.llm import language, near, packing
 from attestra.llm.common import drop
 
 from .helpers import documents, prose
@@ -64,6 +65,51 @@ def test_near_dedup_reaches_likeness(spark):
     assert kept == {10 * i for i in range(12)} | {10 * i + 2 for i in range(12)} | {500, 900}
 
 
+def groups_of(rows, k=5, percent=80):
+    """The ids that stay by all pairs: the least of each group of texts with words, and every text without."""
+    sets = {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    ids, up = sorted(sets), {}
+
+    def root(i):
+        while up.get(i, i) != i:
+            i = up[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {i for i in ids if root(i) == i}
+
+
+def test_near_dedup_keeps_whole_groups(spark):
+    """Chains whose ends are not alike: only the first of each stays, whatever the hashes; and no clean document goes."""
+
+    def changed(text, seed, n):
+        words, r = text.split(), random.Random(seed)
+        for at in r.sample(range(len(words)), n):
+            words[at] = f"new{r.randrange(10**6)}"
+        return " ".join(words)
+
+    rows = []
+    for g in range(25):
+        a = prose(300 + g, 300)
+        b = changed(a, g, 5)
+        c = changed(b, 1000 + g, 5)
+        rows += [(100 * g + 7, a), (100 * g + 3, b), (100 * g + 9, c), (100 * g + 11, changed(c, 2000 + g, 5))]
+    text = prose(77, 200)
+    rows += [(5000 + i, changed(text, 3000 + i, 1 + i % 5)) for i in range(50)] + [(9000 + i, prose(4000 + i, 80)) for i in range(20)] + [(9900, "two words"), (9901, "Two  words"), (9902, "two wordz")]
+    want = groups_of(rows)
+    sizes = len(rows) - len(want)
+    assert 60 < sizes and {9902, 9900} <= want and 9901 not in want
+    clash = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows] + [(None, text, "x", 1, 2), (9000, prose(4000, 80), "y", 3, 4), (9950, "", None, 1, 2), (9951, None, None, 1, 2)], "doc_id long, text string, label string, c int, key int").repartition(5)
+    kept = near.one_of_each(clash).collect()
+    assert collections.Counter(r.doc_id for r in kept) == collections.Counter([*want, None, 9950, 9951]) and set(kept[0].asDict()) == {"doc_id", "text", "label", "c", "key"}
+
+
 def test_run_and_empty_table(spark, tmp_path):
     df = documents(spark, corpus(), ["en"] * len(corpus())).select(*corpus_pipeline.COLUMNS)
     df.write.parquet(str(tmp_path / "documents.parquet"))
