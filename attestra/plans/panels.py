@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from ..functions import records as rc
 from ..functions import text as tx
-from ..operators import candidates, graphs, headings, mapping, prefixes, sampling
+from ..operators import candidates, examples, graphs, headings, mapping, prefixes, sampling
 from ..sources import forms
 from .base import load, spread
 
@@ -262,3 +262,28 @@ def usable_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def family_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts split by whole families of names that have both odd and even sizes."""
     return sampling.split_families(load(spark, sf_dir, "part"), "p_name", F.col("p_size") % 2 == 1, F.col("p_size") % 2 == 0, "fonts").select("p_partkey", "split")
+
+
+# ---- examples
+
+_ENGINE_TEXTS = """SELECT c_custkey, 'doctr' AS engine, 'Customer ' || CAST(c_custkey AS STRING) || ' nation ' || CAST(c_nationkey AS STRING) AS body FROM customer
+  UNION ALL SELECT c_custkey, 'openocr', CASE WHEN c_custkey % 5 = 0 THEN 'nothing' ELSE 'NATION: ' || CAST(c_nationkey AS STRING) END FROM customer UNION ALL SELECT c_custkey, 'openocr', 'nation' FROM customer WHERE c_custkey % 5 = 1
+  UNION ALL SELECT c_custkey, 'paddleocr', CASE WHEN c_custkey % 3 = 0 THEN 'nation' ELSE CAST(c_nationkey AS STRING) || ' nation' END FROM customer WHERE c_custkey % 7 <> 0"""
+_EXAMPLES = """WITH t AS (SELECT c_mktsegment, c_custkey, 'nation ' || CAST(c_nationkey AS STRING) AS expected FROM customer),
+  o AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('pairs|' || CAST(c_custkey AS STRING)), c_custkey) - 1 AS pos, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM t),
+  p AS (SELECT a.c_mktsegment, a.c_custkey, a.expected, b.expected AS candidate, b.c_custkey AS source, (b.pos - a.pos + a.n) % a.n AS step FROM o a JOIN o b ON b.c_mktsegment = a.c_mktsegment AND a.expected <> b.expected AND a.c_custkey <> b.c_custkey),
+  e AS (SELECT c_mktsegment, c_custkey, expected, candidate, source, 0 AS label, CAST(row_number() OVER (PARTITION BY c_mktsegment, c_custkey ORDER BY step) AS INT) AS nth FROM p QUALIFY nth <= 2 UNION ALL SELECT c_mktsegment, c_custkey, expected, expected, c_custkey, 1, 0 FROM t)"""
+
+
+@query(f"""{_EXAMPLES}, x AS ({_ENGINE_TEXTS}), s AS (SELECT e.*, engine, max(100.0 * len(list_intersect({_SET.format("candidate")}, {_SET.format("body")})) / len({_SET.format("candidate")})) AS score FROM e JOIN x ON e.c_custkey = x.c_custkey WHERE e.c_custkey % 7 <> 0 GROUP BY ALL),
+  m AS (SELECT c_custkey, candidate, source, label, nth, max(score) AS best, count(*) FILTER (score >= 90) AS support, string_agg(engine, ';' ORDER BY engine) FILTER (score >= 90) AS engines FROM s GROUP BY ALL),
+  d AS (SELECT *, unnest(['any', 'majority', 'unanimous']) AS strategy_name, unnest([best >= 90, support >= 2, support = 3]) AS yes FROM m)
+  SELECT c_custkey, candidate, source, label, nth, strategy_name, CAST(yes AS INT) AS predicted, CASE WHEN yes AND label = 1 THEN 'true_positive' WHEN yes THEN 'false_positive' WHEN label = 1 THEN 'false_negative' ELSE 'true_negative' END AS outcome, round(best, 2) AS max_score, CAST(support AS INT) AS support_count, coalesce(engines, '') AS supporting_engines FROM d""")
+def ensemble_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' nations as examples with two negatives each, scored by three engines' texts and decided by three strategies."""
+    c = load(spark, sf_dir, "customer")
+    texts = spark.sql(_ENGINE_TEXTS.replace("FROM customer", "FROM {customer}"), customer=c)
+    targets = c.select("c_mktsegment", "c_custkey", F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("nation"))
+    scored = examples.engine_scores(examples.labelled(targets, ["c_mktsegment"], "c_custkey", "nation", "pairs", 2), texts, "engine", "c_custkey", "body")
+    rows = examples.decided(scored, F.lit("class_type"), 90, 95).where(F.col("strategy_name").isin("any", "majority", "unanimous"))
+    return rows.select("c_custkey", "candidate", "source", "label", "nth", "strategy_name", "predicted", "outcome", "max_score", "support_count", "supporting_engines")
