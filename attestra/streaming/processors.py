@@ -3,7 +3,8 @@
 Commands (enqueue with items, claim, cancel, recover) arrive on a stream. A running
 job takes one item at each turn of its timer, so that a cancel that arrives
 meanwhile is seen before the next item. State is a value, open items are a map by place, so a
-turn reads and writes one of them; both outlive a restart with the stream's checkpoint. RocksDB must be the state store.
+turn reads and writes one of them; both outlive a restart with the stream's checkpoint,
+after which timers run again with the first new command. RocksDB must be the state store.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ class JobProcessor(StatefulProcessor):
 
     A row is put out for every item taken and for every change of state. Commands of
     a batch are taken in the order of ``seq``; one that does not fit the state is passed over. An
-    item whose turn has come is done at once; with no item left the job finishes.
+    item whose turn has come is done at once, the next one in another batch, ``wait_ms`` later at least; with no item left the job finishes.
     """
 
-    def __init__(self, wait_ms: int = 0):
-        self.wait_ms = wait_ms
+    def __init__(self, wait_ms: int = 1):
+        # A timer set again for the very time at which it fires is lost.
+        self.wait_ms = max(1, wait_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -97,6 +99,6 @@ class JobProcessor(StatefulProcessor):
         pass
 
 
-def processed(commands: DataFrame, wait_ms: int = 0) -> DataFrame:
+def processed(commands: DataFrame, wait_ms: int = 1) -> DataFrame:
     """A stream of commands (job_id, seq, event, items) to a stream of ``OUT`` rows."""
     return commands.groupBy("job_id").transformWithStateInPandas(JobProcessor(wait_ms), outputStructType=OUT, outputMode="Update", timeMode="ProcessingTime")
