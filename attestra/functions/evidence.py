@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITE, collapsed, label_text, strip, text
+from .text import WHITE_CLASS, collapsed, label_text, strip, text
 
 # Patterns, units and lists that decide verdicts.
 ABV = r"(?i)\b\d+(?:\.\d+)?\s*%?\s*(?:A\.?B\.?V\.?|ABV)\b"
@@ -33,7 +33,7 @@ HEALTH_TERMS = ["detox", "healthy", "safer", "less toxic", "protective"]
 
 
 #: The heading in any case, dotted and dotless i among them, with white space of Unicode.
-_HEADING = f"government[{WHITE}]+warn[i\u0130\u0131]ng[{WHITE}]*:"
+_HEADING = f"government[{WHITE_CLASS}]+warn[i\u0130\u0131]ng[{WHITE_CLASS}]*:"
 
 
 def abv_shorthand(c: Column) -> Column:
@@ -90,7 +90,7 @@ def health_terms(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(label_text(c), " "), lambda x: x != ""))
+    return F.array_distinct(F.array_remove(F.split(label_text(c), " "), ""))
 
 
 def token_score(expected: Column, observed: Column) -> Column:
@@ -111,9 +111,8 @@ def country_score(expected: Column, c: Column, score=token_score) -> Column:
     return best
 
 
-def conflicting_country(expected: Column, plain: Column) -> Column:
-    """The first listed country, not the expected one, that a text names (in its :func:`label_text` form); null where there is none."""
-    have, own = F.concat(F.lit(" "), plain, F.lit(" ")), label_text(expected)
+def conflicting_country(own: Column, have: Column) -> Column:
+    """The first listed country, not the expected one, that a text names; null where there is none. Both in their :func:`label_text` form, the text with a blank at each end."""
     out = F.lit(None).cast("string")
     for name in reversed(COUNTRIES):
         others = [n.lower() for n in ALIASES.get(name, [])]

@@ -27,6 +27,8 @@ TRUE_WORDS, FALSE_WORDS = ["1", "true", "yes", "y"], ["", "0", "false", "no", "n
 FORM_TRUE_WORDS = ["1", "true", "yes", "on"]
 #: White space of Unicode, as text is stripped and split by it elsewhere.
 WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: The same as the inside of a pattern's class, by ranges, which are much faster than single signs.
+WHITE_CLASS = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def _folds() -> tuple[str, str, str]:
@@ -88,7 +90,7 @@ def decomposed(c: Column) -> Column:
 
 def collapsed(c: Column) -> Column:
     """White space collapsed to single spaces; case and punctuation stay."""
-    return F.trim(F.regexp_replace(text(c), f"[{WHITE}]+", " "))
+    return F.trim(F.regexp_replace(text(c), f"[{WHITE_CLASS}]+", " "))
 
 
 def falsy_collapsed(c: Column) -> Column:

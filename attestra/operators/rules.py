@@ -110,14 +110,24 @@ def with_facts(items: DataFrame, score: Callable[[Column, Column], Column] | Non
     The text's plain form and words come first, as all token scores share them.
     """
     body, country = text(F.col("full_text")), strip(F.col("country_of_origin"))
-    plain = items.withColumn("_plain", label_text(body)).withColumn("_have", F.array_distinct(F.split("_plain", " ")))
-    scorer = score or (lambda expected, _: ev.word_score(ev.tokens(expected), F.col("_have")))
+    fields = ["brand_name", *[f for f, _ in FUZZY_FIELDS.values()]]
+    words = {} if score else {f"_words_{f}": ev.tokens(strip(F.col(f))) for f in fields} | {"_words_country": ev.tokens(country)}
+    plain = items.withColumns({"_plain": label_text(body), "_own": label_text(country)} | words)
+    plain = plain.withColumns({"_have": F.array_distinct(F.split("_plain", " ")), "_padded": F.concat(F.lit(" "), "_plain", F.lit(" "))})
+
+    def scored(f: str) -> Column:
+        return score(F.col(f) if f == "brand_name" else strip(F.col(f)), body) if score else ev.word_score(F.col(f"_words_{f}"), F.col("_have"))
+
+    def of_country(expected: Column, _: Column) -> Column:
+        if score:
+            return score(expected, body)
+        return ev.word_score(F.col("_words_country") if expected is country else ev.tokens(expected), F.col("_have"))
     first = plain.withColumns({
         "_heading": ev.warning_heading(body), "_block": ev.warning_block(body), "_shorthand": ev.abv_shorthand(body), "_sixteen": ev.bad_sixteen_ounces(body),
         "_want_alcohol": ev.alcohol_values(strip(F.col("alcohol_content"))), "_seen_alcohol": ev.alcohol_values(body),
         "_want_contents": ev.contents_values(strip(F.col("net_contents"))), "_seen_contents": ev.contents_values(body),
-        "_brand": scorer(F.col("brand_name"), body), **{f"_score_{f}": scorer(strip(F.col(f)), body) for f, _ in FUZZY_FIELDS.values()},
-        "_country": ev.country_score(country, body, scorer), "_other": ev.conflicting_country(country, F.col("_plain")),
+        "_brand": scored("brand_name"), **{f"_score_{f}": scored(f) for f, _ in FUZZY_FIELDS.values()},
+        "_country": ev.country_score(country, body, of_country), "_other": ev.conflicting_country(F.col("_own"), F.col("_padded")),
     })
     return first.withColumns({"_met_alcohol": ev.alcohol_match(F.col("_want_alcohol"), F.col("_seen_alcohol")), "_met_contents": ev.contents_match(F.col("_want_contents"), F.col("_seen_contents"))})
 

@@ -189,6 +189,14 @@ def test_best_by_words_of_nothing(spark):
     assert evaluation.best_by_words(none.withColumnRenamed("id", "doc"), none, "doc", "words", "id", "words").count() == 0
 
 
+def test_white_space_by_ranges_is_all_of_it(spark):
+    from attestra.functions import text as tx
+
+    df = spark.createDataFrame([(c, f"a{chr(c)}b") for c in [*range(1, 0x3100), 0xFEFF]], "c int, s string")
+    got = {r.c for r in df.select("c", tx.collapsed(df.s).alias("t")).where("t = 'a b'").collect()}
+    assert got == {ord(c) for c in tx.WHITE}
+
+
 def test_folding_takes_private_signs_for_nothing(spark):
     from attestra.functions import text as tx
 
