@@ -49,6 +49,11 @@ def imported(kind: Column, origin: Column) -> Column:
     return F.when(said != "", said == "imported").otherwise((named != "") & ~named.isin(DOMESTIC_ORIGINS))
 
 
+def imported_text(given: Column, bucket: Column) -> Column:
+    """``true`` or ``false``: what the application says, else whether its origin's bucket is imported."""
+    return F.when(F.coalesce(given, text(bucket) == "imported"), "true").otherwise("false")
+
+
 def expected_producer(c: Column) -> Column:
     """The name marked as used on the label, else the first line that is not blank."""
     return F.coalesce(F.nullif(used_on_label(c), F.lit("")), first_line(c))

@@ -23,6 +23,12 @@ UNIT_SPELLINGS = {
     "Pints": ["pints"],
     "gal": ["gallon", "gallons"],
 }
+#: Origins that are not imports: states, the capital's district and one territory.
+US_ORIGINS = [
+    "ALABAMA", "ALASKA", "ARIZONA", "ARKANSAS", "CALIFORNIA", "COLORADO", "CONNECTICUT", "DELAWARE", "DISTRICT OF COLUMBIA", "FLORIDA", "GEORGIA", "HAWAII", "IDAHO", "ILLINOIS", "INDIANA", "IOWA", "KANSAS", "KENTUCKY",
+    "LOUISIANA", "MAINE", "MARYLAND", "MASSACHUSETTS", "MICHIGAN", "MINNESOTA", "MISSISSIPPI", "MISSOURI", "MONTANA", "NEBRASKA", "NEVADA", "NEW HAMPSHIRE", "NEW JERSEY", "NEW MEXICO", "NEW YORK", "NORTH CAROLINA",
+    "NORTH DAKOTA", "OHIO", "OKLAHOMA", "OREGON", "PENNSYLVANIA", "PUERTO RICO", "RHODE ISLAND", "SOUTH CAROLINA", "SOUTH DAKOTA", "TENNESSEE", "TEXAS", "UTAH", "VERMONT", "VIRGINIA", "WASHINGTON", "WEST VIRGINIA", "WISCONSIN", "WYOMING",
+]
 TRUE_WORDS, FALSE_WORDS = ["1", "true", "yes", "y"], ["", "0", "false", "no", "n"]
 FORM_TRUE_WORDS = ["1", "true", "yes", "on"]
 #: White space of Unicode, as text is stripped and split by it elsewhere.
@@ -156,6 +162,11 @@ def origin_bucket(origin: Column, domestic: list[str], permit: Column | None = N
     return out if permit is None else F.when(text(permit).contains("-I-"), "imported").otherwise(out)
 
 
+def source_bucket(permit: Column, origin: Column) -> Column:
+    """Imported by an importer's permit, whatever its case, or an origin that is named and not among :data:`US_ORIGINS`."""
+    return origin_bucket(origin, US_ORIGINS, F.upper(text(permit)))
+
+
 def image_bucket(n: Column) -> Column:
     return F.when(n <= 0, "none").when(n == 1, "single").otherwise("multi")
 

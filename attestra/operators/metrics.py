@@ -140,6 +140,13 @@ def soft_vote(df: DataFrame, key: list[str], label: str, probability: str) -> Da
     return means.groupBy(*key).agg(F.min_by(F.col(label), F.struct(-F.col("p"), F.col(label))).alias("predicted"))
 
 
+def positive_reject(df: DataFrame, key: list[str], label: str, probability: str, positive: str, review: str, threshold: float) -> DataFrame:
+    """The most probable class of each key, the first by name among equals; a positive one that is less probable than ``threshold`` goes to review."""
+    best = df.groupBy(*key).agg(F.min_by(F.struct(F.col(label).alias("c"), F.col(probability).alias("p")), F.struct(-F.col(probability), F.col(label))).alias("_b"))
+    weak = (F.col("_b.c") == positive) & (F.col("_b.p") < threshold)
+    return best.select(*key, F.when(weak, review).otherwise(F.col("_b.c")).alias("predicted"))
+
+
 def strict_veto(df: DataFrame, key: list[str], predicted: str, review: str) -> DataFrame:
     """What all models say, else review."""
     return df.groupBy(*key).agg(F.when(F.count_distinct(predicted) == 1, F.min(predicted)).otherwise(review).alias("predicted"))

@@ -44,6 +44,27 @@ def allocated(strata: DataFrame, key: str, size: str, target: int, floor: int =
     return base.select(*strata.columns, (F.col("_base") + F.col("_extra") + F.when(F.col("_open") & (nth <= F.col("_left")), 1).otherwise(0)).cast("bigint").alias("quota"))
 
 
+def allocated_exactly(strata: DataFrame, key: str, size: str, target: int) -> DataFrame:
+    """``quota`` of each stratum in proportion to its size, ``target`` in all: floors first, then one each by remainder and key, both descending, to strata with room.
+
+    A target below none or above all rows is an error. Strata named null are ``unknown``.
+    """
+    named = strata.select(F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias(key), F.col(size).cast("bigint").alias(size)).groupBy(key).agg(F.sum(size).alias(size))
+    total = named.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    if not 0 <= target <= total:
+        raise ValueError(f"the target must be between 0 and {total}")
+    exact = F.lit(target) * (F.col(size) / F.lit(max(total, 1)))
+    base = named.withColumn("_exact", exact).withColumn("_base", F.least(F.col(size), F.floor("_exact").cast("bigint")))
+    base = base.withColumns({"_open": (F.col("_base") < F.col(size)).cast("int"), "_left": F.lit(target) - F.sum("_base").over(_all())})
+    first = F.row_number().over(_all().orderBy(F.desc("_open"), F.desc(F.col("_exact") - F.col("_base")), F.desc(key)))
+    base = base.withColumn("_one", F.when((F.col("_open") == 1) & (first <= F.col("_left")), 1).otherwise(0))
+    #: What rounding leaves over goes one each in the order of keys to strata that still have room.
+    base = base.withColumns({"_more": F.col("_left") - F.sum("_one").over(_all()), "_room": (F.col("_base") + F.col("_one") < F.col(size)).cast("int")})
+    second = F.row_number().over(_all().orderBy(F.desc("_room"), key))
+    extra = F.when((F.col("_room") == 1) & (second <= F.col("_more")), 1).otherwise(0)
+    return base.select(key, size, (F.col("_base") + F.col("_one") + extra).alias("quota"))
+
+
 def by_quota(df: DataFrame, quotas: DataFrame, key: str, seed: str, ids: list[str]) -> DataFrame:
     """As many rows of each stratum as its quota, in the order of their hash."""
     mark = order_hash(seed, *[F.col(i) for i in ids])

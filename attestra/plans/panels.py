@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from ..functions import records as rc
 from ..functions import text as tx
-from ..operators import candidates, examples, graphs, headings, mapping, prefixes, sampling
+from ..operators import candidates, examples, graphs, headings, mapping, metrics, prefixes, sampling
 from ..sources import forms
 from .base import load, spread
 
@@ -287,3 +287,33 @@ def ensemble_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = examples.engine_scores(examples.labelled(targets, ["c_mktsegment"], "c_custkey", "nation", "pairs", 2), texts, "engine", "c_custkey", "body")
     rows = examples.decided(scored, F.lit("class_type"), 90, 95).where(F.col("strategy_name").isin("any", "majority", "unanimous"))
     return rows.select("c_custkey", "candidate", "source", "label", "nth", "strategy_name", "predicted", "outcome", "max_score", "support_count", "supporting_engines")
+
+
+# ---- buckets, exact shares, rejected clears
+
+_ORIGINS = "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Kentucky' WHEN 1 THEN ' new york ' WHEN 2 THEN 'France' WHEN 3 THEN '' WHEN 4 THEN 'PUERTO RICO' END AS origin, CASE s_suppkey % 5 WHEN 0 THEN 'KY-i-123' WHEN 1 THEN 'DSP-KY-1' ELSE '' END AS permit, CASE s_suppkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS said FROM supplier"
+
+
+@query(f"""WITH b AS (SELECT *, CASE WHEN upper(permit) LIKE '%-I-%' OR upper(trim(coalesce(origin, ''))) = 'FRANCE' THEN 'imported' ELSE 'domestic' END AS bucket FROM ({_ORIGINS}))
+  SELECT s_suppkey, bucket, CASE WHEN coalesce(said, bucket = 'imported') THEN 'true' ELSE 'false' END AS imported FROM b""")
+def source_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as imported or domestic by permit and origin, and what an application then says."""
+    rows = spark.sql(_ORIGINS.replace("FROM supplier", "FROM {supplier}"), supplier=load(spark, sf_dir, "supplier"))
+    bucket = rows.withColumn("bucket", tx.source_bucket(F.col("permit"), F.col("origin")))
+    return bucket.select("s_suppkey", "bucket", rc.imported_text(F.col("said"), F.col("bucket")).alias("imported"))
+
+
+@query("""WITH s AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1), t AS (SELECT *, floor(0.37 * sum(n) OVER ()) AS target, sum(n) OVER () AS total FROM s), b AS (SELECT *, target * (n / total) AS exact, least(n, CAST(floor(target * (n / total)) AS BIGINT)) AS base FROM t),
+  r AS (SELECT *, row_number() OVER (ORDER BY base < n DESC, exact - base DESC, p_type DESC) AS k, target - sum(base) OVER () AS rest FROM b) SELECT p_type, n, CAST(base + CASE WHEN base < n AND k <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r""")
+def exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """37 of 100 parts, shared out over types exactly."""
+    p = load(spark, sf_dir, "part")
+    return sampling.allocated_exactly(p.groupBy("p_type").agg(F.count("*").alias("n")), "p_type", "n", int(0.37 * p.count()))
+
+
+@query("""WITH m AS (SELECT vec_id // 5 AS app, 'c' || (vec_id % 3) AS cls, max(embedding[1]) AS pr FROM embeddings GROUP BY ALL), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY app ORDER BY pr DESC, cls) = 1)
+  SELECT app, CASE WHEN cls = 'c1' AND pr < 0.15 THEN 'review' ELSE cls END AS predicted FROM b""")
+def rejected_clears(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most probable of three classes of each application; a weak clear is reviewed."""
+    e = load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("app"), F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string")).alias("cls"), F.col("embedding")[0].cast("double").alias("pr"))
+    return metrics.positive_reject(e.groupBy("app", "cls").agg(F.max("pr").alias("pr")), ["app"], "cls", "pr", "c1", "review", 0.15)

@@ -84,6 +84,17 @@ def test_families_stay_whole(spark, n):
     assert ("lone" in {f for f, _ in got}) == (n < 6) and len(got) >= 3 * n
 
 
+@pytest.mark.parametrize("sizes,target", [({"a": 3, "b": 3, "c": 3}, 4), ({"a": 1, "b": 10}, 11), ({"a": 2, None: 5, "unknown": 1}, 5), ({"a": 7}, 0)])
+def test_exact_shares(spark, sizes, target):
+    got = {r.k: r.quota for r in sampling.allocated_exactly(spark.createDataFrame(list(sizes.items()), "k string, n long"), "k", "n", target).collect()}
+    want: dict = {}
+    for k, n in sizes.items():
+        want[k or "unknown"] = want.get(k or "unknown", 0) + n
+    assert sum(got.values()) == target and all(0 <= got[k] <= n for k, n in want.items()) and all(got[k] >= int(target * n / sum(want.values())) for k, n in want.items())
+    with pytest.raises(ValueError):
+        sampling.allocated_exactly(spark.createDataFrame([("a", 1)], "k string, n long"), "k", "n", 2)
+
+
 # ---- mapping
 
 
