@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from ..functions import records as rc
 from ..functions import text as tx
-from ..operators import candidates, examples, graphs, headings, mapping, metrics, prefixes, sampling
+from ..operators import candidates, chain, examples, graphs, headings, mapping, metrics, prefixes, sampling
 from ..sources import forms
 from .base import load, spread
 
@@ -317,3 +317,59 @@ def rejected_clears(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most probable of three classes of each application; a weak clear is reviewed."""
     e = load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("app"), F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string")).alias("cls"), F.col("embedding")[0].cast("double").alias("pr"))
     return metrics.positive_reject(e.groupBy("app", "cls").agg(F.max("pr").alias("pr")), ["app"], "cls", "pr", "c1", "review", 0.15)
+
+
+# ---- the chain from records and panels to verdicts
+
+#: An application of each part, its registry row (not of all), its panels (not all downloaded or read).
+_CHAIN = {
+    "parsed": "SELECT CAST(p_partkey AS STRING) AS ttb_id, p_brand AS brand, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS fanciful, p_partkey % 3 = 0 AS imported, CASE WHEN p_partkey % 5 = 0 THEN 'Imported' ELSE 'Domestic' END AS source, CASE WHEN p_partkey % 2 = 0 THEN 'approved' ELSE 'expired' END AS status FROM part",
+    "registry": "SELECT chr(39) || CAST(p_partkey AS STRING) || chr(39) AS ttb_id, CASE p_partkey % 3 WHEN 0 THEN 'FRANCE' ELSE 'ITALY' END AS origin_desc FROM part WHERE p_partkey % 7 <> 0",
+    "attachments": "SELECT CAST(p_partkey AS STRING) AS ttb_id, n AS panel_order, 'label' || CAST(n AS STRING) || '.png' AS filename, CASE n WHEN 1 THEN 'Front' ELSE 'Back' END AS image_type, CASE WHEN (p_partkey + n) % 8 = 0 THEN '' ELSE 'raw.png' END AS raw_image_path, CAST(CASE WHEN p_partkey % 11 = 0 THEN 404 ELSE 200 END AS INT) AS http_status FROM part CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) k WHERE n <= 1 + p_partkey % 3",
+    "ocr": "SELECT CAST(p_partkey AS STRING) AS ttb_id, n AS panel_order, CASE n WHEN 1 THEN p_name || ' by nobody' WHEN 2 THEN 'BRAND ' || p_brand || ' product of france' ELSE p_brand || ' ' || p_name END AS full_text, CAST(100 * n + p_partkey % 50 AS BIGINT) AS total_ms, (p_partkey + n) % 2 = 0 AS cache_hit FROM part CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) k WHERE (p_partkey + n) % 9 <> 0",
+}
+_CHAIN_SQL = f"""WITH parsed AS ({_CHAIN["parsed"]}), registry AS (SELECT replace(ttb_id, chr(39), '') AS ttb_id, origin_desc FROM ({_CHAIN["registry"]})),
+  panels AS (SELECT a.*, o.full_text, o.total_ms, o.cache_hit FROM ({_CHAIN["attachments"]}) a LEFT JOIN ({_CHAIN["ocr"]}) o USING (ttb_id, panel_order) WHERE http_status = 200 AND raw_image_path <> ''),
+  counts AS (SELECT ttb_id, count(*) AS image_count, count(full_text) AS ocr_image_count, count(*) FILTER (cache_hit) AS cache_hit_count, CAST(sum(total_ms) AS BIGINT) AS total_ocr_ms FROM panels GROUP BY 1 HAVING count(full_text) > 0),
+  wanted AS (SELECT p.*, CASE WHEN imported OR source = 'Imported' THEN coalesce(origin_desc, '') ELSE '' END AS origin FROM parsed p LEFT JOIN registry USING (ttb_id) JOIN counts USING (ttb_id)),
+  long AS (SELECT ttb_id, unnest(['brand_name', 'fanciful_name', 'class_type', 'alcohol_content', 'net_contents', 'country_of_origin', 'applicant_or_producer']) AS field_name, unnest([brand, fanciful, '', '', '', origin, '']) AS expected FROM wanted),
+  tried AS (SELECT *, unnest(vs) AS candidate, generate_subscripts(vs, 1) AS variant FROM (SELECT *, CASE WHEN field_name = 'country_of_origin' THEN [expected, 'Product of ' || expected, 'Made in ' || expected] ELSE [expected] END AS vs FROM long WHERE expected <> '')),
+  met AS (SELECT t.*, p.panel_order, p.image_type, p.filename, 100.0 * len(list_intersect({_SET.format("candidate")}, {_SET.format("full_text")})) / len({_SET.format("candidate")}) AS score FROM tried t JOIN panels p ON t.ttb_id = p.ttb_id AND p.full_text IS NOT NULL),
+  best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY ttb_id, field_name ORDER BY score DESC, panel_order, variant) = 1),
+  fields AS (SELECT l.ttb_id, l.field_name, l.expected, CASE WHEN b.score IS NULL THEN 'not_applicable' WHEN b.score >= 90 THEN 'pass' ELSE 'needs_review' END AS verdict, CASE WHEN b.score IS NULL THEN 'no_expected_value' WHEN b.score >= 90 THEN 'matched' WHEN b.score >= 75 THEN 'ambiguous_match' ELSE 'not_found' END AS outcome,
+    round(coalesce(b.score, 0), 2) AS score, CASE WHEN b.score > 0 THEN b.panel_order END AS best_panel_order, CASE WHEN b.score > 0 THEN b.image_type END AS best_panel_type, CASE WHEN b.score > 0 THEN b.filename END AS best_panel_filename FROM long l LEFT JOIN best b USING (ttb_id, field_name)),
+  applications AS (SELECT w.ttb_id, w.status, w.source AS source_of_product, c.* EXCLUDE (ttb_id), CASE WHEN coalesce(v.ok, false) THEN 'pass' ELSE 'needs_review' END AS overall_verdict FROM wanted w JOIN counts c USING (ttb_id) JOIN (SELECT ttb_id, bool_and(verdict = 'pass') FILTER (verdict <> 'not_applicable') AS ok FROM fields GROUP BY 1) v USING (ttb_id))"""
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    part = spread(load(spark, sf_dir, "part"))
+    given = {k: spark.sql(q.replace("FROM part", "FROM {part}"), part=part) for k, q in _CHAIN.items()}
+    none = [F.lit("").alias(c) for c in ("class_type", "alcohol_content", "net_contents")]
+    form = F.struct(F.col("brand").alias("brand_name"), F.col("fanciful").alias("fanciful_name"), F.lit("").alias("class_type_description"), *none[1:], F.col("source").alias("source_of_product"), "status", F.lit("").alias("applicant_name_address"))
+    parsed = given["parsed"].select("ttb_id", form.alias("form_fields"), F.struct(F.lit(None).cast("string").alias("brand_name"), F.col("fanciful").alias("fanciful_name"), *none, "imported").alias("application"))
+    wanted, panels = chain.expected(parsed, given["registry"]), chain.read_panels(given["attachments"], given["ocr"])
+    return wanted, panels, chain.field_results(wanted, panels)
+
+
+@query(f"{_CHAIN_SQL} SELECT * FROM fields")
+def chain_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of every application with a recognised panel, and the panel that bears it out best."""
+    return _chained(spark, sf_dir)[2].drop("at", "evidence_text", "reviewer_action")
+
+
+@query(f"{_CHAIN_SQL} SELECT * FROM applications")
+def chain_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applications with a recognised panel: panels, time, verdict; the others are dropped."""
+    return chain.application_results(*_chained(spark, sf_dir))
+
+
+@query(f"""{_CHAIN_SQL} SELECT count(*) AS application_count, count(*) FILTER (overall_verdict = 'pass') AS pass_count, count(*) FILTER (overall_verdict = 'needs_review') AS needs_review_count, CAST(sum(ocr_image_count) AS BIGINT) AS image_count, CAST(sum(cache_hit_count) AS BIGINT) AS cache_hit_count,
+  round(avg(total_ocr_ms), 2) AS mean_per_application, max(total_ocr_ms) AS max_per_application FROM applications""")
+def chain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain.summary(chain.application_results(*_chained(spark, sf_dir)))
+
+
+@query(f"""{_CHAIN_SQL} SELECT field_name, count(*) FILTER (verdict <> 'not_applicable') AS attempted, count(*) FILTER (verdict = 'pass') AS matched, count(*) FILTER (verdict = 'needs_review') AS needs_review,
+  round(count(*) FILTER (verdict = 'pass') / nullif(count(*) FILTER (verdict <> 'not_applicable'), 0), 4) AS match_rate, round(avg(score) FILTER (verdict <> 'not_applicable'), 2) AS mean_score FROM fields GROUP BY 1""")
+def chain_field_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain.field_summary(_chained(spark, sf_dir)[2])
