@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import html
 import math
 import os
+import re
 import zlib
 
 import duckdb
@@ -111,9 +113,9 @@ def test_op4(spark, texts):
         w, r = [*t.encode().lower().split(), b" "], got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(counts[x] > 0 for x in w), n, fold(i, 5) == 1)
         assert math.isclose(r.base_score, sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
-    for i, t in short:
-        line = end * ppm.ORDER + t.encode().lower()[:40] + end
-        if len(t.encode()) <= 40:
+    for i, t in [*short, *sorted((x for x in texts if 150 <= len(x[1].encode()) <= 400), key=lambda x: x[0])[:6]]:
+        line = end * ppm.ORDER + t.encode().lower() + end
+        if len(t.encode()) <= 400:
             plain = 0.0
             for at in range(ppm.ORDER, len(line)):
                 own = [{(line[at - o : at], s): k for s, k in seen[o].get(line[at - o : at], {}).items()} for o in range(ppm.ORDER + 1)]
@@ -142,6 +144,18 @@ def test_op7(spark):
     assert got == {i: layout.page_text(h) for i, h in pages.items()} and any(got.values())
 
 
+def test_op7_shows_the_words_that_tags_leave(spark):
+    """By patterns alone, without the tree builder: what is left of a page without its head, scripts and comments, in order, and list items as lines."""
+    got = {r.page_id: r.text for r in queries.op7_layout_text(spark, DIR).collect()}
+    for i, page in read("pages", "page_id, html"):
+        shown = re.sub(r"(?is)<head>.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->|<!doctype[^>]*>", " ", page or "")
+        items = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.findall(r"(?is)<li>(.*?)</li>", shown)]
+        words = html.unescape(re.sub("<[^>]*>", " ", re.sub(r"(?i)</?(?:a|b|i|em|span)\b[^>]*>", "", shown))).split()
+        lines = got[i].split("\n")
+        assert [w for w in got[i].split() if w != "-"] == [w for w in words if w != "-"]
+        assert [x[2:] for x in map(str.strip, lines) if x.startswith("- ")] == items
+
+
 def test_op8(spark, texts):
     covers = slow_cover([t.encode() for _, t in texts], 35)
     want = {i: (len(t.encode().split()), gone, hashlib.sha256(b" ".join(kept)).hexdigest()) for (i, t), (kept, gone) in zip(texts, covers, strict=True)}
