@@ -6,6 +6,8 @@ column expressions over that array: no image needs a shuffle or Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,11 @@ def bounds(box: Column, width: Column, height: Column) -> Column:
     return F.when(F.coalesce(F.size(p) > 0, F.lit(False)), inside).otherwise(whole)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once: what a lambda uses from outside would be worked out for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def best_heading(blocks: Column, least: float = LEAST, widest: int = WIDEST) -> Column:
     """(text, score, confidence, bbox, first, width) of the best block or run of up to ``widest`` blocks; null if none scores ``least``.
 
@@ -75,15 +82,25 @@ def best_heading(blocks: Column, least: float = LEAST, widest: int = WIDEST) ->
     single blocks before runs, earlier before later, shorter before longer. A run with
     a block that has no box, or with no point at all, is none.
     """
+    return bound(blocks, lambda b: bound(_read(b), lambda read: _best(b, read, least, widest)))
+
+
+def _read(blocks: Column) -> Column:
+    """What a run asks of its blocks: letters, confidence, whether there is a box, and a point in it."""
+    return F.transform(blocks, lambda b: F.struct(letters(b["text"]).alias("plain"), b["confidence"].cast("double").alias("sure"), b["bbox"].isNotNull().alias("boxed"), F.coalesce(F.size(points(b["bbox"])) > 0, F.lit(False)).alias("placed")))
+
+
+def _best(blocks: Column, read: Column, least: float, widest: int) -> Column:
     n = F.size(blocks)
-    read = F.transform(blocks, lambda b: F.struct(letters(b["text"]).alias("plain"), b["confidence"].cast("double").alias("sure"), b["bbox"].isNotNull().alias("boxed"), F.coalesce(F.size(points(b["bbox"])) > 0, F.lit(False)).alias("placed")))
 
     def run(start: Column, width: Column) -> Column:
-        part = F.slice(read, start + 1, width)
+        return bound(F.slice(read, start + 1, width), lambda part: of_part(part, start, width))
+
+    def of_part(part: Column, start: Column, width: Column) -> Column:
         known = F.filter(F.transform(part, lambda b: b["sure"]), lambda v: v.isNotNull())
         sure = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known))
         usable = F.forall(part, lambda b: b["boxed"]) & F.exists(part, lambda b: b["placed"])
-        score = F.when(usable, heading_score(F.array_join(F.transform(part, lambda b: b["plain"]), "")))
+        score = F.when(usable, bound(F.array_join(F.transform(part, lambda b: b["plain"]), ""), heading_score))
         turn = F.when(width == 1, start).otherwise(n + start * (widest + 1) + width)
         return F.struct(score.alias("score"), F.coalesce(sure, F.lit(0.0)).alias("rank"), (-turn).alias("turn"), start.alias("first"), width.alias("width"), sure.alias("confidence"))
 

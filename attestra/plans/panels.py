@@ -112,7 +112,8 @@ _BLOCKS = f"SELECT *, unnest(string_split(pieces, '|')) AS text, CAST(generate_s
   FROM part p JOIN t ON p.p_partkey = t.p_partkey AND k = 1""")
 def warning_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block or run of blocks of each panel that reads most like the warning's heading, and the box round it."""
-    best = _panels(spark, sf_dir).select("p_partkey", headings.best_heading(F.col("blocks")).alias("h")).where("h is not null")
+    # Exploded rather than filtered: a filter would work the heading out a second time.
+    best = _panels(spark, sf_dir).select("p_partkey", F.explode(F.array_compact(F.array(headings.best_heading(F.col("blocks"))))).alias("h"))
     corner = lambda p, c: F.col("h.bbox")[p][c]
     return best.select("p_partkey", "h.text", F.round("h.score", 6).alias("score"), F.round("h.confidence", 6).alias("confidence"), "h.first", "h.width", corner(0, 0).alias("x0"), corner(0, 1).alias("y0"), corner(2, 0).alias("x1"), corner(2, 1).alias("y1"))
 
