@@ -22,8 +22,10 @@ CHUNK_BYTES = 2 << 20
 BATCH_ROWS = 2000
 
 
-def modest_batches(spark: SparkSession) -> None:
-    """Keep this session's Arrow batches to ``BATCH_ROWS`` rows at most."""
+def modest_batches(spark: SparkSession, most_bytes: int | None = None) -> None:
+    """Keep this session's Arrow batches to ``BATCH_ROWS`` rows at most, and to ``most_bytes``, if given."""
+    if most_bytes:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, BATCH_ROWS)

@@ -46,8 +46,10 @@ from .simhash import components
 from .trees import merged
 
 SHINGLE, PERCENT, FEW = 5, 80, 4
-#: Counters of the sketch (16 MB, whatever the input), and the segments it is added up in.
-COUNTERS, SEGMENTS = 1 << 22, 16
+#: Counters of the sketch (8 MB, whatever the input), and the segments it is added up in.
+COUNTERS, SEGMENTS = 1 << 21, 16
+#: Bytes of text that a worker takes apart at once.
+SLICE = 1 << 20
 #: Ranges of hashes of the suffix filter.
 RANGES = 64
 #: Classes of one n-gram that a task compares with each other at most.
@@ -87,7 +89,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.uint64)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 sets = shingle_sets(text_bytes(part.column("_text")), k)
                 places = (np.concatenate([np.zeros(0, np.uint64), *sets]) & np.uint64(COUNTERS - 1)).astype(np.int64)
                 np.add.at(counts, places, np.uint64(1))
@@ -133,7 +135,7 @@ def _marks(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE):
                 sets = shingle_sets(text_bytes(part.column("_text")), k)
                 prefixes, ranges = [], []
                 for s in sets:
@@ -239,7 +241,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         last: list = [None, None]
         for batch in batches:
             keep: list[bool] = []
-            for part in slices(batch, "right"):
+            for part in slices(batch, "right", SLICE):
                 for x, y in zip(text_bytes(part.column("left")), text_bytes(part.column("right")), strict=True):
                     if last[0] != x:
                         last = [x, shingle_sets([x], k)[0]]
