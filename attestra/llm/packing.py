@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import SLICE, content, ready
+from .byte_bpe import SLICE, content, forget, ready
 from .common import slices, stored
 
 CAPACITY, END_ID = 1024, 2
@@ -52,7 +52,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_tokenizer: bool = True) -> DataFrame:
     """Every document's pieces: ``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32``.
 
     ``task`` and ``nth`` number the pieces of a length within the task that made them.
@@ -76,6 +76,9 @@ def pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_id").take(pa.array(of[0])), pa.array(of[1].astype(np.int32)), *(pa.array(c) for c in of[2:5]), pa.array(np.full(len(rows), task, np.int32)), pa.array(of[5])],
                     ["_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+        if not keep_tokenizer:
+            del bpe
+            forget()
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = rows.schema["_id"].dataType.simpleString()
@@ -142,7 +145,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out.select(*[c for c in parts.columns if c not in ("task", "nth")], "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenise, cut and pack whole documents."""
-    parts, _ = stored(pieces(docs, path, pattern, id_col, text_col, capacity, end_id), "pieces")
+def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_tokenizer: bool = True) -> DataFrame:
+    """Tokenise, cut and pack whole documents. Without ``keep_tokenizer`` each task builds its own and gives it up, for sessions whose workers go on to other things."""
+    parts, _ = stored(pieces(docs, path, pattern, id_col, text_col, capacity, end_id, keep_tokenizer), "pieces")
     return packed(parts, capacity)
