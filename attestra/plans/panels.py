@@ -48,7 +48,7 @@ def rendered(facts: DataFrame) -> DataFrame:
     esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit(" "), F.lit(" \t "))
     cell = lambda label, value, kind="label": F.concat(F.lit(f'<td>\n <div class="{kind}">{label}</div>\n <div class="data">'), esc(value), F.lit("</div></td>"))
     box = lambda name, value: F.concat(F.lit(f'<input type="checkbox" alt="{name} Other"><input type="checkbox" checked alt="{name} '), value, F.lit('">'))
-    image = lambda file, kind: F.concat(F.lit(f'<p class="data">Image Type:</p>\n {kind}\n<br>Actual Dimensions: '), F.col("width").cast("double").cast("string"), F.lit(' inches W X 4 inches H <img src="/colasonline/publicViewAttachment.do?filename='), file, F.lit(f'&filetype=l" alt="Label Image:  {kind}" width="350">'))
+    image = lambda file, kind: F.concat(F.lit(f'<p class="data">Image Type:</p>\n {kind}\n<br>Actual Dimensions: '), F.col("width").cast("double").cast("string"), F.lit(' inches W X 4 inches H <img src="/registry/publicViewAttachment.do?filename='), file, F.lit(f'&filetype=l" alt="Label Image:  {kind}" width="350">'))
     wording = F.replace(F.col("special_wording"), F.lit("\n"), F.lit("<br>"))
     front, back = image(F.replace("filename", F.lit(" "), F.lit("%20")), "Brand (front)"), image(F.lit("back.jpg"), "Back")
     pieces = [
@@ -57,14 +57,14 @@ def rendered(facts: DataFrame) -> DataFrame:
         box("Source of Product:", F.col("source_of_product")), box("Type of Product:", F.col("type_of_product")), F.lit('</td></tr><tr><td><div class="data">19. SHOW ANY WORDING (a) APPEARING ON LABELS. '), wording,
         F.lit('</div></td></tr></table><div class="boldlabel">STATUS</div><div class="data">THE STATUS IS '), F.upper("status"), F.lit('.</div><div class="boldlabel">CLASS/TYPE DESCRIPTION</div><div class="data">'), esc(F.col("class_type_description")),
         F.lit('</div><img src="logo.gif"><p>AFFIX COMPLETE SET OF LABELS BELOW</p>'), F.when(F.col("panels") >= 1, front).otherwise(""), F.when(F.col("panels") >= 2, back).otherwise(""),
-        F.lit('<img src="/colasonline/publicViewSignature.do?ttbid=1" alt="signature"></form></body></html>'),
+        F.lit('<img src="/registry/publicViewSignature.do?ttbid=1" alt="signature"></form></body></html>'),
     ]
-    return facts.select("p_partkey", F.concat(*pieces).alias("html"), F.concat(F.lit("https://registry.example.org/colasonline/viewDetails.do?ttbid="), "ttb_id").alias("url"))
+    return facts.select("p_partkey", F.concat(*pieces).alias("html"), F.concat(F.lit("https://registry.example.org/registry/viewDetails.do?ttbid="), "ttb_id").alias("url"))
 
 
 @query(f"""SELECT p_partkey, ttb_id, brand_name, fanciful_name, class_type_description, alcohol_content, net_contents, type_of_product, source_of_product, status, special_wording, product_type, imported, panels,
   CASE WHEN panels > 0 THEN filename ELSE ttb_id || '.jpg' END AS filename, CASE WHEN panels > 0 THEN 'Brand (front)' END AS first_type, CASE WHEN panels > 0 THEN CAST(width AS DOUBLE) END AS first_width,
-  CASE WHEN panels > 1 THEN 'https://registry.example.org/colasonline/publicViewAttachment.do?filename=back.jpg&filetype=l' END AS second_url FROM ({FORMS_SQL})""")
+  CASE WHEN panels > 1 THEN 'https://registry.example.org/registry/publicViewAttachment.do?filename=back.jpg&filetype=l' END AS second_url FROM ({FORMS_SQL})""")
 def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's form, rendered as a page and taken apart: fields, record and attachments are what went in."""
     facts = spark.sql(FORMS_SQL.replace("FROM part", "FROM {part}"), part=spread(load(spark, sf_dir, "part")))
