@@ -32,21 +32,31 @@ ALIASES = {"United States": ["USA", "U.S.A.", "United States of America"]}
 HEALTH_TERMS = ["detox", "healthy", "safer", "less toxic", "protective"]
 
 
+_NUMBER = r"\b(\d{1,3}(?:\.\d{1,2})?)\s*"
+#: :data:`PERCENT` or :data:`BARE_PERCENT`.
+_ANY_PERCENT = f"(?i){_NUMBER}(?:{PERCENT.removeprefix('(?i)' + _NUMBER)}|{BARE_PERCENT.removeprefix(_NUMBER)})"
 #: The heading in any case, dotted and dotless i among them, with white space of Unicode.
 _HEADING = f"government[{WHITE_CLASS}]+warn[i\u0130\u0131]ng[{WHITE_CLASS}]*:"
 
 
+def _says(c: Column, part: str) -> Column:
+    """Whether a text has a part in lower-case ASCII, whatever its case there: what a pattern needs is looked for before its scan."""
+    return F.contains(F.lower(text(c)), F.lit(part))
+
+
 def abv_shorthand(c: Column) -> Column:
     """The first number followed by ABV, null where there is none."""
-    return F.nullif(F.regexp_extract(text(c), ABV, 0), F.lit(""))
+    some = _says(c, "abv") | _says(c, "a.b") | _says(c, "ab.")
+    return F.when(some, F.nullif(F.regexp_extract(text(c), ABV, 0), F.lit("")))
 
 
 def alcohol_values(c: Column) -> Column:
     """Sorted distinct percentages over 0 up to 100; proof is halved."""
-    stated = F.concat(F.regexp_extract_all(text(c), F.lit(PERCENT), F.lit(1)), F.regexp_extract_all(text(c), F.lit(BARE_PERCENT), F.lit(1)))
-    percent = F.filter(F.transform(stated, lambda x: F.round(x.cast("double"), 2)), lambda x: (x > 0) & (x <= 100))
-    proof = F.filter(F.transform(F.regexp_extract_all(text(c), F.lit(PROOF), F.lit(1)), lambda x: x.cast("double")), lambda x: (x > 0) & (x <= 200))
-    return F.array_sort(F.array_distinct(F.concat(percent, F.transform(proof, lambda x: F.round(x / 2, 2)))))
+    # Both kinds of percentages begin with the same number and end behind no other one, so one scan finds what two find.
+    percent = F.filter(F.transform(F.regexp_extract_all(text(c), F.lit(_ANY_PERCENT), F.lit(1)), lambda x: F.round(x.cast("double"), 2)), lambda x: (x > 0) & (x <= 100))
+    strong = F.when(_says(c, "proof"), F.regexp_extract_all(text(c), F.lit(PROOF), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    proof = F.filter(F.transform(strong, lambda x: x.cast("double")), lambda x: (x > 0) & (x <= 200))
+    return F.sort_array(F.array_distinct(F.flatten(F.array(percent, F.transform(proof, lambda x: F.round(x / 2, 2))))))
 
 
 def alcohol_match(expected: Column, observed: Column, tolerance: float = 0.05) -> Column:
@@ -54,7 +64,7 @@ def alcohol_match(expected: Column, observed: Column, tolerance: float = 0.05) -
 
 
 def bad_sixteen_ounces(c: Column) -> Column:
-    return text(c).rlike(SIXTEEN_OUNCES) & ~text(c).rlike(ONE_PINT)
+    return F.contains(text(c), F.lit("16")) & text(c).rlike(SIXTEEN_OUNCES) & ~text(c).rlike(ONE_PINT)
 
 
 def _unit_map() -> Column:
@@ -76,9 +86,32 @@ def contents_match(expected: Column, observed: Column) -> Column:
     return F.exists(expected, lambda e: F.exists(observed, lambda o: F.abs(e["ml"] - o["ml"]) <= F.greatest(F.lit(2.0), e["ml"] * 0.01)))
 
 
+def warning_tail(c: Column) -> Column:
+    """From the warning's heading to the end of the text as it is; empty where there is none."""
+    return F.regexp_extract(text(c), f"(?is){_HEADING}.*", 0)
+
+
+#: The required warning with white space of any kind and length between its words and behind it.
+_EXACT = r"\A" + f"[{WHITE_CLASS}]+".join(r"\Q" + word + r"\E" for word in WARNING.split(" ")) + f"[{WHITE_CLASS}]*" + r"\z"
+
+
+def is_warning(tail: Column) -> Column:
+    """Whether a :func:`warning_tail` is the required warning once its white space is collapsed."""
+    return tail.rlike(_EXACT)
+
+
+def before_warning(c: Column, tail: Column, exact: Column) -> Column:
+    """What amounts and countries are looked for in: a text without the required warning at its end, which states neither.
+
+    Without a blank before the warning, or with another one, the text stays whole.
+    """
+    n = F.length(text(c)) - F.length(tail)
+    return F.when(exact & ((n == 0) | (F.substring(text(c), n, 1) == " ")), F.substring(text(c), F.lit(1), n)).otherwise(text(c))
+
+
 def warning_block(c: Column) -> Column:
     """From the warning's heading to the end of the text, white space collapsed; null where there is none."""
-    return F.nullif(collapsed(F.regexp_extract(text(c), f"(?is)({_HEADING}.*)", 1)), F.lit(""))
+    return F.nullif(collapsed(warning_tail(c)), F.lit(""))
 
 
 def warning_heading(c: Column) -> Column:
@@ -103,14 +136,37 @@ def word_score(want: Column, have: Column) -> Column:
     return F.when((F.size(want) == 0) | (F.size(have) == 0), 0.0).otherwise(100.0 * F.size(F.array_intersect(want, have)) / F.size(want))
 
 
+def phrase_score(want: Column, padded: Column) -> Column:
+    """:func:`token_score` of two texts in their :func:`label_text` form, the second with a blank at each end.
+
+    A phrase that stands there as it is has all its words; only else is each looked for.
+    """
+    each = F.array_distinct(F.split(F.concat(F.lit(" "), F.replace(want, F.lit(" "), F.lit(" | ")), F.lit(" ")), r"\|"))
+    share = 100.0 * F.size(F.filter(each, lambda w: F.contains(padded, w))) / F.size(each)
+    return F.when(want == "", 0.0).when(F.contains(padded, F.concat(F.lit(" "), want, F.lit(" "))), 100.0).otherwise(share)
+
+
 def country_score(expected: Column, c: Column, score=token_score) -> Column:
     """The best score of a country's name and aliases."""
     best = F.when(strip(expected) == "", 0.0).otherwise(score(expected, c))
     for name, others in ALIASES.items():
-        best = F.when(expected == name, F.greatest(best, *[score(F.lit(o), c) for o in others])).otherwise(best)
+        best = F.when((expected == name) & (best < 100), F.greatest(best, *[score(F.lit(o), c) for o in others])).otherwise(best)
     return best
 
 
+def _by_first_letter(names: list[str]) -> str:
+    """A pattern of any of the names that asks for their first letter once."""
+    return "|".join(f"{a}(?:{'|'.join(n[1:] for n in names if n[0] == a)})" for a in dict.fromkeys(n[0] for n in names))
+
+
+_COUNTRY = f" (?:{_by_first_letter([n.lower() for n in COUNTRIES])})(?= )"
+
+
+def named_countries(padded: Column) -> Column:
+    """The listed countries that a text names, a blank round each: all that :func:`conflicting_country` needs of the text."""
+    return F.concat(F.array_join(F.regexp_extract_all(padded, F.lit(_COUNTRY), F.lit(0)), " "), F.lit(" "))
+
+
 def conflicting_country(own: Column, have: Column) -> Column:
     """The first listed country, not the expected one, that a text names; null where there is none. Both in their :func:`label_text` form, the text with a blank at each end."""
     out = F.lit(None).cast("string")

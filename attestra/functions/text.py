@@ -35,6 +35,10 @@ FORM_TRUE_WORDS = ["1", "true", "yes", "on"]
 WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: The same as the inside of a pattern's class, by ranges, which are much faster than single signs.
 WHITE_CLASS = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: One such sign, for a scan of a text: one comparison rules out visible ASCII before the ranges are tried.
+WHITE_SIGN = f"[[^!-~]&&[{WHITE_CLASS}]]"
+#: Runs of white space that one blank is not already.
+_NOT_COLLAPSED = f" {WHITE_SIGN}+|[[^ -~]&&[{WHITE_CLASS}]]{WHITE_SIGN}*"
 
 
 def _folds() -> tuple[str, str, str]:
@@ -75,12 +79,12 @@ def folded(c: Column) -> Column:
     Signs that decompose into several letters are left out; :func:`decomposed` has all.
     """
     marked = F.regexp_replace(F.translate(c, _STANDINS + FOLDED, _NOTHING + _TO_STANDINS), f"[{_STANDINS[0]}-{_STANDINS[-1]}]", "$0 ")
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(marked, _STANDINS, _PLAIN)).otherwise(c)
+    return F.when(F.length(c) != F.octet_length(c), F.translate(marked, _STANDINS, _PLAIN)).otherwise(c)
 
 
 def label_text(c: Column) -> Column:
     """Lower-case runs of ASCII letters and digits, one space between; accented letters are decomposed before."""
-    return F.lower(F.trim(F.regexp_replace(folded(text(c)), "[^a-zA-Z0-9]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(folded(text(c)), r"\P{Alnum}+", " ")))
 
 
 def decomposed(c: Column) -> Column:
@@ -96,7 +100,7 @@ def decomposed(c: Column) -> Column:
 
 def collapsed(c: Column) -> Column:
     """White space collapsed to single spaces; case and punctuation stay."""
-    return F.trim(F.regexp_replace(text(c), f"[{WHITE_CLASS}]+", " "))
+    return F.trim(F.regexp_replace(text(c), _NOT_COLLAPSED, " "))
 
 
 def falsy_collapsed(c: Column) -> Column:

@@ -14,6 +14,7 @@ Fuzzy fields are scored by the share of their words that the text has, as
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
@@ -60,6 +61,7 @@ class Check(NamedTuple):
     rule_id: str
     verdict: Column
     message: Column
+    observed: Column
     whole: Column
 
 
@@ -81,7 +83,7 @@ def ladder(rule_id: str, outcomes: list[Outcome], expected: Column, evidence: Co
         (score if score is not None else F.lit(None)).cast("double").alias("score"), (confidence if confidence is not None else F.lit(None)).cast("double").alias("confidence"),
     )
     only = (lambda c: c) if emit is None else (lambda c: F.when(emit, c))
-    return Check(rule_id, only(chosen([F.lit(o[1]) for o in outcomes])), only(chosen([F.lit(o[2]) for o in outcomes])), only(out))
+    return Check(rule_id, only(chosen([F.lit(o[1]) for o in outcomes])), only(chosen([F.lit(o[2]) for o in outcomes])), only(chosen([o[3].cast("string") for o in outcomes])), only(out))
 
 
 def _numeric(rule_id: str, field: str, what: str, none: str, kind: str, shown: Column, action: str, evidence: Column, confidence: Column, low: Column) -> Check:
@@ -104,30 +106,44 @@ def _numeric(rule_id: str, field: str, what: str, none: str, kind: str, shown: C
     )
 
 
+#: The words of the required warning, which a text may end in.
+_WARNING_PLAIN = re.sub("[^a-z0-9]+", " ", ev.WARNING.lower()).strip()
+
+
+def with_parts(items: DataFrame) -> DataFrame:
+    """The warning's part of a text and the rest, found once: ``_tail``, ``_exact``, ``_block``, and ``_front``, which amounts and countries are looked for in."""
+    body, tail = text(F.col("full_text")), F.col("_tail")
+    cut = items.withColumn("_tail", ev.warning_tail(body)).withColumn("_exact", ev.is_warning(tail))
+    return cut.withColumns({"_block": F.when(F.col("_exact"), ev.WARNING).when(tail != "", collapsed(tail)), "_front": ev.before_warning(body, tail, F.col("_exact"))})
+
+
 def with_facts(items: DataFrame, score: Callable[[Column, Column], Column] | None) -> DataFrame:
     """What several outcomes ask for, worked out once per item: columns named ``_...``.
 
-    The text's plain form and words come first, as all token scores share them.
+    The text's plain form comes first, as all token scores share it, with the part from the warning's heading on.
     """
     body, country = text(F.col("full_text")), strip(F.col("country_of_origin"))
     fields = ["brand_name", *[f for f, _ in FUZZY_FIELDS.values()]]
-    words = {} if score else {f"_words_{f}": ev.tokens(strip(F.col(f))) for f in fields} | {"_words_country": ev.tokens(country)}
-    plain = items.withColumns({"_plain": label_text(body), "_own": label_text(country)} | words)
-    plain = plain.withColumns({"_have": F.array_distinct(F.split("_plain", " ")), "_padded": F.concat(F.lit(" "), "_plain", F.lit(" "))})
+    words = {} if score else {f"_words_{f}": label_text(strip(F.col(f))) for f in fields}
+    front = F.col("_front")
+    plain = with_parts(items).withColumns({"_plain": label_text(front), "_cut": F.length(front) < F.length(body), "_own": label_text(country)} | words)
+    padded = F.concat(F.lit(" "), "_plain", F.lit(" "))
+    whole = F.when(F.col("_cut"), F.concat(F.when(F.col("_plain") == "", "").otherwise(F.concat(F.lit(" "), "_plain")), F.lit(f" {_WARNING_PLAIN} "))).otherwise(padded)
+    plain = plain.withColumns({"_padded": whole, "_named": ev.named_countries(padded)})
 
     def scored(f: str) -> Column:
-        return score(F.col(f) if f == "brand_name" else strip(F.col(f)), body) if score else ev.word_score(F.col(f"_words_{f}"), F.col("_have"))
+        return score(F.col(f) if f == "brand_name" else strip(F.col(f)), body) if score else ev.phrase_score(F.col(f"_words_{f}"), F.col("_padded"))
 
     def of_country(expected: Column, _: Column) -> Column:
         if score:
             return score(expected, body)
-        return ev.word_score(F.col("_words_country") if expected is country else ev.tokens(expected), F.col("_have"))
+        return ev.phrase_score(F.col("_own") if expected is country else label_text(expected), F.col("_padded"))
     first = plain.withColumns({
-        "_heading": ev.warning_heading(body), "_block": ev.warning_block(body), "_shorthand": ev.abv_shorthand(body), "_sixteen": ev.bad_sixteen_ounces(body),
-        "_want_alcohol": ev.alcohol_values(strip(F.col("alcohol_content"))), "_seen_alcohol": ev.alcohol_values(body),
-        "_want_contents": ev.contents_values(strip(F.col("net_contents"))), "_seen_contents": ev.contents_values(body),
+        "_heading": ev.warning_heading(F.col("_tail")), "_shorthand": ev.abv_shorthand(front), "_sixteen": ev.bad_sixteen_ounces(front),
+        "_want_alcohol": ev.alcohol_values(strip(F.col("alcohol_content"))), "_seen_alcohol": ev.alcohol_values(front),
+        "_want_contents": ev.contents_values(strip(F.col("net_contents"))), "_seen_contents": ev.contents_values(front),
         "_brand": scored("brand_name"), **{f"_score_{f}": scored(f) for f, _ in FUZZY_FIELDS.values()},
-        "_country": ev.country_score(country, body, of_country), "_other": ev.conflicting_country(F.col("_own"), F.col("_padded")),
+        "_country": ev.country_score(country, body, of_country), "_other": ev.conflicting_country(F.col("_own"), F.col("_named")),
     })
     return first.withColumns({"_met_alcohol": ev.alcohol_match(F.col("_want_alcohol"), F.col("_seen_alcohol")), "_met_contents": ev.contents_match(F.col("_want_contents"), F.col("_seen_contents"))})
 
@@ -300,6 +316,18 @@ def zero_filled(counts: DataFrame, key: str, keys: list[str]) -> DataFrame:
 QUEUES = ["ready_to_accept", "acceptance_review", "manual_evidence_review", "rejection_review", "ready_to_reject"]
 
 
+def compared(items: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """What :func:`comparison_rows` gives, straight from the rules' outcomes of these fields, without ``checks``."""
+    checks = {c.rule_id: c for c in check_columns("typography" in items.columns)}
+    value = lambda f: F.col(f).cast("string")
+    shown = lambda f: F.when(strip(value(f)) == "", "Not provided").otherwise(collapsed(value(f)))
+    rows = [
+        F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), shown(f).alias("application_value"), F.coalesce(checks[r].verdict, F.lit("not_checked")).alias("verdict"), F.coalesce(checks[r].observed, F.lit("")).alias("observed"))
+        for i, (f, r) in enumerate(fields.items())
+    ]
+    return with_facts(items, None).select("item_id", F.explode(F.array(*rows)).alias("s")).select("item_id", "s.*")
+
+
 def comparison_rows(verdicts: DataFrame, fields: dict[str, str]) -> DataFrame:
     """A row per item and displayed field: the application's value against what its rule observed."""
     spec = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(field).alias("field"), F.lit(rule).alias("rule_id"), F.col(field).cast("string").alias("value")) for i, (field, rule) in enumerate(fields.items())]))

@@ -61,6 +61,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications with the text of their labels."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # A method of generated code above this size is only ever interpreted by the JVM; Spark then takes projections apart instead.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)
     items = spread(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     return spark.sql(LABELS_SQL.replace("FROM lineitem l JOIN part p", "FROM {lineitem} l JOIN {part} p"), lineitem=items, part=load(spark, sf_dir, "part"))
 

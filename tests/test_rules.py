@@ -144,3 +144,28 @@ def test_judged_equals_checks(spark):
     for flags in ({}, {"review_unknown_warning": True, "review_before_rejection": True, "review_before_acceptance": True}):
         left, right = rules.judged(items, **flags), rules.with_verdicts(rules.with_checks(items), **flags).drop("checks")
         assert left.columns == right.columns and left.exceptAll(right).count() == right.exceptAll(left).count() == 0
+
+
+def test_required_warning_is_left_out_of_scans(spark):
+    w = ev.WARNING
+    rows = [(0, f"5% abv {w}"), (1, w.replace(" ", "\n ")), (2, f"5%{w}"), (3, f"5% {w[:-1]} 7% vol"), (4, f"x {w} 1 L"), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "id int, full_text string")
+    got = {r.id: (r._front, r._block) for r in rules.with_parts(df).collect()}
+    assert got[0] == ("5% abv ", w) and got[1] == ("", w) and got[2] == (f"5%{w}", w) and got[3][0] == rows[3][1] and got[4] == (f"x {w} 1 L", f"{w} 1 L") and got[5] == got[6] == ("", None)
+
+
+def test_phrase_score_is_the_token_score(spark):
+    pairs = [(a, b) for a in ("", "old mill", "mill old mill", "drive a car", "ld mil", "France") for b in ("", "the old mill of france", "old x mill", "CAR, drive!", f"x {ev.WARNING}")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    plain = lambda c: text.label_text(F.col(c))
+    both = df.select(ev.token_score(F.col("a"), F.col("b")).alias("x"), ev.phrase_score(plain("a"), F.concat(F.lit(" "), plain("b"), F.lit(" "))).alias("y")).collect()
+    assert [r.x for r in both] == [r.y for r in both]
+
+
+def test_compared_equals_comparison_rows(spark):
+    fields = ", ".join(f"{f} {'boolean' if f == 'imported' else 'string'}" for f in rules.APPLICATION)
+    rows = [("ACME", f, "Ale", a, "750 mL", "", c, True, "wine", t, conf) for f in ("", " Old\tMill ") for a in ("5%", "", "no") for c in ("France", "") for t in ("ACME 5% vol OLD MILL 1 L", "") for conf in (0.5, 0.9)]
+    items = spark.createDataFrame(rows, f"{fields}, full_text string, avg_confidence double").withColumn("item_id", F.monotonically_increasing_id())
+    asked = {"brand_name": "FORM_BRAND_MATCHES_LABEL", "fanciful_name": "FORM_FANCIFUL_NAME_MATCHES_LABEL", "alcohol_content": "FORM_ALCOHOL_CONTENT_MATCHES_LABEL", "country_of_origin": "COUNTRY_OF_ORIGIN_MATCH"}
+    left, right = rules.compared(items, asked), rules.comparison_rows(rules.with_verdicts(rules.with_checks(items)), asked)
+    assert left.columns == right.columns and left.exceptAll(right).count() == right.exceptAll(left).count() == 0
