@@ -43,12 +43,27 @@ def dangling(df: DataFrame, item: str, refs: str, known: DataFrame, key: str) ->
 
 
 def attachment_of(images: DataFrame, attachments: DataFrame, key: str, name: str, other: str, order: str) -> DataFrame:
-    """Each image's attachment of its application: the first with an equal name, else an equal stem, else one that holds the stem."""
+    """Each image's attachment of its application: the first with an equal name, else an equal stem, else one that holds the stem.
+
+    Images and attachments meet by equal names, equal stems and equal parts, never all
+    with all: an attachment is taken apart into its parts of those lengths that stems of
+    its application have, and each distinct part hands on its first attachment only.
+    """
     stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
-    met = images.join(attachments.select(F.col(key).alias("_key"), F.col(other).alias("attachment"), F.col(order).alias("_order")), F.col(key) == F.col("_key"))
-    how = F.when(F.col(name) == F.col("attachment"), 1).when(stem(F.col(name)) == stem(F.col("attachment")), 2).when(F.col("attachment").contains(stem(F.col(name))), 3)
-    best = met.withColumn("how", how).where("how IS NOT NULL").groupBy(key, name).agg(F.min(F.struct("how", "_order", "attachment")).alias("b"))
-    return best.select(key, name, "b.attachment", "b.how")
+    asked = images.select(F.col(key).alias("_key"), F.col(name).alias("_name")).where("_key IS NOT NULL AND _name IS NOT NULL").distinct().withColumn("_stem", stem(F.col("_name")))
+    given = attachments.select(F.col(key).alias("_key"), F.col(other).alias("attachment"), F.col(order).alias("_order")).where("_key IS NOT NULL AND attachment IS NOT NULL")
+    lengths = asked.groupBy("_key").agg(F.collect_set(F.length("_stem")).alias("_lengths"))
+    starts = lambda n: F.sequence(F.lit(1), F.length("attachment") - n + 1)
+    parts = F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.length("attachment")), lambda n: F.transform(starts(n), lambda i: F.substring(F.col("attachment"), i, n))))
+    pieces = given.join(lengths, "_key").select("_key", "attachment", "_order", F.explode(F.array_distinct(parts)).alias("_at"))
+
+    def first(rows: DataFrame, how: int, at: str) -> DataFrame:
+        found = rows.groupBy("_key", F.col(at).alias("_at")).agg(F.min(F.struct(F.lit(how).alias("how"), "_order", "attachment")).alias("b"))
+        return asked.withColumn("_at", F.col("_name" if how == 1 else "_stem")).join(found, ["_key", "_at"]).select("_key", "_name", "b")
+
+    met = first(given.withColumn("_at", F.col("attachment")), 1, "_at").unionByName(first(given.withColumn("_at", stem(F.col("attachment"))), 2, "_at")).unionByName(first(pieces, 3, "_at"))
+    best = met.groupBy("_key", "_name").agg(F.min("b").alias("b"))
+    return best.select(F.col("_key").alias(key), F.col("_name").alias(name), "b.attachment", "b.how")
 
 
 def import_status(files: DataFrame, attachments: DataFrame, name: str, other: str) -> DataFrame:

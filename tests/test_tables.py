@@ -220,3 +220,21 @@ def test_latency_of_ties_and_nulls(spark):
     got = {r.engine: r for r in metrics.latency(df, "ms", ["engine"]).collect()}
     assert (got["a"].n, got["a"]["mean"], got["a"].median, got["a"].most, got["a"].p95_floor, got["a"].p95_linear) == (5, 24.4, 5.0, 100, 100, 81.4)
     assert got["b"].p95_round == 1 and got["b"].median == 1.0
+
+
+def test_attachments_meet_by_parts_not_all_with_all(spark):
+    from attestra.operators import records
+
+    names = ["a.png", "b.png", "ab.png", ".png", "x.y.png", "none", "c"]
+    others = ["a.png", "b.jpg", "front_b_1.gif", "xab", "", "c.gif", "zz", "cc"]
+    images = spark.createDataFrame([(k, n) for k in (1, 2, None) for n in [*names, None]], "k int, name string")
+    given = spark.createDataFrame([(k, o, i) for k in (1, 3, None) for i, o in enumerate([*others, None])], "k int, other string, turn int")
+    stem = lambda s: s.rpartition(".")[0] if "." in s else s
+    want = {}
+    for n in names:
+        hows = [(1 if n == o else 2 if stem(n) == stem(o) else 3, i, o) for i, o in enumerate(others) if n == o or stem(n) == stem(o) or stem(n) in o]
+        if hows:
+            want[(1, n)] = (min(hows)[2], min(hows)[0])
+    found = records.attachment_of(images, given, "k", "name", "other", "turn")
+    assert {(r.k, r.name): (r.attachment, r.how) for r in found.collect()} == want
+    assert "Contains(" not in found._jdf.queryExecution().optimizedPlan().toString()
