@@ -14,6 +14,7 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -122,13 +123,29 @@ def elements_of(page: str) -> list[dict]:
     return builder.rows
 
 
+#: Pages whose elements are objects of a worker at a time: as many as this many bytes of them, one at least.
+PORTION = 1 << 20
+
+
+def portions(batch: pa.RecordBatch, column: str, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``most`` bytes of a text column; a longer text is a part by itself."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > start and held + n > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def with_elements(pages: DataFrame, html: str) -> DataFrame:
     """``pages`` with ``elements``; a null page has none."""
     schema = StructType([f for f in pages.schema.fields if f.name != "elements"] + ELEMENTS.fields)
     arrow = to_arrow_schema(ELEMENTS).field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, html)):
             found = pa.array([[] if h is None else [r | {"attrs": None if r["attrs"] is None else list(r["attrs"].items())} for r in elements_of(h)] for h in batch.column(html).to_pylist()], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "elements"])
 

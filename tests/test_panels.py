@@ -197,3 +197,13 @@ def test_feature_graph_of_one_and_of_many(spark):
         edges |= {(a, b) for _, b in near} | {(b, a) for _, b in near}
     degree = {a: sum(x == a for x, _ in edges) for a in range(8)}
     assert {(e.a, e.b): e.weight for e in got["many"].adj} == {(a, b): 1 / degree[a] for a, b in edges}
+
+
+def test_pages_are_taken_apart_in_portions():
+    import pyarrow as pa
+
+    from attestra.sources import forms
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(6)), "html": ["x" * 4, None, "x" * 4, "x" * 30, "", "x"]})
+    parts = list(forms.portions(batch, "html", 9))
+    assert [p.column("id").to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5]] and not list(forms.portions(batch.slice(0, 0), "html"))
