@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.evidence import tokens, word_score
-from ..functions.text import collapsed, text
+from ..functions.evidence import phrase_score
+from ..functions.text import collapsed, label_text, text
 from ..functions.variants import field_variants
 
 #: Words of passages that go to every task at once.
@@ -76,12 +76,13 @@ def evaluated(wanted: DataFrame, panels: DataFrame, item: str, panel: str, body:
     The first panel and variant with the best score count; with no score at all
     there is no best panel. Panels meet fields on the item; the best is a partial
     aggregate, so nothing is ranked. Without a ``score`` the share of words counts,
-    for which a panel's words are taken apart once, before they meet.
+    for which a panel's text is made plain once, before they meet.
     """
     tried = wanted.select(item, "field", "expected", F.posexplode(field_variants(F.col("field"), F.col("expected"))).alias("variant", "candidate"))
-    read = F.col(body) if score else tokens(F.col(body))
+    read = F.col(body) if score else F.concat(F.lit(" "), label_text(F.col(body)), F.lit(" "))
+    tried = tried if score else tried.withColumn("_plain", label_text(F.col("candidate")))
     met = tried.join(panels.select(item, F.col(panel).alias("panel"), read.alias("read")), item)
-    points = score(F.col("candidate"), F.col("read")) if score else word_score(tokens(F.col("candidate")), F.col("read"))
+    points = score(F.col("candidate"), F.col("read")) if score else phrase_score(F.col("_plain"), F.col("read"))
     scored = met.select(item, "field", "expected", "variant", "candidate", "panel", points.alias("score"))
     best = scored.groupBy(item, "field", "expected").agg(F.min_by(F.struct("score", "panel", "candidate"), F.struct(-F.col("score"), F.col("panel"), F.col("variant"))).alias("b"))
     points = F.col("b.score")
