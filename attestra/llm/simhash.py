@@ -2,9 +2,10 @@
 
 Fingerprints of 64 bits are cut into m bit ranges and joined on every choice of
 m - 4 of them: two fingerprints at four or fewer differing bits agree on at least
-so many, so no pair is missed. m grows with the number of fingerprints (five for
-few, then six, seven, eight), so that keys get longer (13 to 32 bits) and buckets
-stay small. Rows that agree lie side by side after a sort; their bits are turned
+so many, so no pair is missed. m grows with the number of fingerprints (six up to
+2^26, then seven, eight), so that keys get longer (21 to 32 bits) and buckets stay
+small. Five ranges make a third of the keys of six, so where the one gives way to the
+other, three times as many rows meet; hence few fingerprints have six as well. Rows that agree lie side by side after a sort; their bits are turned
 into planes once (bit i of 64 neighbours in one word). For neighbours at each
 distance in the bucket the planes meet themselves, shifted by as many places, and
 the distances of 64 pairs at a time are counted with carry-save adders. Words
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import drop, partitions, slices, stored, text_bytes
 
 SHINGLE, RADIUS = 4, 4
-#: Up to so many fingerprints 5, 6 and 7 bit ranges are cut, beyond them 8.
-MOST = ((1 << 14, 5), (1 << 26, 6), (1 << 32, 7))
+#: Up to so many fingerprints 6 and 7 bit ranges are cut, beyond them 8.
+MOST = ((1 << 26, 6), (1 << 32, 7))
 #: Fingerprints of one bucket that a task compares with each other at most.
 BUCKET = 2048
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)

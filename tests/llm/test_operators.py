@@ -394,6 +394,10 @@ def test_keys_miss_no_pair_and_grow(count):
         assert len(clean) >= len(ranges) - 4
 
 
+def test_keys_of_a_fingerprint_do_not_jump_as_the_corpus_grows():
+    assert {len(simhash.ranges_of(n)) for n in (1, 1 << 14, (1 << 14) + 1, 97_312, 1 << 26)} == {6}
+
+
 # ---- HTML
 
 
