@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType
 
-from ..functions.similarity import partial_ratio
-from ..functions.text import collapsed, text
+from ..functions.similarity import WORD, partial_ratio, partial_ratios
+from ..functions.text import bound, collapsed, text
 from .evaluation import windows
 
 # How much of the whole text is a candidate, and how many candidates are kept.
 BEGINNING, MOST = 1200, 18
+#: Rows whose texts are measured together.
+PORTION = 256
 _RANKED = StructType().add("ranked", ArrayType(StructType().add("candidate", "string").add("score", "double")))
 
 
@@ -64,19 +66,31 @@ class Ranker:
         return [(texts[-at], score) for score, at in sorted(kept, reverse=True)]
 
 
+def ranked_lists(values: list[str | None], lists: list[list[str] | None], most: int) -> list[list[dict]]:
+    """The ``most`` of each list nearest to its value. Values that fit a word of bits are measured together, longer ones by a :class:`Ranker` each."""
+    short = [(v or "").lower() if len((v or "").lower()) <= WORD else None for v in values]
+    scores = iter(partial_ratios([(v, t.lower()) for v, texts in zip(short, lists, strict=True) if v is not None for t in texts or []]).tolist())
+    out = []
+    for value, low, texts in zip(values, short, lists, strict=True):
+        if low is None:
+            best = Ranker(value)(texts or [], most)
+        else:
+            # A stable sort: the earlier among equals comes first.
+            best = sorted([(t, next(scores)) for t in texts or []], key=lambda x: -x[1])[:most]
+        out.append([{"candidate": c, "score": s} for c, s in best])
+    return out
+
+
 def ranked(rows: DataFrame, expected: str, found: str, most: int = MOST) -> DataFrame:
     """``rows`` with ``ranked``: the ``most`` of the array ``found`` nearest to ``expected`` by partial ratio. A null or blank value has all scores 0."""
     schema = StructType([*rows.schema.fields, *_RANKED.fields])
     arrow = to_arrow_schema(_RANKED).field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = Ranker("")
         for batch in batches:
             out = []
-            for value, texts in zip(batch.column(expected).to_pylist(), batch.column(found).to_pylist(), strict=True):
-                if last.expected != (value or "").lower():
-                    last = Ranker(value or "")
-                out.append([{"candidate": c, "score": s} for c, s in last(texts or [], most)])
+            for part in (batch.slice(i, PORTION) for i in range(0, batch.num_rows, PORTION)):
+                out += ranked_lists(part.column(expected).to_pylist(), part.column(found).to_pylist(), most)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], [*batch.schema.names, "ranked"])
 
     return rows.mapInArrow(run, schema)
@@ -84,5 +98,5 @@ def ranked(rows: DataFrame, expected: str, found: str, most: int = MOST) -> Data
 
 def ranked_by(expected: Column, found: Column, score: Callable[[Column, Column], Column], most: int = MOST) -> Column:
     """The same as a column with a score that is an expression."""
-    scored = F.transform(found, lambda c, i: F.struct((-score(expected, c)).alias("minus"), i.alias("at"), c.alias("candidate")))
+    scored = bound(expected, lambda e: F.transform(found, lambda c, i: F.struct((-score(e, c)).alias("minus"), i.alias("at"), c.alias("candidate"))))
     return F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: F.struct(x["candidate"].alias("candidate"), (-x["minus"]).alias("score")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.evidence import phrase_score
-from ..functions.text import collapsed, label_text, text
+from ..functions.text import bound, collapsed, label_text, text
 from ..functions.variants import field_variants
 
 #: Words of passages that go to every task at once.
@@ -106,8 +106,8 @@ def prompt(field: Column, expected: Column, candidate: Column, product_type: Col
 def windows(blocks: Column, widths: tuple[int, ...] = (2, 3, 5, 8)) -> Column:
     """Blocks of text and runs of neighbouring ones, distinct, shorter runs first."""
     clean = F.filter(F.transform(blocks, lambda b: collapsed(b)), lambda b: b != "")
-    runs = [_runs(clean, w) for w in widths]
-    return F.array_distinct(F.concat(clean, *runs))
+    # Bound, as each run would else clean all blocks anew.
+    return bound(clean, lambda c: F.array_distinct(F.concat(c, *[_runs(c, w) for w in widths])))
 
 
 def _runs(clean: Column, width: int) -> Column:

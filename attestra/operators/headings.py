@@ -6,12 +6,10 @@ column expressions over that array: no image needs a shuffle or Python.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, text
+from ..functions.text import bound, strip, text
 
 # The heading's letters, how many letters of a text are looked at, the widest run and the least score.
 HEADING = "GOVERNMENTWARNING"
@@ -70,11 +68,6 @@ def bounds(box: Column, width: Column, height: Column) -> Column:
     return F.when(F.coalesce(F.size(p) > 0, F.lit(False)), inside).otherwise(whole)
 
 
-def bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is worked out once: what a lambda uses from outside would be worked out for each element."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def best_heading(blocks: Column, least: float = LEAST, widest: int = WIDEST) -> Column:
     """(text, score, confidence, bbox, first, width) of the best block or run of up to ``widest`` blocks; null if none scores ``least``.
 

@@ -131,7 +131,7 @@ _SET = "list_distinct(list_filter(string_split(lower(trim(regexp_replace({}, '[^
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 18 texts of each panel with the largest share of the words of the part's name and size."""
     p, words = _candidates(spark, sf_dir), ev.tokens(F.col("expected"))
-    ranked = candidates.ranked_by(F.col("words"), F.col("found"), lambda want, c: ev.word_score(want, ev.tokens(c)))
+    ranked = candidates.ranked_by(F.col("words"), F.col("found"), lambda want, c: tx.bound(ev.tokens(c), lambda have: ev.word_score(want, have)))
     rows = p.withColumn("words", words).select("p_partkey", F.posexplode(ranked).alias("place", "c"))
     return rows.select("p_partkey", (F.col("place") + 1).alias("place"), "c.candidate", F.round("c.score", 6).alias("score"))
 

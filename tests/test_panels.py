@@ -8,8 +8,8 @@ import random
 from pyspark.sql import functions as F
 
 from attestra.functions.evidence import heading_share
-from attestra.functions.similarity import partial_ratio
-from attestra.operators import candidates, graphs, headings
+from attestra.functions.similarity import partial_ratio, partial_ratios
+from attestra.operators import candidates, evaluation, graphs, headings
 from attestra.plans import panels
 from attestra.sources import forms
 
@@ -150,6 +150,21 @@ def test_ranker_equals_measuring_all():
     assert pruned > 100
 
 
+def test_ratios_of_many_pairs_equal_those_of_each():
+    r = random.Random(9)
+    some = lambda n: "".join(r.choice("abcde éß1") for _ in range(r.randrange(n)))
+    pairs = [(some(n), some(m)) for n in (3, 20, 64, 65, 66, 120) for m in (4, 30, 64, 65, 66, 150) for _ in range(6)] + [("a" * 64, "b" + "a" * 63), ("ab" * 32, "ba" * 90), ("x", "y"), ("", "y")]
+    assert partial_ratios(pairs).tolist() == [partial_ratio(a, b) for a, b in pairs] and partial_ratios([]).tolist() == []
+    values, lists = [a for a, _ in pairs] + [None], [[b for _, b in pairs[i : i + 30]] for i in range(len(pairs))] + [["a", "b"]]
+    want = [sorted(((t, partial_ratio((v or "").lower(), t.lower())) for t in texts), key=lambda x: -x[1])[:18] for v, texts in zip(values, lists, strict=True)]
+    assert [[(x["candidate"], x["score"]) for x in got] for got in candidates.ranked_lists(values, lists, 18)] == want
+
+
+def test_blocks_are_cleaned_once_for_all_runs(spark):
+    plan = spark.createDataFrame([([" a"],)], "b array<string>").select(evaluation.windows(F.col("b")).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
 def test_candidates(spark):
     rows = [(1, "Old River", [" Old ", "", "River\n Oak", None, "Old"], "Old River"), (2, None, None, None), (3, "", ["a"], "b")]
     df = spark.createDataFrame(rows, "id int, want string, blocks array<string>, body string").withColumn("found", candidates.candidates(F.col("blocks"), F.col("body")))
