@@ -133,6 +133,11 @@ def test_crop_and_bounds(spark):
     assert got[1] == (91, 44, 309, 82) and got[2][:2] == (0, 0) and got[2][3] == 50
 
 
+def test_lines_above_an_image_are_taken_once(spark):
+    df = forms.with_elements(spark.createDataFrame([("<p>x</p>",)], "html string"), "html").select(forms.attachments(F.col("elements"), F.lit("http://a.b/c")).alias("a"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count(forms.FIRST_LABEL) == 1
+
+
 # ---- candidates
 
 
@@ -165,6 +170,14 @@ def test_blocks_are_cleaned_once_for_all_runs(spark):
     assert plan.count("regexp_replace") == 1
 
 
+def test_what_is_wanted_is_worked_out_once_for_all_texts(spark):
+    df = spark.createDataFrame([("Old-River", ["Oak", "old", "River", "old"])], "want string, found array<string>")
+    want = F.lower(F.regexp_replace("want", "-", " "))
+    got = df.select(candidates.ranked_by(want, F.col("found"), lambda w, c: F.when(w.contains(F.lower(c)), F.length(w).cast("double")).otherwise(0.0), 3).alias("r"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [(x.candidate, x.score) for x in got.first().r] == [("old", 9.0), ("River", 9.0), ("old", 9.0)]
+
+
 def test_candidates(spark):
     rows = [(1, "Old River", [" Old ", "", "River\n Oak", None, "Old"], "Old River"), (2, None, None, None), (3, "", ["a"], "b")]
     df = spark.createDataFrame(rows, "id int, want string, blocks array<string>, body string").withColumn("found", candidates.candidates(F.col("blocks"), F.col("body")))
