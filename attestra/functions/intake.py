@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import collapsed, evidence_window, text
+from .text import bound, collapsed, evidence_window, text
 
 # Patterns and lists of the intake, which differ from those of the rules.
 ALCOHOL = r"(?i)\b(?:alcohol\s*)?(\d{1,3}(?:\.\d{1,2})?)\s*%?\s*(alc\.?\s*/?\s*vol\.?|alcohol\s+by\s+volume|abv|a\.?b\.?v\.?|by\s+vol\.?)\b"
@@ -66,6 +66,33 @@ def _candidate(value: Column, confidence: Column | float, evidence: Column) -> C
     return F.when(value.isNotNull(), F.struct(value.alias("value"), grade.cast("double").alias("confidence"), evidence.alias("evidence")))
 
 
+def _first_named(low: Column, terms: list[str]) -> Column:
+    """The first term that a text has; the text is bound, as it would else be worked out for each term."""
+    return bound(low, lambda b: F.try_element_at(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(b, t)), F.lit(1)))
+
+
+def contents_value(full_text: Column) -> Column:
+    """The value alone of :func:`candidates`' ``net_contents``; likewise the next two."""
+    return F.nullif(collapsed(F.regexp_extract(text(full_text), CONTENTS, 0)), F.lit(""))
+
+
+def country_value(full_text: Column) -> Column:
+    return F.initcap(_first_named(F.lower(text(full_text)), COUNTRIES))
+
+
+def alcohol_value(full_text: Column) -> Column:
+    return _alcohol(text(full_text))[0]
+
+
+def _alcohol(body: Column) -> tuple[Column, Column, Column, Column]:
+    """The strength that a text states, and the three texts it may come from."""
+    hit, percent, proof = F.regexp_extract(body, ALCOHOL, 0), F.regexp_extract(body, PERCENT, 0), F.regexp_extract(body, PROOF, 0)
+    strength = F.regexp_extract(body, PROOF, 1)
+    halved = F.regexp_replace((F.try_to_number(strength, F.lit("999.99")).cast("double") / 2).cast("string"), r"\.0$", "")
+    value = F.when(hit != "", collapsed(hit)).when(percent != "", F.concat(F.regexp_extract(body, PERCENT, 1), F.lit("%"))).when(proof != "", F.concat(strength, F.lit(" proof (~"), halved, F.lit("% ALC/VOL)")))
+    return value, hit, percent, proof
+
+
 def candidates(lines: Column, full_text: Column) -> dict[str, Column]:
     """A struct (value, confidence, evidence) for each field, null where nothing is found."""
     body = text(full_text)
@@ -78,15 +105,12 @@ def candidates(lines: Column, full_text: Column) -> dict[str, Column]:
     brand = F.try_element_at(F.filter(F.slice(lines, 1, 8), brand_like), F.lit(1))
     kind = F.when(_any_of(low, SPIRITS), "distilled_spirits").when(_any_of(low, MALT), "malt_beverage").when(_any_of(low, WINES), "wine")
     by_line = F.try_element_at(F.filter(lines, lambda x: _any_of(F.lower(x), CLASSES)), F.lit(1))
-    anywhere = F.try_element_at(F.filter(F.array(*map(F.lit, CLASSES)), lambda t: F.contains(low, t)), F.lit(1))
-    hit, percent, proof = F.regexp_extract(body, ALCOHOL, 0), F.regexp_extract(body, PERCENT, 0), F.regexp_extract(body, PROOF, 0)
-    strength = F.regexp_extract(body, PROOF, 1)
-    halved = F.regexp_replace((F.try_to_number(strength, F.lit("999.99")).cast("double") / 2).cast("string"), r"\.0$", "")
-    alcohol = F.when(hit != "", collapsed(hit)).when(percent != "", F.concat(F.regexp_extract(body, PERCENT, 1), F.lit("%"))).when(proof != "", F.concat(strength, F.lit(" proof (~"), halved, F.lit("% ALC/VOL)")))
+    anywhere = _first_named(low, CLASSES)
+    alcohol, hit, percent, proof = _alcohol(body)
     grade = F.when(hit != "", CONFIDENCE["alcohol"]).when(percent != "", CONFIDENCE["percent"]).otherwise(CONFIDENCE["proof"])
     shown = F.when(hit != "", hit).when(percent != "", percent).otherwise(proof)
     contents = F.nullif(F.regexp_extract(body, CONTENTS, 0), F.lit(""))
-    country = F.try_element_at(F.filter(F.array(*map(F.lit, COUNTRIES)), lambda t: F.contains(low, t)), F.lit(1))
+    country = _first_named(low, COUNTRIES)
     return {
         "brand_name": _candidate(brand, CONFIDENCE["brand_name"], brand),
         "product_type": _candidate(kind, CONFIDENCE["product_type"], evidence_window(body, F.replace(kind, F.lit("_"), F.lit(" ")), 60)),

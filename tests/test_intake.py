@@ -56,3 +56,15 @@ def test_windows_and_prompt(spark):
     assert [r.w for r in df.select(evaluation.windows(F.col("b")).alias("w")).collect()] == [["a", "b", "c", "a b", "b c", "a b c"], []]
     p = df.limit(1).select(evaluation.prompt(F.lit("net_contents"), F.lit("750 mL"), F.lit("x"), F.lit("wine"), F.lit(None).cast("string"), F.lit(True)).alias("p")).first().p
     assert p.splitlines()[0] == "field: net contents" and p.splitlines()[4:6] == ["origin: ", "imported: true"]
+
+
+def test_values_alone_equal_those_of_candidates(spark):
+    texts = ["OLD OAK 5.5% Alc/Vol 750  mL Product of France", "90 proof 1 pint", "12% wine of new  zealand, Italy", "101.5 PROOF", "nothing", "", None, "NEW ZEALAND 16 FL. OZ."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    c = intake.candidates(intake.lines_of(F.col("t")), F.col("t"))
+    pairs = [(intake.alcohol_value(F.col("t")), c["alcohol_content"]), (intake.contents_value(F.col("t")), c["net_contents"]), (intake.country_value(F.col("t")), c["country_of_origin"])]
+    for mine, whole in pairs:
+        rows = df.select(mine.alias("a"), whole["value"].alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows] and any(r.a for r in rows)
+    plan = df.select(intake.country_value(F.lower(F.regexp_replace("t", "x", "y"))).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("filter(")[1].split("namedlambda")[0].count("regexp_replace") == 0 and plan.count("regexp_replace") == 1
