@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from ..functions.records import form_product
-from ..functions.text import strip, text
+from ..functions.text import bound, strip, text
 
 # Elements without content, the labels of form fields, and the marks round attachments.
 VOID = {"area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr"}
@@ -281,7 +281,7 @@ def context_lines(elements: Column, at: Column, stop_tag: str, stop_text: str |
 
     before = F.slice(elements, 1, at)
     start = F.coalesce(F.array_max(F.transform(before, stop)), F.lit(0))
-    pieces = F.filter(F.slice(elements, start + 1, at - start), lambda e: e["name"].isNull())
+    pieces = bound(start, lambda s: F.filter(F.slice(elements, s + 1, at - s), lambda e: e["name"].isNull()))
     return F.flatten(F.transform(pieces, lambda e: kept_lines(e["text"])))
 
 
@@ -299,9 +299,10 @@ def attachments(elements: Column, address: Column) -> Column:
     images = places(elements, lambda e: _named(e, "img") & attribute(e, "src").contains(ATTACHMENT) & attribute(e, "src").contains(LARGE))
 
     def one(i: Column, n: Column) -> Column:
-        e = elements[i]
-        src, said = attribute(e, "src"), context_lines(elements, i, "img", FIRST_LABEL)
-        size = F.array_join(said, "\n")
+        return bound(context_lines(elements, i, "img", FIRST_LABEL), lambda said: described(elements[i], n, said))
+
+    def described(e: Column, n: Column, said: Column) -> Column:
+        src, size = attribute(e, "src"), F.array_join(said, "\n")
         width, height = (F.nullif(F.regexp_extract(size, DIMENSIONS, k), F.lit("")).try_cast("double") for k in (1, 2))
         raw = F.regexp_extract(src, r"[?&]filename=([^&#]*)", 1)
         return F.struct(
