@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -17,6 +18,8 @@ from ..functions.variants import field_variants
 
 #: Words of passages that go to every task at once.
 BLOCK_WORDS = 500_000
+#: Meetings of a document's word with a passage that a task counts at once.
+MEETINGS = 1 << 21
 
 
 def best_by_words(docs: DataFrame, passages: DataFrame, doc: str, have: str, item: str, want: str, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -33,31 +36,58 @@ def best_by_words(docs: DataFrame, passages: DataFrame, doc: str, have: str, ite
     schema = f"item {asked.schema['item'].dataType.simpleString()}, doc {docs.schema[doc].dataType.simpleString()}, score double"
     item_arrow, doc_arrow = to_arrow_type(asked.schema["item"].dataType), to_arrow_type(docs.schema[doc].dataType)
     blocks = -(-(asked.agg(F.sum(F.size("words"))).first()[0] or 0) // block_words)
-    have_words = docs.where(F.size(have) > 0).select(F.col(doc).alias("doc"), F.array_distinct(have).alias("have"))
+    # Documents without words go out in the tasks: a filter here would be pushed below what deals documents to tasks and work out the words of all once more.
+    read = docs.select(F.col(doc).alias("doc"), F.col(have).alias("have"))
+
+    # Within this function, so that it travels with it to where this package is not installed.
+    def counts(have: pa.Array, rank: np.ndarray, known: pa.Array, starts: np.ndarray, holders: np.ndarray, n: int, step: int) -> Iterator[tuple[int, np.ndarray]]:
+        """How many distinct words of each of ``n`` passages documents have, for ``step`` documents at a time in the order of ``rank``.
+
+        ``holders`` are the passages of each ``known`` word, from its place in ``starts`` on.
+        """
+        words = have.flatten()
+        found = pc.fill_null(pc.index_in(words, value_set=known.cast(words.type)), -1).to_numpy(zero_copy_only=False)
+        whose = np.repeat(rank, pc.list_value_length(have).to_numpy(zero_copy_only=False))[found >= 0]
+        whose, found = np.divmod(np.unique(whose * len(known) + found[found >= 0]), max(1, len(known)))
+        many = starts[found + 1] - starts[found]
+        for first in range(0, len(have), step):
+            a, z = np.searchsorted(whose, [first, first + step])
+            ends = np.cumsum(many[a:z])
+            place = np.arange(ends[-1] if z > a else 0) + np.repeat(starts[found[a:z]] - ends + many[a:z], many[a:z])
+            cell = np.repeat((whose[a:z] - first) * n, many[a:z]) + holders[place]
+            yield first, np.bincount(cell, minlength=step * n).reshape(step, n)
 
     def scores(block: int) -> DataFrame:
         rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        sent = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in rows], [r["words"] for r in rows]))
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for r in rows for w in r["words"]))}
+        sizes = np.array([len(r["words"]) for r in rows], np.int64)
+        at = np.array([number[w] for r in rows for w in r["words"]], np.int64)
+        holders = np.repeat(np.arange(len(rows)), sizes)[np.argsort(at, kind="stable")]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(number)))])
+        sent = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in rows], sizes, list(number), starts, holders))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, lists = sent.value
-            index: dict[str, list[int]] = {}
-            for i, words in enumerate(lists):
-                for w in words:
-                    index.setdefault(w, []).append(i)
-            at, sizes = {w: np.array(x) for w, x in index.items()}, np.array([len(x) for x in lists], float)
-            best, who = np.full(len(items), -1.0), [None] * len(items)
+            items, sizes, words, starts, holders = sent.value
+            known, n, step = pa.array(words, pa.string()), len(items), max(1, MEETINGS // max(1, len(holders)))
+            best, who, least = np.zeros(n, np.int64), [None] * n, None
             for batch in batches:
-                for one, words in zip(batch.column("doc").to_pylist(), batch.column("have").to_pylist(), strict=True):
-                    hits = [at[w] for w in words if w in at]
-                    score = 100.0 * np.bincount(np.concatenate(hits), minlength=len(items)) / sizes if hits else np.zeros(len(items))
-                    for i in np.flatnonzero(score >= best).tolist():
-                        if score[i] > best[i] or one < who[i]:
-                            best[i], who[i] = score[i], one
-            some = np.flatnonzero(best >= 0).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([items[i] for i in some], item_arrow), pa.array([who[i] for i in some], doc_arrow), pa.array(best[some], pa.float64())], ["item", "doc", "score"])
-
-        return have_words.mapInArrow(run, schema)
+                batch = batch.filter(pc.greater(pc.list_value_length(batch.column("have")), 0))
+                if not batch.num_rows:
+                    continue
+                order = pc.sort_indices(batch.column("doc")).to_numpy()
+                names = batch.column("doc").take(pa.array(order)).to_pylist()
+                least = names[0] if least is None else min(least, names[0])
+                for first, held in counts(batch.column("have"), np.argsort(order), known, starts, holders, n, step):
+                    top, row = held.max(axis=0), held.argmax(axis=0)
+                    for i in np.flatnonzero((top > 0) & (top >= best)).tolist():
+                        one = names[first + row[i]]
+                        if top[i] > best[i] or one < who[i]:
+                            best[i], who[i] = top[i], one
+            if least is not None:
+                who = [least if x is None else x for x in who]
+                yield pa.RecordBatch.from_arrays([pa.array(items, item_arrow), pa.array(who, doc_arrow), pa.array(100.0 * best / sizes, pa.float64())], ["item", "doc", "score"])
+
+        return read.mapInArrow(run, schema)
 
     every = [scores(b) for b in range(blocks)] or [docs.sparkSession.createDataFrame([], schema)]
     top = reduce(DataFrame.unionByName, every).groupBy("item").agg(F.min_by(F.struct("doc", "score"), F.struct(-F.col("score"), F.col("doc"))).alias("b"))

@@ -182,6 +182,41 @@ def test_best_by_words_in_blocks(spark):
         assert set(got) == set(want) and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 1e-5 for i in want)
 
 
+def test_best_by_words_works_out_the_words_of_a_document_once(spark):
+    from pyspark.sql import functions as F
+
+    from attestra.operators import evaluation
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(s):
+        made.add(1)
+        return s.split()
+
+    d = spark.createDataFrame([(i, f"a b{i}" if i % 5 else "") for i in range(40)], "doc long, text string").repartition(3).select("doc", words("text").alias("have"))
+    p = spark.createDataFrame([(1, ["b7", "a"]), (2, ["c"])], "item long, want array<string>")
+    got = evaluation.best_by_words(d, p, "doc", "have", "item", "want").collect()
+    assert sorted(map(tuple, got)) == [(1, 7, 100.0), (2, 1, 0.0)] and made.value == 40
+
+
+def test_best_by_words_in_small_steps(spark, monkeypatch):
+    import random
+
+    from attestra.operators import evaluation
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(f"d{i}", [r.choice(words) for _ in range(r.randint(0, 15))] if i % 7 else None) for i in range(80)]
+    asked = [(f"p{i}", r.sample(words, r.randint(1, 6)) + ["unseen"] * (i % 2)) for i in range(20)]
+    d, p = spark.createDataFrame(docs, "doc string, have array<string>").repartition(3), spark.createDataFrame(asked, "item string, want array<string>")
+    want = {i: min((-100 * len(set(w) & set(h)) / len(set(w)), k) for k, h in docs if h) for i, w in asked}
+    for meetings in (1, 300, 1 << 21):
+        monkeypatch.setattr(evaluation, "MEETINGS", meetings)
+        got = {x["item"]: (-x["score"], x["doc"]) for x in evaluation.best_by_words(d, p, "doc", "have", "item", "want").collect()}
+        assert set(got) == set(want) and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 1e-5 for i in want)
+
+
 def test_best_by_words_of_nothing(spark):
     from attestra.operators import evaluation
 
