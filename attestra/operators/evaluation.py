@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.evidence import phrase_score
-from ..functions.text import bound, collapsed, label_text, text
+from ..functions.text import bound, collapsed, label_text, text, unquoted
 from ..functions.variants import field_variants
 
 #: Words of passages that go to every task at once.
@@ -115,6 +115,32 @@ def evaluated(wanted: DataFrame, panels: DataFrame, item: str, panel: str, body:
     points = score(F.col("candidate"), F.col("read")) if score else phrase_score(F.col("_plain"), F.col("read"))
     scored = met.select(item, "field", "expected", "variant", "candidate", "panel", points.alias("score"))
     best = scored.groupBy(item, "field", "expected").agg(F.min_by(F.struct("score", "panel", "candidate"), F.struct(-F.col("score"), F.col("panel"), F.col("variant"))).alias("b"))
+    return _outcomes(best, item)
+
+
+def evaluated_alone(items: DataFrame, item: str, panel: str, body: str, fields: list[str]) -> DataFrame:
+    """What :func:`evaluated` says of items with a single panel, which stands in their own row: nothing meets and nothing is shuffled.
+
+    Scores are shares of words. A value that stands on the panel as it is cannot be
+    outdone, so its variants are made and tried only for the others.
+    """
+    read = items.withColumns({"_read": F.concat(F.lit(" "), label_text(F.col(body)), F.lit(" "))} | {f"_expected_{f}": collapsed(F.col(f).cast("string")) for f in fields})
+    first = read.withColumns({f"_given_{f}": unquoted(F.col(f"_expected_{f}")) for f in fields})
+    first = first.withColumns({f"_own_{f}": phrase_score(label_text(F.col(f"_given_{f}")), F.col("_read")) for f in fields})
+
+    def tried(f: str) -> Column:
+        each = F.transform(field_variants(F.lit(f), F.col(f"_expected_{f}")), lambda c, i: F.struct(phrase_score(label_text(c), F.col("_read")).alias("score"), (-i).alias("last"), c.alias("candidate")))
+        best = F.when(F.col(f"_own_{f}") == 100, F.struct(F.col(f"_own_{f}").alias("score"), F.lit(0).alias("last"), F.col(f"_given_{f}").alias("candidate"))).otherwise(F.array_max(each))
+        return F.when(F.col(f"_given_{f}") != "", best)
+
+    best = first.withColumns({f"_best_{f}": tried(f) for f in fields})
+    long = best.select(item, F.col(panel).alias("panel"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_expected_{f}").alias("expected"), F.col(f"_best_{f}").alias("best")) for f in fields])).alias("t"))
+    some = long.where("t.best IS NOT NULL").select(item, "t.field", "t.expected", F.struct("t.best.score", "panel", "t.best.candidate").alias("b"))
+    return _outcomes(some, item)
+
+
+def _outcomes(best: DataFrame, item: str) -> DataFrame:
+    """What follows from the best ``b`` of a field: its score, panel and candidate."""
     points = F.col("b.score")
     return best.select(
         item, "field", "expected", F.round(points, 4).alias("score"), F.when(points > 0, F.col("b.panel")).alias("best_panel"), F.when(points > 0, F.col("b.candidate")).alias("best_candidate"),

@@ -7,7 +7,7 @@ verdict.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -60,11 +60,34 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications with the text of their labels."""
+    return labelled(spread(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber"), load(spark, sf_dir, "part"))
+
+
+def labelled(items: DataFrame, part: DataFrame) -> DataFrame:
+    """The same of some of the items."""
+    spark = items.sparkSession
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # A method of generated code above this size is only ever interpreted by the JVM; Spark then takes projections apart instead.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)
-    items = spread(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
-    return spark.sql(LABELS_SQL.replace("FROM lineitem l JOIN part p", "FROM {lineitem} l JOIN {part} p"), lineitem=items, part=load(spark, sf_dir, "part"))
+    return spark.sql(LABELS_SQL.replace("FROM lineitem l JOIN part p", "FROM {lineitem} l JOIN {part} p"), lineitem=items, part=part)
+
+
+def lone_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`labels` that are their item's only one, and all others.
+
+    Four keys of each item are shuffled for this, never its text, by the part that its id
+    names; that is its part but for an id that several parts could make, so the first rows
+    join ``part`` where they are. If a part is listed twice, all items are others.
+    """
+    items, part = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey"), load(spark, sf_dir, "part")
+    number = "(l_orderkey * 10000000 + l_partkey) * 10 + l_linenumber"
+    # Never null, or a filter that only one of the two results has would keep them from sharing the shuffle.
+    item, named = F.expr(number), F.expr(f"coalesce(pmod(({number}) div 10, 10000000L), -1L)")
+    if not part.groupBy("p_partkey").count().where("count > 1").isEmpty():
+        return labelled(items.limit(0), part), labelled(items, part)
+    counted = items.repartition(named).withColumns({"_named": named, "_item": item}).withColumn("_rows", F.count("*").over(Window.partitionBy("_named", "_item")))
+    lone = F.coalesce((F.col("_rows") == 1) & (F.col("l_partkey") == F.col("_named")), F.lit(False))
+    return labelled(counted.where(lone).withColumn("l_partkey", F.col("_named")), part), labelled(counted.where(~lone), part)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from attestra.functions import intake, variants
 from attestra.operators import evaluation
+from attestra.plans import tables
 
 SCHEMA = "id int, full_text string, blocks array<struct<text:string,confidence:double,bbox:array<array<double>>>>"
 
@@ -51,6 +54,44 @@ def test_best_panel_and_verdicts(spark):
     assert {r.item: r.overall_verdict for r in evaluation.application_verdicts(found, "item").collect()} == {1: "pass", 2: "needs_review"}
 
 
+def test_items_of_one_panel_are_scored_in_their_row(spark):
+    fields = ["brand_name", "class_type", "alcohol_content", "country_of_origin"]
+    rows = [("RIO  VISTA", "Mezcal FB", "45.2", "France"), ("rio", None, " ", "'12'"), ("CORAZ\u00d3N del rio rio", "Red Wine x", "5% ALC/VOL", "United States"), ("#", "", "x", "")]
+    texts = ["RIO VISTA mezcal 45.2% alcohol PRODUCT OF FRANCE", "made in 12 states, red wine 5% alc", "corazo n del", "", None]
+    items = spark.createDataFrame([(i * 10 + j, 7, *r, t) for i, r in enumerate(rows) for j, t in enumerate(texts)], "item int, panel int, " + ", ".join(f"{f} string" for f in [*fields, "body"]))
+    left = evaluation.evaluated_alone(items, "item", "panel", "body", fields)
+    right = evaluation.evaluated(evaluation.targets(items, "item", fields), items, "item", "panel", "body")
+    assert left.columns == right.columns and left.count() and left.exceptAll(right).count() == right.exceptAll(left).count() == 0
+
+
+def _written(spark):
+    """Bytes that all stages so far have shuffled."""
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_field_evaluations_shuffles_keys_not_texts(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    # Some items have two rows: with another supplier, by two parts that make the same id, and by a row that is there twice.
+    keys = [(o, (7 * o + n) % 500, n, (o * 3 + n) % 90) for o in range(1, 2000) for n in (1, 2, 3)] + [(5, 36, 1, 77), (3, 10_000_043, 1, 4), (4, 29, 1, 13), (4, 10_000_029, 1, 13)]
+    parts = [(p, f"old ring {p % 7}", f"Brand#{p % 9}", ["LARGE", "SMALL PLATED"][p % 2], p % 50 + 1) for p in [*range(500), 10_000_043, 10_000_029]]
+    for twice in (False, True):
+        folder = str(tmp_path / f"twice_{twice}")
+        spark.createDataFrame(keys, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
+        spark.createDataFrame(parts + twice * [(29, "other name", "Brand#99", "ECONOMY", 3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+        con = duckdb.connect()
+        for t in ("lineitem", "part"):
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+        before = _written(spark)
+        got = tables.field_evaluations(spark, folder).toPandas()
+        written = sum(n for s, n in _written(spark).items() if s not in before)
+        want = con.sql(tables.ORACLE["field_evaluations"]).df()
+        order = ["field", "verdict", "outcome"]
+        assert got[want.columns].sort_values(order).values.tolist() == want.sort_values(order).values.tolist()
+        assert twice or written < 100 * len(keys), written
+
+
 def test_windows_and_prompt(spark):
     df = spark.createDataFrame([(["a", " ", "b", "c"],), ([],)], "b array<string>")
     assert [r.w for r in df.select(evaluation.windows(F.col("b")).alias("w")).collect()] == [["a", "b", "c", "a b", "b c", "a b c"], []]
