@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITE_CLASS, collapsed, label_text, strip, text
+from .text import WHITE_CLASS, bound, collapsed, label_text, strip, text
 
 # Patterns, units and lists that decide verdicts.
 ABV = r"(?i)\b\d+(?:\.\d+)?\s*%?\s*(?:A\.?B\.?V\.?|ABV)\b"
@@ -27,14 +31,18 @@ WARNING = (
     "GOVERNMENT WARNING: (1) According to the Surgeon General, women should not drink alcoholic beverages during pregnancy because of the risk of birth defects. "
     "(2) Consumption of alcoholic beverages impairs your ability to drive a car or operate machinery, and may cause health problems."
 )
+#: The same in its :func:`label_text` form, by words, a blank round each.
+WARNING_WORDS = [f" {w} " for w in dict.fromkeys(re.sub("[^a-z0-9]+", " ", WARNING.lower()).split())]
 COUNTRIES = ["Argentina", "Australia", "Austria", "Brazil", "Canada", "Chile", "England", "France", "Germany", "Greece", "Ireland", "Italy", "Japan", "Mexico", "New Zealand", "Portugal", "Scotland", "South Africa", "Spain", "United States"]
 ALIASES = {"United States": ["USA", "U.S.A.", "United States of America"]}
 HEALTH_TERMS = ["detox", "healthy", "safer", "less toxic", "protective"]
 
 
 _NUMBER = r"\b(\d{1,3}(?:\.\d{1,2})?)\s*"
-#: :data:`PERCENT` or :data:`BARE_PERCENT`.
-_ANY_PERCENT = f"(?i){_NUMBER}(?:{PERCENT.removeprefix('(?i)' + _NUMBER)}|{BARE_PERCENT.removeprefix(_NUMBER)})"
+#: :data:`PERCENT` or :data:`BARE_PERCENT`. No part of a number or a blank can be what comes next, so none is given back.
+_ANY_PERCENT = rf"(?i)\b(\d{{1,3}}+(?:\.\d{{1,2}}+)?+)\s*+(?:{PERCENT.removeprefix('(?i)' + _NUMBER).replace('%?', '%?+', 1).replace(chr(92) + 's*', chr(92) + 's*+', 1)}|{BARE_PERCENT.removeprefix(_NUMBER)})"
+#: :data:`CONTENTS`, which only a digit can begin, likewise.
+_CONTENTS = CONTENTS.replace(r"\b(\d+(?:\.\d+)?)\s*", r"(?=[0-9])\b(\d++(?:\.\d++)?+)\s*+", 1)
 #: The heading in any case, dotted and dotless i among them, with white space of Unicode.
 _HEADING = f"government[{WHITE_CLASS}]+warn[i\u0130\u0131]ng[{WHITE_CLASS}]*:"
 
@@ -53,14 +61,20 @@ def abv_shorthand(c: Column) -> Column:
 def alcohol_values(c: Column) -> Column:
     """Sorted distinct percentages over 0 up to 100; proof is halved."""
     # Both kinds of percentages begin with the same number and end behind no other one, so one scan finds what two find.
-    percent = F.filter(F.transform(F.regexp_extract_all(text(c), F.lit(_ANY_PERCENT), F.lit(1)), lambda x: F.round(x.cast("double"), 2)), lambda x: (x > 0) & (x <= 100))
-    strong = F.when(_says(c, "proof"), F.regexp_extract_all(text(c), F.lit(PROOF), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    proof = F.filter(F.transform(strong, lambda x: x.cast("double")), lambda x: (x > 0) & (x <= 200))
-    return F.sort_array(F.array_distinct(F.flatten(F.array(percent, F.transform(proof, lambda x: F.round(x / 2, 2))))))
+    # They have two decimals at most, so nothing is left to round.
+    percent = F.filter(F.regexp_extract_all(text(c), F.lit(_ANY_PERCENT), F.lit(1)).cast("array<double>"), lambda x: (x > 0) & (x <= 100))
+    proof = F.filter(F.regexp_extract_all(text(c), F.lit(PROOF), F.lit(1)).cast("array<double>"), lambda x: (x > 0) & (x <= 200))
+    return F.sort_array(F.array_distinct(F.when(_says(c, "proof"), F.concat(percent, F.transform(proof, lambda x: F.round(x / 2, 2)))).otherwise(percent)))
+
+
+def _any_near(expected: Column, observed: Column, near: Callable[[Column, Column], Column]) -> Column:
+    """Whether some of two lists of numbers are near; equal ones are, and are found without a test of all pairs."""
+    pairs = F.exists(expected, lambda e: F.exists(observed, lambda o: near(e, o)))
+    return F.when((F.size(expected) == 0) | (F.size(observed) == 0), False).when(F.arrays_overlap(expected, observed), True).otherwise(pairs)
 
 
 def alcohol_match(expected: Column, observed: Column, tolerance: float = 0.05) -> Column:
-    return F.exists(expected, lambda e: F.exists(observed, lambda o: F.abs(e - o) <= tolerance))
+    return _any_near(expected, observed, lambda e, o: F.abs(e - o) <= tolerance)
 
 
 def bad_sixteen_ounces(c: Column) -> Column:
@@ -73,17 +87,19 @@ def _unit_map() -> Column:
 
 def contents_values(c: Column) -> Column:
     """(ml, evidence) of each quantity whose unit is known, in the order of the text."""
-    #: One scan of the text; amount and unit are then read from the matches, which are short.
-    found = F.transform(
-        F.regexp_extract_all(text(c), F.lit(CONTENTS), F.lit(0)),
-        lambda m: F.struct((F.regexp_extract(m, CONTENTS, 1).cast("double") * F.try_element_at(_unit_map(), collapsed(F.lower(F.regexp_extract(m, CONTENTS, 2))))).alias("ml"), m.alias("evidence")),
-    )
+    # One scan of the text; amount and unit are then read from the matches, which are short.
+    def ml(m: Column) -> Column:
+        amount = F.regexp_extract(m, r"^\d+(?:\.\d+)?", 0)
+        unit = F.lower(F.substring(m, F.length(amount) + 1, F.length(m)))
+        return amount.cast("double") * F.coalesce(F.try_element_at(_unit_map(), F.ltrim(unit)), F.try_element_at(_unit_map(), collapsed(unit)))
+
+    found = F.transform(F.regexp_extract_all(text(c), F.lit(_CONTENTS), F.lit(0)), lambda m: F.struct(ml(m).alias("ml"), m.alias("evidence")))
     return F.filter(found, lambda x: x["ml"].isNotNull())
 
 
 def contents_match(expected: Column, observed: Column) -> Column:
     """Within 2 ml or a hundredth of what is expected."""
-    return F.exists(expected, lambda e: F.exists(observed, lambda o: F.abs(e["ml"] - o["ml"]) <= F.greatest(F.lit(2.0), e["ml"] * 0.01)))
+    return _any_near(expected["ml"], observed["ml"], lambda e, o: F.abs(e - o) <= F.greatest(F.lit(2.0), e * 0.01))
 
 
 def warning_tail(c: Column) -> Column:
@@ -91,22 +107,22 @@ def warning_tail(c: Column) -> Column:
     return F.regexp_extract(text(c), f"(?is){_HEADING}.*", 0)
 
 
-#: The required warning with white space of any kind and length between its words and behind it.
-_EXACT = r"\A" + f"[{WHITE_CLASS}]+".join(r"\Q" + word + r"\E" for word in WARNING.split(" ")) + f"[{WHITE_CLASS}]*" + r"\z"
+_HEAD = WARNING.partition(" (")[0]
+_REST = WARNING.removeprefix(_HEAD + " ")
 
 
-def is_warning(tail: Column) -> Column:
-    """Whether a :func:`warning_tail` is the required warning once its white space is collapsed."""
-    return tail.rlike(_EXACT)
+def first_heading(c: Column, before: Column) -> Column:
+    """:func:`warning_heading` of a text, ``before`` being what stands before the heading in its required form: the first one if nothing there begins like another."""
+    return F.when((F.length(before) < F.length(c)) & ~_says(before, "government"), _HEAD).otherwise(warning_heading(c))
 
 
-def before_warning(c: Column, tail: Column, exact: Column) -> Column:
-    """What amounts and countries are looked for in: a text without the required warning at its end, which states neither.
-
-    Without a blank before the warning, or with another one, the text stays whole.
-    """
-    n = F.length(text(c)) - F.length(tail)
-    return F.when(exact & ((n == 0) | (F.substring(text(c), n, 1) == " ")), F.substring(text(c), F.lit(1), n)).otherwise(text(c))
+def block_behind(c: Column, before: Column, heading: Column) -> Column:
+    """From the first heading to the end of the text, white space collapsed; null without one. The required warning with blanks alone at its joints needs no pattern."""
+    plain, start = F.rtrim(c), F.length(before) + 1
+    gap = F.substring(c, start + len(_HEAD), F.length(plain) - start + 1 - len(_HEAD) - len(_REST))
+    tail = F.substring(c, start, F.length(c))
+    exact = (heading == _HEAD) & F.endswith(plain, F.lit(_REST)) & (gap != "") & (F.trim(gap) == "")
+    return F.when(heading.isNull(), F.lit(None)).when(exact, WARNING).otherwise(collapsed(tail))
 
 
 def warning_block(c: Column) -> Column:
@@ -136,21 +152,35 @@ def word_score(want: Column, have: Column) -> Column:
     return F.when((F.size(want) == 0) | (F.size(have) == 0), 0.0).otherwise(100.0 * F.size(F.array_intersect(want, have)) / F.size(want))
 
 
-def phrase_score(want: Column, padded: Column) -> Column:
+def phrase_score(want: Column, padded: Column, warned: Column | None = None) -> Column:
     """:func:`token_score` of two texts in their :func:`label_text` form, the second with a blank at each end.
 
     A phrase that stands there as it is has all its words; only else is each looked for.
+    ``warned`` says whether the required warning follows that text: its words count as well.
     """
+    more = F.lit(False) if warned is None else warned
+    whole = F.concat(F.lit(" "), want, F.lit(" "))
     each = F.array_distinct(F.split(F.concat(F.lit(" "), F.replace(want, F.lit(" "), F.lit(" | ")), F.lit(" ")), r"\|"))
-    share = 100.0 * F.size(F.filter(each, lambda w: F.contains(padded, w))) / F.size(each)
-    return F.when(want == "", 0.0).when(F.contains(padded, F.concat(F.lit(" "), want, F.lit(" "))), 100.0).otherwise(share)
+    share = bound(each, lambda e: 100.0 * F.size(F.filter(e, lambda w: F.contains(padded, w) | (more & w.isin(WARNING_WORDS)))) / F.size(e))
+    one = F.when(more & whole.isin(WARNING_WORDS), 100.0).otherwise(0.0)
+    return F.when(want == "", 0.0).when(F.contains(padded, whole), 100.0).when(F.contains(want, F.lit(" ")), share).otherwise(one)
+
+
+def known_score(want: str, padded: Column, warned: Column) -> Column:
+    """:func:`phrase_score` of a text that is known beforehand, whatever its form."""
+    words = [f" {w} " for w in dict.fromkeys(re.sub("[^a-z0-9]+", " ", want.lower()).split())]
+    stands = [F.contains(padded, F.lit(w)) | warned if w in WARNING_WORDS else F.contains(padded, F.lit(w)) for w in words]
+    return 100.0 * reduce(lambda a, b: a + b, [s.cast("int") for s in stands]) / len(words)
 
 
-def country_score(expected: Column, c: Column, score=token_score) -> Column:
-    """The best score of a country's name and aliases."""
+def country_score(expected: Column, c: Column, score=token_score, known: Callable[[str], Column] | None = None) -> Column:
+    """The best score of a country's name and aliases; ``known`` scores a name that has aliases, and these, if ``score`` is not to."""
     best = F.when(strip(expected) == "", 0.0).otherwise(score(expected, c))
     for name, others in ALIASES.items():
-        best = F.when((expected == name) & (best < 100), F.greatest(best, *[score(F.lit(o), c) for o in others])).otherwise(best)
+        if known:
+            best = F.when(expected == name, F.greatest(*map(known, [name, *others]))).otherwise(best)
+        else:
+            best = F.when((expected == name) & (best < 100), F.greatest(best, *[score(F.lit(o), c) for o in others])).otherwise(best)
     return best
 
 

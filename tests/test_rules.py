@@ -169,3 +169,57 @@ def test_compared_equals_comparison_rows(spark):
     asked = {"brand_name": "FORM_BRAND_MATCHES_LABEL", "fanciful_name": "FORM_FANCIFUL_NAME_MATCHES_LABEL", "alcohol_content": "FORM_ALCOHOL_CONTENT_MATCHES_LABEL", "country_of_origin": "COUNTRY_OF_ORIGIN_MATCH"}
     left, right = rules.compared(items, asked), rules.comparison_rows(rules.with_verdicts(rules.with_checks(items)), asked)
     assert left.columns == right.columns and left.exceptAll(right).count() == right.exceptAll(left).count() == 0
+
+
+#: Texts with several headings, white space of other kinds, broken numbers, units next to each other and signs of all kinds.
+ODD = [
+    "", " ", "a  b", f"x {ev.WARNING}", f"x {ev.WARNING.replace(': (1)', ':  (1)')}  ", f"x{ev.WARNING}", f"x {ev.WARNING}\n", f"x {ev.WARNING.replace(': (1)', ':(1)')}", f"{ev.WARNING}", f"{ev.WARNING} {ev.WARNING}",
+    f"government warning: {ev.WARNING}", f"GOVERNMENT WARNING: x {ev.WARNING}", f"government {ev.WARNING}", f"Government warnıng : {ev.WARNING}", "GOVERNMENT WARNING:", "GOVERNMENT  WARNING :\ty z", f"GOVERNMENT WARNING: {ev.WARNING[20:]}",
+    "12.345% abv 1234% 45.2%alc/vol 45.2 % % vol 101% 7.5 % ABV. 90 proof 13.% by vol 0.00% 45.25 alcohol  by volume", "5%x 5 %, 5.5.5% a5% 5_% _5% 5%", "750mL 1.5 L 1.l 12.5.ml 1 fl.\toz 2 fl  oz. 16 FL. OZ 3 pt. 4 qt 5 gal. 6 fluid\nounces 7 l/8 L9", "٣ ml 1٣ ml x1 ml _1 ml 1 mlé",
+    "".join(map(chr, range(1, 128))), "café ＡＢ  x² naïve -- END", "　wide　", "\tx\x1f", " a", "b ", "é c", "c é",
+]
+
+
+def test_shortcuts_give_what_patterns_give(spark):
+    c = F.col("full_text")
+    old = {
+        "heading": ev.warning_heading(c), "block": ev.warning_block(c), "plain": F.lower(F.trim(F.regexp_replace(text.folded(c), r"\P{Alnum}+", " "))), "bare": F.btrim(c, F.lit(text.WHITE)),
+        "percent": F.sort_array(F.array_distinct(F.filter(F.transform(F.concat(F.regexp_extract_all(c, F.lit(ev.PERCENT), F.lit(1)), F.regexp_extract_all(c, F.lit(ev.BARE_PERCENT), F.lit(1))), lambda x: F.round(x.cast("double"), 2)), lambda x: (x > 0) & (x <= 100)))),
+        "amounts": F.regexp_extract_all(c, F.lit(ev.CONTENTS), F.lit(0)),
+    }
+    unit = lambda m: text.collapsed(F.lower(F.regexp_extract(m, ev.CONTENTS, 2)))
+    old["ml"] = F.filter(F.transform("amounts", lambda m: F.regexp_extract(m, ev.CONTENTS, 1).cast("double") * F.try_element_at(ev._unit_map(), unit(m))), lambda x: x.isNotNull())
+    new = {
+        "heading": F.col("_heading"), "block": F.col("_block"), "plain": text.label_text(c), "bare": text.strip(c), "percent": ev.alcohol_values(F.replace(c, F.lit("proof"), F.lit(""))), "amounts": F.regexp_extract_all(c, F.lit(ev._CONTENTS), F.lit(0)),
+        "ml": ev.contents_values(c)["ml"],
+    }
+    df = rules.with_parts(spark.createDataFrame([(t,) for t in ODD], "full_text string"))
+    for name, way in new.items():
+        got = df.withColumn("amounts", old["amounts"]).select("full_text", old[name].alias("a"), way.alias("b")).collect()
+        assert [(r.full_text, r.b) for r in got] == [(r.full_text, r.a) for r in got], name
+    cut = {r.full_text for r in df.where("_cut").collect()}
+    assert cut == {ODD[i] for i in (3, 4, 6, 8, 12, 16)}
+
+
+def test_known_names_score_as_texts(spark):
+    names = ["USA", "U.S.A.", "United States of America", "drive"]
+    df = spark.createDataFrame([(t, w) for t in (" ", " of the united u s x ", " usa ", " states united ", " america ") for w in (True, False)], "p string, w boolean")
+    for n in names:
+        two = df.select(ev.known_score(n, F.col("p"), F.col("w")).alias("x"), ev.phrase_score(text.label_text(F.lit(n)), F.col("p"), F.col("w")).alias("y"), ev.token_score(F.lit(n), F.concat("p", F.when(F.col("w"), ev.WARNING).otherwise(""))).alias("z")).collect()
+        assert [r.x for r in two] == [r.y for r in two] == [r.z for r in two], n
+
+
+def _items(spark):
+    fields = ", ".join(f"{f} {'boolean' if f == 'imported' else 'string'}" for f in rules.APPLICATION)
+    rows = [("ACME", f, "Ale", a, "750 mL", "", c, i, "wine", t, conf) for f in ("", "\tOld Mill ", "Not provided") for a in ("5%", "", "no") for c, i in (("France", True), (None, True), ("United States", False)) for t in ("ACME 5% vol OLD MILL 1 L", "") for conf in (0.5, 0.9)]
+    return spark.createDataFrame(rows, f"{fields}, full_text string, avg_confidence double").withColumn("item_id", F.monotonically_increasing_id())
+
+
+def test_reasons_are_made_where_they_are_shown(spark):
+    # Messages of thirteen rules were once columns of every item, of which one is shown.
+    judged = rules.judged(_items(spark)).select("item_id", "top_reason")
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    carried = [m for m in ("Brand name appears to match the application field.", "No malt 16 fl. oz. net-contents issue detected.") if m in plan]
+    assert not carried
+    whole = rules.with_verdicts(rules.with_checks(_items(spark))).select("item_id", "top_reason")
+    assert judged.exceptAll(whole).count() == whole.exceptAll(judged).count() == 0
