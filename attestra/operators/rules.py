@@ -340,6 +340,20 @@ def compared(items: DataFrame, fields: dict[str, str]) -> DataFrame:
     return with_facts(items, None).select("item_id", F.explode(F.array(*rows)).alias("s")).select("item_id", "s.*")
 
 
+def compared_counts(items: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Rows of :func:`compared` by field and verdict (``n``), and those with a blank application value (``blank``).
+
+    Items that are alike in all fields are counted first, so that a few kinds of items become rows, not every item.
+    """
+    checks = {c.rule_id: c for c in check_columns("typography" in items.columns)}
+    said = [F.coalesce(checks[r].verdict, F.lit("not_checked")).alias(f"verdict_{i}") for i, r in enumerate(fields.values())]
+    blank = [(strip(F.col(f).cast("string")) == "").alias(f"blank_{i}") for i, f in enumerate(fields)]
+    kinds = with_facts(items, None).select(*said, *blank)
+    kinds = kinds.groupBy(*kinds.columns).agg(F.count("*").alias("n"))
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), F.col(f"verdict_{i}").alias("verdict"), F.col("n"), F.when(F.col(f"blank_{i}"), F.col("n")).otherwise(0).alias("blank")) for i, f in enumerate(fields)]
+    return kinds.select(F.explode(F.array(*rows)).alias("s")).select("s.*").groupBy("ord", "field", "verdict").agg(F.sum("n").alias("n"), F.sum("blank").alias("blank"))
+
+
 def comparison_rows(verdicts: DataFrame, fields: dict[str, str]) -> DataFrame:
     """A row per item and displayed field: the application's value against what its rule observed."""
     spec = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(field).alias("field"), F.lit(rule).alias("rule_id"), F.col(field).cast("string").alias("value")) for i, (field, rule) in enumerate(fields.items())]))
