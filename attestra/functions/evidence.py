@@ -166,6 +166,12 @@ def phrase_score(want: Column, padded: Column, warned: Column | None = None) ->
     return F.when(want == "", 0.0).when(F.contains(padded, whole), 100.0).when(F.contains(want, F.lit(" ")), share).otherwise(one)
 
 
+def words_score(want: Column, padded: Column, warned: Column) -> Column:
+    """:func:`phrase_score` of a list of words."""
+    stands = lambda w: F.contains(padded, w) | (warned & w.isin(WARNING_WORDS))
+    return bound(F.array_distinct(want), lambda ws: F.when(F.size(ws) == 0, 0.0).otherwise(100.0 * F.size(F.filter(ws, lambda w: stands(F.concat(F.lit(" "), w, F.lit(" "))))) / F.size(ws)))
+
+
 def known_score(want: str, padded: Column, warned: Column) -> Column:
     """:func:`phrase_score` of a text that is known beforehand, whatever its form."""
     words = [f" {w} " for w in dict.fromkeys(re.sub("[^a-z0-9]+", " ", want.lower()).split())]

@@ -89,14 +89,16 @@ def folded(c: Column) -> Column:
 
 
 def label_text(c: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits, one space between; accented letters are decomposed before.
+    """Lower-case runs of ASCII letters and digits, one space between; accented letters are decomposed before."""
+    return F.array_join(label_words(c), " ")
 
-    In ASCII, signs become blanks one by one, which is faster than a pattern.
-    """
+
+def label_words(c: Column) -> Column:
+    """The words of :func:`label_text`. In ASCII, signs become blanks one by one, which is faster than a pattern."""
     kept = F.lit(None).cast("string")
-    words = F.array_remove(F.split(F.lower(F.mask(text(c), kept, kept, kept, F.lit(" "))), " "), "")
-    plain = F.lower(F.trim(F.regexp_replace(folded(text(c)), r"\P{Alnum}+", " ")))
-    return F.when(F.length(text(c)) == F.octet_length(text(c)), F.array_join(words, " ")).otherwise(plain)
+    signs = F.mask(text(c), kept, kept, kept, F.lit(" "))
+    plain = F.regexp_replace(folded(text(c)), r"\P{Alnum}+", " ")
+    return F.array_remove(F.split(F.lower(F.when(F.length(text(c)) == F.octet_length(text(c)), signs).otherwise(plain)), " "), "")
 
 
 def decomposed(c: Column) -> Column:

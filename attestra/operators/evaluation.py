@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.evidence import phrase_score
-from ..functions.text import bound, collapsed, label_text, text, unquoted
+from ..functions.evidence import phrase_score, words_score
+from ..functions.text import bound, collapsed, label_text, label_words, text, unquoted
 from ..functions.variants import field_variants
+from .rules import with_parts, with_plain
 
 #: Words of passages that go to every task at once.
 BLOCK_WORDS = 500_000
@@ -124,12 +125,13 @@ def evaluated_alone(items: DataFrame, item: str, panel: str, body: str, fields:
     Scores are shares of words. A value that stands on the panel as it is cannot be
     outdone, so its variants are made and tried only for the others.
     """
-    read = items.withColumns({"_read": F.concat(F.lit(" "), label_text(F.col(body)), F.lit(" "))} | {f"_expected_{f}": collapsed(F.col(f).cast("string")) for f in fields})
+    read = with_plain(with_parts(items, body)).withColumns({f"_expected_{f}": collapsed(F.col(f).cast("string")) for f in fields})
     first = read.withColumns({f"_given_{f}": unquoted(F.col(f"_expected_{f}")) for f in fields})
-    first = first.withColumns({f"_own_{f}": phrase_score(label_text(F.col(f"_given_{f}")), F.col("_read")) for f in fields})
+    first = first.withColumns({f"_plain_{f}": label_text(F.col(f"_given_{f}")) for f in fields})
+    first = first.withColumns({f"_own_{f}": phrase_score(F.col(f"_plain_{f}"), F.col("_padded"), F.col("_cut")) for f in fields})
 
     def tried(f: str) -> Column:
-        each = F.transform(field_variants(F.lit(f), F.col(f"_expected_{f}")), lambda c, i: F.struct(phrase_score(label_text(c), F.col("_read")).alias("score"), (-i).alias("last"), c.alias("candidate")))
+        each = F.transform(field_variants(F.lit(f), F.col(f"_expected_{f}")), lambda c, i: F.struct(words_score(label_words(c), F.col("_padded"), F.col("_cut")).alias("score"), (-i).alias("last"), c.alias("candidate")))
         best = F.when(F.col(f"_own_{f}") == 100, F.struct(F.col(f"_own_{f}").alias("score"), F.lit(0).alias("last"), F.col(f"_given_{f}").alias("candidate"))).otherwise(F.array_max(each))
         return F.when(F.col(f"_given_{f}") != "", best)
 
